@@ -21,9 +21,17 @@ def days_apart(later: Column, earlier: Column) -> Column:
     return F.datediff(later, earlier)
 
 
+def micros(moment: Column) -> Column:
+    """Microseconds since the epoch.
+
+    A timestamp without time zone is read in the session's zone, which should be UTC.
+    """
+    return F.unix_micros(moment.cast("timestamp"))
+
+
 def minutes_apart(later: Column, earlier: Column) -> Column:
     """Fractional minutes between two timestamps, exact to the microsecond."""
-    return (F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(60_000_000.0)
+    return (micros(later) - micros(earlier)) / F.lit(60_000_000.0)
 
 
 def in_micros(span: timedelta) -> int:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
@@ -11,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from footfall.fixed_values import (
@@ -30,6 +32,7 @@ from footfall.functions.maths import exact_money, half_even, percent
 from footfall.operators.ranking import exact_quantiles
 
 MAX_ITERATIONS = 300
+# Squared movement of all centres together, relative to the mean variance of the features.
 TOLERANCE = 1e-4
 PARALLEL_FITS = 8
 
@@ -94,10 +97,18 @@ def best_models(
 
     Each fit is a chain of small jobs, so several run side by side to keep executors busy.
     """
+    spread = vectors.select(Summarizer.variance(F.col("_features")).alias("v")).first()["v"]
+    mean_variance = float(np.mean(spread.toArray()))
+
     def fit(task: tuple[int, int]) -> KMeansModel:
         k, start = task
         means = KMeans(
-            k=k, seed=seed + start, maxIter=MAX_ITERATIONS, tol=TOLERANCE, featuresCol="_features",
+            k=k,
+            seed=seed + start,
+            maxIter=MAX_ITERATIONS,
+            # Spark stops when no centre moves further than this.
+            tol=math.sqrt(TOLERANCE * mean_variance / k),
+            featuresCol="_features",
             predictionCol="segment",
         )
         return means.fit(vectors)

@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from footfall.fixed_values import SESSION_GAP
-from footfall.functions.dates import in_micros, minutes_apart
+from footfall.functions.dates import in_micros, micros, minutes_apart
 from footfall.operators.skew import HOT_ROWS, HotKeys, find_hot_keys
 
 SLICE_WIDTH = timedelta(hours=1)
@@ -58,7 +58,7 @@ def _sessionize_in_slices(
     events: DataFrame, hot: HotKeys, user_key: str, ts: str, tie: str, gap: timedelta, slice_width: timedelta
 ) -> DataFrame:
     # Events without a time sort first, so they form the earliest slice.
-    slice_number = F.coalesce(F.floor(F.unix_micros(ts) / F.lit(in_micros(slice_width))), F.lit(-(2**62)))
+    slice_number = F.coalesce(F.floor(micros(F.col(ts)) / F.lit(in_micros(slice_width))), F.lit(-(2**62)))
     sliced = events.join(hot.hinted.withColumn("_hot", F.lit(True)), user_key, "left").withColumn(
         "_slice", F.when(F.col("_hot"), slice_number)
     )

@@ -26,7 +26,7 @@ shop_events AS (
 ORDERS = """
 shop_orders AS (
     SELECT o_orderkey AS order_id, o_custkey AS user_id,
-           CASE o_orderstatus WHEN 'F' THEN 'Complete' WHEN 'O' THEN 'Shipped' ELSE 'Processing' END AS status,
+           o_orderstatus AS status,
            o_orderdate AS created_at, o_orderpriority AS priority
     FROM orders)"""
 
@@ -43,9 +43,6 @@ shop_users AS (
     LEFT JOIN (SELECT o_custkey, min(o_orderdate) AS first_order FROM orders GROUP BY o_custkey)
       ON c_custkey = o_custkey)"""
 
-SOLD = "status IN ('Complete', 'Shipped')"
-
-
 def with_tables(*tables: str) -> str:
     return "WITH RECURSIVE " + ",".join(tables)
 
@@ -106,7 +103,7 @@ placed AS (
     SELECT o.user_id, j.cohort_month,
            datediff('month', j.cohort_month, CAST(date_trunc('month', o.created_at) AS DATE)) AS k
     FROM shop_orders o JOIN joined j ON o.user_id = j.user_id
-    WHERE o.status IN ('Complete', 'Shipped')),
+    WHERE o.status IN ('F', 'O')),
 cohorts AS (
     SELECT cohort_month,
            count(DISTINCT CASE WHEN k = 0 THEN user_id END) AS m0,
@@ -132,7 +129,7 @@ months AS (
     SELECT CAST(date_trunc('month', o.created_at) AS DATE) AS month,
            CAST(sum(i.sale_price) AS DOUBLE) AS revenue
     FROM shop_orders o JOIN shop_items i ON o.order_id = i.order_id
-    WHERE o.status IN ('Complete', 'Shipped')
+    WHERE o.status IN ('F', 'O')
     GROUP BY 1),
 revenue AS (
     SELECT month, revenue, lag(revenue) OVER (ORDER BY month) AS prev_month_revenue,
@@ -146,7 +143,7 @@ RFM = """
 sold AS (
     SELECT o.user_id, o.created_at, i.sale_price
     FROM shop_orders o JOIN shop_items i ON o.order_id = i.order_id
-    WHERE o.status IN ('Complete', 'Shipped')),
+    WHERE o.status IN ('F', 'O')),
 rfm AS (
     SELECT user_id,
            datediff('day', CAST(max(created_at) AS DATE),
@@ -206,7 +203,7 @@ assigned AS (
     FROM shop_users),
 converted AS (
     SELECT a.user_id, a.market, a.experiment_group,
-           max(CASE WHEN o.status IN ('Complete', 'Shipped') THEN 1 ELSE 0 END) AS bought
+           max(CASE WHEN o.status IN ('F', 'O') THEN 1 ELSE 0 END) AS bought
     FROM assigned a
     LEFT JOIN (SELECT * FROM shop_orders WHERE priority = '1-URGENT') o ON a.user_id = o.user_id
     GROUP BY ALL),

@@ -107,7 +107,8 @@ def session_summary(spark: SparkSession, folder: str) -> DataFrame:
 def sessionize_streaming(spark: SparkSession, folder: str) -> DataFrame:
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    found = sessionize_stream(normalise(stream), ts="ts", gap=LONG_GAP)
+    timed = normalise(stream).withColumn("ts", F.col("ts").cast("timestamp"))
+    found = sessionize_stream(timed, ts="ts", gap=LONG_GAP)
     return run_available(found, "stream-sessions")
 
 
@@ -157,7 +158,7 @@ def stage_traffic(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cohort_retention(spark: SparkSession, folder: str) -> DataFrame:
-    return retention.cohort_retention(shop.orders(spark, folder))
+    return retention.cohort_retention(shop.orders(spark, folder), statuses=shop.REVENUE_STATUSES)
 
 
 def retention_rates(spark: SparkSession, folder: str) -> DataFrame:
@@ -169,7 +170,9 @@ def retention_rates_two_digits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def monthly_revenue(spark: SparkSession, folder: str) -> DataFrame:
-    return retention.monthly_revenue(shop.orders(spark, folder), shop.order_items(spark, folder), AS_OF)
+    return retention.monthly_revenue(
+        shop.orders(spark, folder), shop.order_items(spark, folder), AS_OF, shop.REVENUE_STATUSES
+    )
 
 
 def retention_kpis(spark: SparkSession, folder: str) -> DataFrame:
@@ -182,7 +185,7 @@ def retention_kpis(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rfm_base(spark: SparkSession, folder: str) -> DataFrame:
-    return rfm.rfm_base(shop.orders(spark, folder), shop.order_items(spark, folder))
+    return rfm.rfm_base(shop.orders(spark, folder), shop.order_items(spark, folder), shop.REVENUE_STATUSES)
 
 
 def rfm_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -199,7 +202,7 @@ def experiment_groups(spark: SparkSession, folder: str) -> DataFrame:
 def _summary(spark: SparkSession, folder: str, keys: tuple[str, ...]) -> DataFrame:
     assigned = experiment.assign_groups(shop.users(spark, folder), SIGNUP_CUTOFF, keys=keys)
     urgent = shop.orders(spark, folder).where(F.col("priority") == PRIORITY)
-    return experiment.experiment_summary(assigned, urgent, keys)
+    return experiment.experiment_summary(assigned, urgent, keys, shop.REVENUE_STATUSES)
 
 
 def experiment_summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -287,7 +290,9 @@ def segment_sample(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def segmentation_report(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.segmentation_report(shop.orders(spark, folder), shop.order_items(spark, folder)).profiles
+    return reports.segmentation_report(
+        shop.orders(spark, folder), shop.order_items(spark, folder), shop.REVENUE_STATUSES
+    ).profiles
 
 
 # Checks

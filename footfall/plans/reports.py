@@ -8,7 +8,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame
 
-from footfall.fixed_values import ALPHA, EXPECTED_SPLIT, POWER, SEGMENT_COUNT
+from footfall.fixed_values import ALPHA, EXPECTED_SPLIT, POWER, REVENUE_STATUSES, SEGMENT_COUNT
 from footfall.operators import experiment, funnel, retention, rfm, segments
 from footfall.session import materialize
 
@@ -41,10 +41,16 @@ class RetentionReport:
     kpis: DataFrame
 
 
-def retention_report(orders: DataFrame, items: DataFrame, as_of: date | None = None) -> RetentionReport:
+def retention_report(
+    orders: DataFrame,
+    items: DataFrame,
+    as_of: date | None = None,
+    statuses: Sequence[str] = REVENUE_STATUSES,
+) -> RetentionReport:
     """Both tables are a row per month, kept so that the figures do not recompute them."""
-    cohorts = materialize(retention.retention_rates(retention.cohort_retention(orders)), "cohorts")
-    revenue = materialize(retention.monthly_revenue(orders, items, as_of), "revenue")
+    matrix = retention.cohort_retention(orders, statuses=statuses)
+    cohorts = materialize(retention.retention_rates(matrix), "cohorts")
+    revenue = materialize(retention.monthly_revenue(orders, items, as_of, statuses), "revenue")
     return RetentionReport(
         cohorts.orderBy("cohort_month"),
         revenue.orderBy("month"),
@@ -92,9 +98,14 @@ class SegmentationReport:
     sample: DataFrame
 
 
-def segmentation_report(orders: DataFrame, items: DataFrame, k: int = SEGMENT_COUNT) -> SegmentationReport:
+def segmentation_report(
+    orders: DataFrame,
+    items: DataFrame,
+    statuses: Sequence[str] = REVENUE_STATUSES,
+    k: int = SEGMENT_COUNT,
+) -> SegmentationReport:
     """Score, scale, cluster, profile and label customers."""
-    base = rfm.rfm_base(orders, items)
+    base = rfm.rfm_base(orders, items, statuses)
     prepared = segments.robust_scale(base, segments.scale_parameters(base))
     fitted, _ = segments.fit_segments(prepared, k)
     fitted = materialize(fitted, "segments")

@@ -4,24 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def normalise(df: DataFrame, rename: Mapping[str, str] | None = None) -> DataFrame:
-    """Lower-case column names, apply ``rename`` and put timestamps on the UTC time line.
+    """Lower-case column names and apply ``rename``, matching names without regard to case.
 
-    Names are matched without regard to case.  A single projection, so it is pushed
-    into the scan together with whatever the caller selects from it.
+    Only names change: a filter on any column still reaches the scan.
     """
     rename = {old.lower(): new for old, new in (rename or {}).items()}
-    columns = []
-    for field in df.schema.fields:
-        name = field.name.lower()
-        value = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, T.TimestampNTZType):
-            value = value.cast("timestamp")
-        columns.append(value.alias(rename.get(name, name)))
-    return df.select(*columns)
+    return df.select(
+        *[F.col(f"`{name}`").alias(rename.get(name.lower(), name.lower())) for name in df.columns]
+    )
 
 
 def read_files(
