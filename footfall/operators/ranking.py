@@ -92,6 +92,8 @@ def with_ntiles(df: DataFrame, scores: Mapping[str, Ranking], buckets: int, tie:
     2, 3, ... are looked up; each row then compares itself with those few keys, so ``df``
     itself is not shuffled.
     """
+    if buckets == 1:
+        return df.withColumns({name: F.lit(1) for name in scores})
     rankings = list(scores.values())
     ranked = rank_columns(df, rankings, tie)
     size = F.floor(F.col("total") / buckets)
