@@ -1,10 +1,10 @@
-"""Division, rounding and money column expressions."""
+"""Division and rounding column expressions."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -26,14 +26,6 @@ def half_even(value: Column, digits: int) -> Column:
     return F.bround(value, digits)
 
 
-def exact_money(df: DataFrame, column: str) -> Column:
-    """``column`` as DECIMAL, so that sums do not depend on the order of rows."""
-    kind = df.schema[column].dataType
-    if isinstance(kind, T.DecimalType):
-        return F.col(column)
-    return F.col(column).cast(T.DecimalType(18, 6))
-
-
 def any_of(flags: Sequence[Column]) -> Column:
     """Row-wise OR over 0/1 columns."""
     return flags[0] if len(flags) == 1 else F.greatest(*flags)

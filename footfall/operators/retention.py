@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from footfall.fixed_values import RETENTION_OFFSETS, REVENUE_STATUSES
 from footfall.functions.dates import month_label, month_start, months_apart
-from footfall.functions.maths import exact_money, half_even, half_up, percent, ratio
+from footfall.functions.maths import half_even, half_up, percent, ratio
+from footfall.functions.money import from_parts, high_part, low_part, micro_units
 
 
 def cohort_retention(
@@ -84,7 +85,7 @@ def monthly_revenue(
         sold.select(order_id, month_start(F.col(ts)).alias("month"))
         .join(order_totals(items, order_id, price), order_id)
         .groupBy("month")
-        .agg(F.sum("order_total").cast("double").alias("revenue"))
+        .agg(sum_of_totals().cast("double").alias("revenue"))
         .withColumn("prev_month_revenue", F.lag("revenue").over(by_month))
         .withColumn(
             "mom_growth_pct",
@@ -97,13 +98,21 @@ def monthly_revenue(
 
 
 def order_totals(items: DataFrame, order_id: str = "order_id", price: str = "sale_price") -> DataFrame:
-    """One row per order with its summed price.
+    """One row per order with its summed price, in two parts (see ``sum_of_totals``).
 
     Joining orders to this and not to the items costs no extra shuffle (both sides are
     needed by order id anyway), sends combined rows through it, and leaves no order with
     more than one row to join however many items it holds.
     """
-    return items.groupBy(order_id).agg(F.sum(exact_money(items, price)).alias("order_total"))
+    units = micro_units(items, price)
+    return items.groupBy(order_id).agg(
+        F.sum(high_part(units)).alias("_total_high"), F.sum(low_part(units)).alias("_total_low")
+    )
+
+
+def sum_of_totals() -> Column:
+    """Aggregate over rows of ``order_totals``: their exact sum, as DECIMAL."""
+    return from_parts(F.sum("_total_high"), F.sum("_total_low"))
 
 
 def retention_kpis(rates: DataFrame, revenue: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from footfall.fixed_values import REVENUE_STATUSES, SCORE_BUCKETS
 from footfall.functions.dates import days_apart
 from footfall.operators.ranking import Ranking, with_ntiles
-from footfall.operators.retention import order_totals
+from footfall.operators.retention import order_totals, sum_of_totals
 from footfall.session import materialize
 
 
@@ -39,7 +39,7 @@ def rfm_base(
             F.max("_date").alias("_last"),
             F.count_distinct("_date").alias("frequency"),
             # Rounded while still DECIMAL, so that half cents are exact.
-            F.round(F.sum("order_total"), 2).cast("double").alias("monetary_value"),
+            F.round(sum_of_totals(), 2).cast("double").alias("monetary_value"),
         )
     )
     per_user = materialize(per_user, "rfm")

@@ -28,7 +28,8 @@ from footfall.fixed_values import (
     SEGMENT_SEED,
     SEGMENT_SWEEP,
 )
-from footfall.functions.maths import exact_money, half_even, percent
+from footfall.functions.maths import half_even, percent
+from footfall.functions.money import exact_sum, micro_units
 from footfall.operators.ranking import exact_quantiles
 
 MAX_ITERATIONS = 300
@@ -216,6 +217,10 @@ def _silhouette_rows(distance: np.ndarray, own: np.ndarray, label: np.ndarray) -
     return np.where(alone | (widest == 0), 0.0, (separation - cohesion) / np.where(widest == 0, 1.0, widest))
 
 
+def exact_mean(rows: DataFrame, column: str) -> Column:
+    return F.try_divide(exact_sum(micro_units(rows, column)).cast("double"), F.count(column))
+
+
 def segment_profiles(rows: DataFrame, id_column: str = "user_id") -> DataFrame:
     """``segment, recency, frequency, monetary, count``: means to one decimal, and size."""
     def mean(column: str, name: str) -> Column:
@@ -224,7 +229,7 @@ def segment_profiles(rows: DataFrame, id_column: str = "user_id") -> DataFrame:
     return rows.groupBy("segment").agg(
         mean("recency_days", "recency"),
         mean("frequency", "frequency"),
-        F.bround(F.avg(exact_money(rows, "monetary_value")), 1).cast("double").alias("monetary"),
+        half_even(exact_mean(rows, "monetary_value"), 1).alias("monetary"),
         F.count(id_column).alias("count"),
     )
 
@@ -261,7 +266,9 @@ def revenue_at_stake(labelled_rows: DataFrame) -> DataFrame:
     overall = Window.partitionBy()  # one row per label
     return (
         labelled_rows.groupBy(F.col("label").alias("segment"))
-        .agg(F.sum(exact_money(labelled_rows, "monetary_value")).cast("double").alias("total_revenue"))
+        .agg(
+            exact_sum(micro_units(labelled_rows, "monetary_value")).cast("double").alias("total_revenue")
+        )
         .withColumn(
             "pct", half_even(percent(F.col("total_revenue"), F.sum("total_revenue").over(overall)), 1)
         )
@@ -271,11 +278,10 @@ def revenue_at_stake(labelled_rows: DataFrame) -> DataFrame:
 
 def segment_kpis(labelled_rows: DataFrame) -> DataFrame:
     """One row: ``customers, segments, avg_spend, avg_recency``."""
-    money = exact_money(labelled_rows, "monetary_value")
     return labelled_rows.agg(
         F.count(F.lit(1)).alias("customers"),
         F.count_distinct("segment").alias("segments"),
-        (F.sum(money).cast("double") / F.count(money)).alias("avg_spend"),
+        exact_mean(labelled_rows, "monetary_value").alias("avg_spend"),
         F.avg("recency_days").alias("avg_recency"),
     )
 

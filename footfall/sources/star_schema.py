@@ -9,7 +9,7 @@ events   signup, view, click, purchase, error become home, department or product
          tracking token is one per visitor and day.
 orders   states F and O (finished and open) count as revenue, P (in part) does not.
          The codes are kept, so that a filter on them reaches the scan.
-items    sale price is the extended price less discount, in DECIMAL.
+items    sale price is the extended price less discount.
 users    a customer signs up with the first order.
 """
 
@@ -63,11 +63,9 @@ def orders(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def order_items(spark: SparkSession, folder: str) -> DataFrame:
-    price = F.col("l_extendedprice").cast("decimal(12,2)")
-    discount = F.col("l_discount").cast("decimal(4,2)")
     return table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("order_id"),
-        (price * (F.lit(1).cast("decimal(2,0)") - discount)).alias("sale_price"),
+        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("sale_price"),
     )
 
 

@@ -2,7 +2,9 @@ from datetime import date, datetime
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
+from footfall.functions.money import exact_sum, micro_units
 from footfall.operators import retention, rfm
 from footfall.plans.reports import retention_report
 
@@ -104,3 +106,13 @@ def test_quintiles(spark):
     assert [rows[u]["m_score"] for u in range(7, 0, -1)] == [1, 1, 2, 2, 3, 4, 5]
     # Longest ago first: users 2, 5 (two days), 1, 4, 7 (one), 3, 6 (none).
     assert [rows[u]["r_score"] for u in (2, 5, 1, 4, 7, 3, 6)] == [1, 1, 2, 2, 3, 4, 5]
+
+
+def test_money_parts_do_not_overflow(spark):
+    """A total far beyond LONG micro units, exact to the last digit, with refunds."""
+    amounts = spark.range(2000).select(F.lit(8_000_000_000.5).alias("a")).union(
+        spark.range(3).select(F.lit(-0.000001))
+    )
+    total = amounts.agg(exact_sum(micro_units(amounts, "a")).alias("t")).first()["t"]
+    assert total == Decimal("16000000000999.999997")
+    assert amounts.where("a > 1e99").agg(exact_sum(micro_units(amounts, "a")).alias("t")).first()["t"] is None
