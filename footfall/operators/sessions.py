@@ -11,6 +11,7 @@ from footfall.functions.dates import in_micros, micros, minutes_apart
 from footfall.operators.skew import HOT_ROWS, HotKeys, find_hot_keys
 
 SLICE_WIDTH = timedelta(hours=1)
+FINEST_SLICE = timedelta(milliseconds=1)
 
 
 def sessionize(
@@ -29,13 +30,15 @@ def sessionize(
 
     One shuffle, on the user.  Users with more than ``hot_rows`` events are shuffled by
     user and time slice instead, so that no task holds all of them, and the slices are
-    stitched together through one summary row each.
+    stitched together through one summary row each.  Slices start out ``slice_width`` wide
+    and are narrowed if the events of a user come in bursts.
     """
     keyed = events.where(F.col(user_key).isNotNull())
     hot = find_hot_keys(keyed, user_key, hot_rows)
     if hot is None:
         return _number_sessions(keyed, [user_key], ts, tie, gap)
-    return _sessionize_in_slices(keyed, hot, user_key, ts, tie, gap, slice_width)
+    width = _fitting_width(keyed, hot, user_key, ts, slice_width, hot_rows)
+    return _sessionize_in_slices(keyed, hot, user_key, ts, tie, gap, width)
 
 
 def _number_sessions(events: DataFrame, keys: list[str], ts: str, tie: str, gap: timedelta) -> DataFrame:
@@ -54,13 +57,29 @@ def _starts_session(minutes: Column, gap: timedelta) -> Column:
     return F.when(minutes <= limit, 0).otherwise(1)
 
 
+def _slice(ts: str, width: timedelta) -> Column:
+    # Events without a time sort first, so they form the earliest slice.
+    return F.coalesce(F.floor(micros(F.col(ts)) / F.lit(in_micros(width))), F.lit(-(2**62)))
+
+
+def _fitting_width(
+    events: DataFrame, hot: HotKeys, user_key: str, ts: str, width: timedelta, hot_rows: int
+) -> timedelta:
+    """The widest of ``width``, a 60th of it, ... at which no slice exceeds ``hot_rows``."""
+    times = events.select(user_key, ts).join(hot.hinted, user_key)
+    while width > FINEST_SLICE:
+        sizes = times.groupBy(user_key, _slice(ts, width).alias("_slice")).agg(F.count(F.lit(1)).alias("_rows"))
+        if sizes.agg(F.max("_rows")).first()[0] <= hot_rows:
+            break
+        width /= 60
+    return max(width, FINEST_SLICE)
+
+
 def _sessionize_in_slices(
     events: DataFrame, hot: HotKeys, user_key: str, ts: str, tie: str, gap: timedelta, slice_width: timedelta
 ) -> DataFrame:
-    # Events without a time sort first, so they form the earliest slice.
-    slice_number = F.coalesce(F.floor(micros(F.col(ts)) / F.lit(in_micros(slice_width))), F.lit(-(2**62)))
     sliced = events.join(hot.hinted.withColumn("_hot", F.lit(True)), user_key, "left").withColumn(
-        "_slice", F.when(F.col("_hot"), slice_number)
+        "_slice", F.when(F.col("_hot"), _slice(ts, slice_width))
     )
     numbered = _number_sessions(sliced, [user_key, "_slice"], ts, tie, gap).drop("_hot")
 

@@ -70,6 +70,20 @@ def test_slices_do_not_show(skewed, width):
     assert len(whole) == 6000
 
 
+def test_bursts_narrow_the_slices(spark, skewed):
+    """A thousand events in one second do not fit a slice of an hour."""
+    burst = spark.range(10_000, 11_000).select(
+        "id",
+        F.lit(0).cast("long").alias("user_id"),
+        F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") * 900).alias("created_at"),
+    )
+    both = skewed.unionByName(burst)
+    hot = find_hot_keys(both, "user_id", 400)
+    width = sessions._fitting_width(both, hot, "user_id", "created_at", timedelta(hours=1), 400)
+    assert width < timedelta(seconds=1)
+    assert numbered(sessions.sessionize(both, hot_rows=400)) == numbered(sessions.sessionize(both))
+
+
 def test_every_user_sliced(skewed):
     assert numbered(sessions.sessionize(skewed, hot_rows=1)) == numbered(sessions.sessionize(skewed))
 
