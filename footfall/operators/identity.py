@@ -36,7 +36,9 @@ def resolve_identity(
     )
     return (
         events.select(F.col(session).alias("raw_session_id"), F.col(user).alias("raw_user_id"), *carry)
-        # Events without a session id form one session of their own.
+        # Events without a session id form one session of their own.  The null-safe key also
+        # makes the join shuffle its right side by itself, without which adaptive execution
+        # could not split a skewed left side.
         .join(owners, F.col("raw_session_id").eqNullSafe(F.col("_session")), "left")
         .select("raw_session_id", "resolved_user_id", "raw_user_id", *carry, status.alias("resolution_status"))
     )

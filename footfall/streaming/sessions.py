@@ -11,6 +11,9 @@ from footfall.functions.dates import in_micros
 from footfall.session import new_scratch_path
 
 
+SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
+
+
 def _interval(span: timedelta) -> str:
     return f"{in_micros(span)} microseconds"
 
@@ -46,16 +49,25 @@ def sessionize_stream(
 
 
 def run_available(stream: DataFrame, label: str) -> DataFrame:
-    """Process what the sources hold now, append results to a table, and read that back."""
+    """Process what the sources hold now, append results to a table, and read that back.
+
+    State is kept per shuffle partition, and their number is fixed when a stream starts:
+    one per core, as adaptive execution does not merge the small ones of a stream.
+    """
     spark = stream.sparkSession
     path = new_scratch_path(spark, label)
-    query = (
+    writer = (
         stream.writeStream.format("parquet")
         .outputMode("append")
         .option("path", f"{path}/rows")
         .option("checkpointLocation", f"{path}/progress")
         .trigger(availableNow=True)
-        .start()
     )
+    for_batches = spark.conf.get(SHUFFLE_PARTITIONS)
+    spark.conf.set(SHUFFLE_PARTITIONS, spark.sparkContext.defaultParallelism)
+    try:
+        query = writer.start()
+    finally:
+        spark.conf.set(SHUFFLE_PARTITIONS, for_batches)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")

@@ -181,3 +181,33 @@ def test_mixed_sessions_and_audit(mixed):
     assert rows == [("a", 2, 1, 7), (None, 1, 1, 3), ("d", 1, 2, 6)]
     audit = [tuple(r) for r in identity.session_identity_audit(mixed, limit=2).collect()]
     assert audit == [("d", 2, 1, 2), ("a", 1, 2, 1)]
+
+
+def test_hot_session_is_split_by_the_join(spark):
+    """Half of the events belong to one session."""
+    events = spark.range(0, 40_000, 1, 8).select(
+        "id",
+        F.when(F.col("id") < 20_000, "hot").otherwise(F.md5(F.col("id").cast("string"))).alias("session_id"),
+        F.when(F.col("id") == 15_000, 7).cast("long").alias("user_id"),
+        F.timestamp_seconds("id").alias("created_at"),
+    )
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {key: spark.conf.get(key, None) for key in small}
+    try:
+        for key, value in small.items():
+            spark.conf.set(key, value)
+        resolved = identity.resolve_identity(events, carry=("id",))
+        rows = resolved.where("resolution_status = 'anonymous resolved'").count()
+        resolved.collect()
+        plan = resolved._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    assert rows == 19_999
+    assert "skew=true" in plan
