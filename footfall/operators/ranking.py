@@ -93,7 +93,7 @@ def with_ntiles(df: DataFrame, scores: Mapping[str, Ranking], buckets: int, tie:
     itself is not shuffled.
     """
     if buckets == 1:
-        return df.withColumns({name: F.lit(1) for name in scores})
+        return df.withColumns({name: F.lit(1).cast("long") for name in scores})
     rankings = list(scores.values())
     ranked = rank_columns(df, rankings, tie)
     size = F.floor(F.col("total") / buckets)
@@ -114,7 +114,7 @@ def with_ntiles(df: DataFrame, scores: Mapping[str, Ranking], buckets: int, tie:
         passed = [
             F.when(ranking.key(tie) >= F.col("_cuts")[f"{which}_{i}"], 1).otherwise(0) for i in opens
         ]
-        return reduce(add, passed, F.lit(1))
+        return reduce(add, passed, F.lit(1).cast("long"))
 
     return (
         df.withColumn("_cuts", cuts.scalar())

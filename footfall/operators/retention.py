@@ -28,16 +28,17 @@ def cohort_retention(
     Orders are first reduced to one row per user and month, which makes every later count
     a plain sum and leaves at most one row per calendar month to sort for any user.
     """
-    joins = F.lit(True) if cohort_statuses is None else F.col(status).isin(*cohort_statuses)
+    flags = [F.max(F.col(status).isin(*statuses)).alias("_kept")]
+    joining_month = F.col("_month")
+    if cohort_statuses is not None:
+        flags.append(F.max(F.col(status).isin(*cohort_statuses)).alias("_joins"))
+        joining_month = F.when(F.col("_joins"), joining_month)
     monthly = (
         orders.where(F.col(user).isNotNull())
         .groupBy(F.col(user).alias("_user"), month_start(F.col(ts)).alias("_month"))
-        .agg(
-            F.max(F.col(status).isin(*statuses)).alias("_kept"),
-            F.max(joins).alias("_joins"),
-        )
+        .agg(*flags)
     )
-    first_month = F.min(F.when(F.col("_joins"), F.col("_month"))).over(Window.partitionBy("_user"))
+    first_month = F.min(joining_month).over(Window.partitionBy("_user"))
     placed = (
         monthly.withColumn("cohort_month", first_month)
         .where(F.col("_kept"))
