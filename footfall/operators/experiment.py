@@ -114,6 +114,7 @@ def srm_check(
         ratio((F.col(n) - total * share) * (F.col(n) - total * share), total * share)
         for n, share in zip(("n_control", "n_treatment"), expected_split)
     ]
+    broken = F.coalesce(F.col("_p") < alpha, F.lit(False))  # an empty experiment has no p
     return (
         arms.withColumn("_chi2", parts[0] + parts[1])
         .withColumn("_p", chi_square_p(F.col("_chi2")))
@@ -123,8 +124,8 @@ def srm_check(
             "n_treatment",
             half_even(F.col("_chi2"), 4).alias("chi2_stat"),
             half_even(F.col("_p"), 6).alias("p_value"),
-            (F.col("_p") < alpha).alias("srm_detected"),
-            F.when(F.col("_p") < alpha, SRM_BROKEN).otherwise(SRM_PASS).alias("verdict"),
+            broken.alias("srm_detected"),
+            F.when(broken, SRM_BROKEN).otherwise(SRM_PASS).alias("verdict"),
         )
     )
 

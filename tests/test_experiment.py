@@ -23,6 +23,7 @@ def arms(spark):
             ("even", 5000, 250, 5000, 250),
             ("nobody", 0, 0, 10, 1),
             ("none bought", 500, 0, 500, 0),
+            ("empty", 0, 0, 0, 0),
         ],
         KEYS,
     ).cache()
@@ -40,6 +41,7 @@ def test_srm(arms):
     assert found["skewed"]["verdict"].startswith("ABORT") and found["skewed"]["srm_detected"] is True
     assert found["real"]["chi2_stat"] == pytest.approx(118.887, abs=1e-3)
     assert found["real"]["srm_detected"] is True
+    assert found["empty"]["p_value"] is None and found["empty"]["srm_detected"] is False
 
 
 def test_srm_against_the_designed_split(arms):
@@ -66,7 +68,7 @@ def test_ztest(arms):
 
 def test_ztest_without_data_is_null(arms):
     found = by_name(experiment.proportion_ztest(arms, KEYS))
-    for name in ("nobody", "none bought"):
+    for name in ("nobody", "none bought", "empty"):
         assert found[name]["z_stat"] is None and found[name]["significant"] is False
     assert found["none bought"]["relative_lift_pct"] is None
 
@@ -82,6 +84,7 @@ def test_decisions(arms):
         "even": "INCONCLUSIVE",
         "nobody": "BLOCKED",
         "none bought": "INCONCLUSIVE",
+        "empty": "INCONCLUSIVE",
     }
     with pytest.raises(ValueError):
         experiment.decide(arms, arms, arms, [])

@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from footfall.operators import funnel
+from footfall.plans.queries import funnel_of_visits
 from footfall.plans.reports import funnel_report
 
 START = datetime(2024, 1, 1)
@@ -60,6 +61,12 @@ def test_summaries(events):
     assert [r["sessions"] for r in report.traffic.collect()] == [3, 1, 2, 2, 2]
 
 
+def test_funnel_after_sessions_needs_one_shuffle(spark):
+    """Sessions are already placed by user; grouping by user and session stays there."""
+    plan = funnel_of_visits(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_no_carts_does_not_divide_by_zero(events):
     kpis = funnel.funnel_kpis(funnel.session_funnel(events.where("session_id = 'only home'"))).first()
     assert kpis["cart_to_purchase_pct"] == 0 and kpis["lost_cart_pct"] == 100
