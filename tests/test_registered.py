@@ -3,11 +3,13 @@
 import pytest
 
 import __spark_entry__ as registered
+from footfall.plans.oracle import ORACLE_SQL as LIBRARY_SQL
+from footfall.plans.queries import QUERIES as LIBRARY_QUERIES
 from tests.compare import connect, differences
 
 FOLDER = "/root/testdata/sf0.001"
-ORACLE = registered.oracle_sql()
-QUERIES = registered.queries()
+ORACLE = LIBRARY_SQL
+QUERIES = {q.__name__: registered.queries()[q.__name__] for q in LIBRARY_QUERIES}
 
 
 @pytest.fixture(scope="module")
