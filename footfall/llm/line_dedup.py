@@ -15,8 +15,10 @@ from footfall.session import materialize
 WHITE = " \t\n\x0b\x0c\r"
 MIN_LENGTH = 40
 MIN_DOCS = 5
-# Lines that occur more often are decided by aggregates, never brought to one task.
-HOT_LINES = 100_000
+# At most so many lines are hot: those that make up more than that share of all lines.
+MOST_HOT = 100_000
+# Lines that occur less often than this are never hot.
+LEAST_HOT = 1_000
 WORD_BITS = 64
 
 
@@ -40,7 +42,7 @@ def keep_bitmaps(
     text: str = "text",
     min_length: int = MIN_LENGTH,
     min_docs: int = MIN_DOCS,
-    hot_lines: int = HOT_LINES,
+    hot_lines: int | None = None,
 ) -> DataFrame:
     """``doc_id, row_hash, words`` for the documents that lose lines.
 
@@ -50,9 +52,10 @@ def keep_bitmaps(
     largest that holds them.  Documents are told apart by id, so rows repeated under one id
     count once and are treated alike; NULL ids count as one id below all others.
 
-    Lines that occur over ``hot_lines`` times are counted by combining aggregates.  There are
-    at most lines / hot_lines of them, which bounds what is broadcast; no other hash has more
-    rows than that in its window.
+    Lines that occur over ``hot_lines`` times are counted by combining aggregates, never
+    brought to one task.  By default that is a share of all lines, so that at most MOST_HOT
+    hashes are broadcast however large the table is; no other hash has more rows in its
+    window.
     """
     key = F.transform(lines_of(text_or_empty(text)), lambda line: line_key(line))
     lines = materialize(
@@ -61,6 +64,8 @@ def keep_bitmaps(
         .select("doc_id", "row_hash", "line", F.unhex(F.md5("key")).alias("hash")),
         "lines",
     )
+    if hot_lines is None:
+        hot_lines = max(LEAST_HOT, -(-lines.count() // MOST_HOT))
     counted = lines.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_lines)
     hot = materialize(counted.select("hash"), "hot-lines")
     some_hot = bool(hot.take(1))

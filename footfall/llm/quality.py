@@ -63,23 +63,17 @@ def encode_passages(data: np.ndarray, offsets: np.ndarray, words_each: int = PAS
     passage = first_bag[text] + within // words_each
     n_passages = len(features)
 
-    # Characters: passages run from their first word to the next passage's first, or the text's end.
+    # Characters: a passage runs from its first word to the next passage, or to the text's end.
     opens = np.flatnonzero(within % words_each == 0)
-    where = passage[opens]
-    begin = starts[opens]
-    end = np.append(begin[1:], 0)
-    last = np.append(text[opens][1:] != text[opens][:-1], True)
-    end[last] = offsets[text[opens][last] + 1]
+    where, begin = passage[opens], starts[opens]
     width = len(CLASSES) + 1
-    steps = np.zeros(len(data) + 1, dtype=np.int64)
-    marks = np.zeros(len(data) + 1, dtype=np.int64)
+    marks = np.zeros(len(data), dtype=np.int64)
     marks[begin] = np.arange(1, len(begin) + 1)
-    steps = np.maximum.accumulate(marks[:-1])  # the passage each byte is in or after
-    valid = steps > 0
-    counts = np.bincount(
-        (steps[valid] - 1) * width + _CLASS[data[valid]], minlength=len(begin) * width
-    ).reshape(-1, width)
-    # Leading white space of the next text falls to the passage before it; it is in the last class or in two others.
+    inside_of = np.maximum.accumulate(marks) - 1  # the passage each byte is in, or comes after
+    # White space before the first word of a text is in no passage.
+    byte_text = np.repeat(np.arange(n_texts), np.diff(offsets))
+    own = (inside_of >= 0) & (text[opens][inside_of] == byte_text)
+    counts = np.bincount(inside_of[own] * width + _CLASS[data[own]], minlength=len(begin) * width).reshape(-1, width)
     size = np.maximum(counts.sum(axis=1), 1)
     features[where, :width] = counts / size[:, None]
 
