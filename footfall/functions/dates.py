@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+# More than the distance between any two LONGs.
+_TIE_RANGE = 2 * 10**19
 
 
 def month_start(moment: Column) -> Column:
@@ -40,3 +43,16 @@ def in_micros(span: timedelta) -> int:
 
 def month_label(day: Column) -> Column:
     return F.date_format(day, "yyyy-MM")
+
+
+def order_key(df: DataFrame, ts: str, tie: str) -> Column:
+    """Orders rows by ``ts``, NULLs first, then ``tie``.
+
+    With a whole-number tie it is one number of fixed width, so that ``min_by`` and
+    ``max_by`` of fixed-width values are hash aggregates; else it is a struct.
+    """
+    if not isinstance(df.schema[tie].dataType, T.IntegralType):
+        return F.struct(ts, tie)
+    lowest = F.lit("-9900000000000000000").cast("decimal(19,0)")  # below any LONG
+    moment = F.coalesce(micros(F.col(ts)), F.lit(-(10**17) * 9)).cast("decimal(18,0)")
+    return (moment * F.lit(str(_TIE_RANGE)).cast("decimal(20,0)") + F.coalesce(F.col(tie).cast("decimal(19,0)"), lowest)).cast("decimal(38,0)")

@@ -2,39 +2,88 @@
 
 A sum of doubles depends on the order of rows, so it differs from run to run.  DECIMAL sums
 do not, but took four times as long on 18 million rows.  Here an amount becomes a whole
-number of micro units, which is added as LONG; a total is carried as a high and a low part,
-so that a third of a very large table may fall on one key without overflow.
+number of units, which is added as LONG; a total is carried as a high and a low part, so
+that a third of a very large table may fall on one key without overflow.
+
+Nothing is cut.  A DECIMAL's units are those of its own scale.  Of a DOUBLE the units are
+millionths, and what they do not express (further digits, NaN, infinities, very large
+amounts) is added besides, as DOUBLE; for amounts of up to six digits that is exactly zero.
+DECIMALs too wide for LONG are added as they are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-MICRO = 1_000_000
+DOUBLE_SCALE = 6
 LOW_BITS = 20
+# A LONG holds 18 digits whatever they are.
+LONG_DIGITS = 18
+LARGEST_DOUBLE = 9e12
 
 
-def micro_units(df: DataFrame, column: str) -> Column:
-    """``column`` in millionths, as LONG; further digits are rounded."""
-    amount = F.col(column)
-    if isinstance(df.schema[column].dataType, T.DecimalType):
-        return F.round(amount * MICRO).cast("long")
-    return F.rint(amount.cast("double") * MICRO).cast("long")
+@dataclass(frozen=True)
+class Money:
+    """How amounts of one column are added.  ``scale`` is None for those added as they are."""
 
+    scale: int | None
+    rest: bool
 
-def high_part(units: Column) -> Column:
-    return F.shiftright(units, LOW_BITS)
+    @staticmethod
+    def of(df: DataFrame, column: str) -> Money:
+        kind = df.schema[column].dataType
+        if isinstance(kind, T.DecimalType):
+            return Money(kind.scale if kind.precision <= LONG_DIGITS else None, rest=False)
+        if isinstance(kind, T.IntegralType):
+            return Money(0, rest=False)
+        return Money(DOUBLE_SCALE, rest=True)
 
+    def parts(self, amount: Column) -> dict[str, Column]:
+        """What to add, by name."""
+        if self.scale is None:
+            return {"whole": amount}
+        if not self.rest:
+            units = amount.cast("long") if self.scale == 0 else (amount * 10**self.scale).cast("long")
+            return {"high": F.shiftright(units, LOW_BITS), "low": units.bitwiseAND((1 << LOW_BITS) - 1)}
+        amount = amount.cast("double")
+        # False for NaN as well, which counts as larger than anything.
+        fits = F.abs(amount) < LARGEST_DOUBLE
+        units = F.when(fits, F.rint(amount * 10**DOUBLE_SCALE).cast("long")).when(amount.isNotNull(), F.lit(0).cast("long"))
+        return {
+            "high": F.shiftright(units, LOW_BITS),
+            "low": units.bitwiseAND((1 << LOW_BITS) - 1),
+            "rest": F.when(fits, amount - units / float(10**DOUBLE_SCALE)).otherwise(amount),
+        }
 
-def low_part(units: Column) -> Column:
-    return units.bitwiseAND((1 << LOW_BITS) - 1)
+    def total(self, part: Callable[[str], Column]) -> Column:
+        """The amount, of summed parts: DECIMAL, or DOUBLE where amounts are DOUBLE."""
+        if self.scale is None:
+            return part("whole")
+        units = part("high").cast("decimal(20,0)") * F.lit(1 << LOW_BITS).cast("decimal(7,0)") + part("low").cast(
+            "decimal(20,0)"
+        )
+        if self.scale == 0:
+            return units
+        # 38 digits are what a DECIMAL has; the units take up to 28 of them.
+        exact = units.cast(f"decimal({38 - self.scale},0)") * F.lit(f"1e-{self.scale}").cast(
+            f"decimal({self.scale},{self.scale})"
+        )
+        return exact.cast("double") + part("rest") if self.rest else exact
 
+    def sums(self, amount: Column, prefix: str) -> list[Column]:
+        """Aggregates of every part, named for ``total_of``."""
+        return [F.sum(value).alias(f"{prefix}_{name}") for name, value in self.parts(amount).items()]
 
-def from_parts(high: Column, low: Column) -> Column:
-    """The amount, as DECIMAL with six digits, of summed parts."""
-    units = high.cast("decimal(20,0)") * F.lit(1 << LOW_BITS).cast("decimal(7,0)") + low.cast("decimal(20,0)")
-    return units * F.lit("0.000001").cast("decimal(6,6)")
+    def total_of(self, prefix: str) -> Column:
+        """Aggregate over rows of ``sums``: their total."""
+        return self.total(lambda name: F.sum(f"{prefix}_{name}"))
 
 
-def exact_sum(units: Column) -> Column:
-    return from_parts(F.sum(high_part(units)), F.sum(low_part(units)))
+def exact_sum(df: DataFrame, column: str) -> Column:
+    """Aggregate: the sum of ``column`` of ``df``; NULL if there is no amount."""
+    money = Money.of(df, column)
+    parts = money.parts(F.col(column))
+    return money.total(lambda name: F.sum(parts[name]))

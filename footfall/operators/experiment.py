@@ -52,14 +52,15 @@ def experiment_summary(
     statuses: Sequence[str] = REVENUE_STATUSES,
     user: str = "user_id",
     status: str = "status",
+    converts: Column | None = None,
 ) -> DataFrame:
     """``[keys,] experiment_group, total_users, conversions, conversion_rate_pct``.
 
-    A user converts with any qualifying order.  Qualifying orders shrink to one row per
+    A user converts with any qualifying order, or any that ``converts`` holds for as well.  Qualifying orders shrink to one row per
     buyer before the join, so a user with very many orders weighs as much as any other.
     """
     buyers = (
-        orders.where(F.col(status).isin(*statuses))
+        orders.where(F.col(status).isin(*statuses) & (F.lit(True) if converts is None else converts))
         .groupBy(F.col(user).alias("user_id"))
         .agg(F.lit(1).alias("_bought"))
     )
@@ -109,24 +110,29 @@ def srm_check(
     ``expected_split`` is the designed share of each arm.  Testing the observed shares
     against themselves would always pass.
     """
+    return _with_srm(arms, expected_split, alpha).select(
+        *keys,
+        "n_control",
+        "n_treatment",
+        half_even(F.col("_chi2"), 4).alias("chi2_stat"),
+        half_even(F.col("_srm_p"), 6).alias("p_value"),
+        F.col("_srm").alias("srm_detected"),
+        F.when(F.col("_srm"), SRM_BROKEN).otherwise(SRM_PASS).alias("verdict"),
+    )
+
+
+def _with_srm(arms: DataFrame, expected_split: tuple[float, float], alpha: float) -> DataFrame:
+    """Adds ``_chi2, _srm_p, _srm``."""
     total = F.col("n_control") + F.col("n_treatment")
     parts = [
         ratio((F.col(n) - total * share) * (F.col(n) - total * share), total * share)
         for n, share in zip(("n_control", "n_treatment"), expected_split)
     ]
-    broken = F.coalesce(F.col("_p") < alpha, F.lit(False))  # an empty experiment has no p
     return (
         arms.withColumn("_chi2", parts[0] + parts[1])
-        .withColumn("_p", chi_square_p(F.col("_chi2")))
-        .select(
-            *keys,
-            "n_control",
-            "n_treatment",
-            half_even(F.col("_chi2"), 4).alias("chi2_stat"),
-            half_even(F.col("_p"), 6).alias("p_value"),
-            broken.alias("srm_detected"),
-            F.when(broken, SRM_BROKEN).otherwise(SRM_PASS).alias("verdict"),
-        )
+        .withColumn("_srm_p", chi_square_p(F.col("_chi2")))
+        # An empty experiment has no p.
+        .withColumn("_srm", F.coalesce(F.col("_srm_p") < alpha, F.lit(False)))
     )
 
 
@@ -138,6 +144,24 @@ def proportion_ztest(arms: DataFrame, keys: Sequence[str] = (), alpha: float = A
     significant gain, ``significant_negative`` a significant loss.  Figures that would
     divide by zero are NULL.
     """
+    lift = F.col("_lift")
+    return _with_ztest(arms, alpha).select(
+        *keys,
+        half_even(F.col("_p_c"), 6).alias("p_control"),
+        half_even(F.col("_p_t"), 6).alias("p_treatment"),
+        half_even(lift, 6).alias("absolute_lift"),
+        half_even(F.try_divide(lift, F.col("_p_c")) * 100, 2).alias("relative_lift_pct"),
+        half_even(F.col("_z"), 4).alias("z_stat"),
+        half_even(F.col("_p"), 6).alias("p_value"),
+        half_even(F.col("_low"), 6).alias("ci_lower"),
+        half_even(F.col("_high"), 6).alias("ci_upper"),
+        F.col("_gain").alias("significant"),
+        F.col("_loss").alias("significant_negative"),
+    )
+
+
+def _with_ztest(arms: DataFrame, alpha: float) -> DataFrame:
+    """Adds ``_p_c, _p_t, _lift, _z, _p, _low, _high, _gain, _loss``."""
     n_c, x_c, n_t, x_t = (F.col(name) for name in COUNTS)
     p_c, p_t, lift = F.col("_p_c"), F.col("_p_t"), F.col("_lift")
     pooled = ratio(x_c + x_t, n_c + n_t)
@@ -150,19 +174,7 @@ def proportion_ztest(arms: DataFrame, keys: Sequence[str] = (), alpha: float = A
         .withColumn("_lift", p_t - p_c)
         .withColumn("_z", F.try_divide(lift, F.sqrt(pooled * (1 - pooled) * inverse_sizes)))
         .withColumns({"_p": two_sided_p(F.col("_z")), "_low": lift - reach, "_high": lift + reach})
-        .select(
-            *keys,
-            half_even(p_c, 6).alias("p_control"),
-            half_even(p_t, 6).alias("p_treatment"),
-            half_even(lift, 6).alias("absolute_lift"),
-            half_even(F.try_divide(lift, p_c) * 100, 2).alias("relative_lift_pct"),
-            half_even(F.col("_z"), 4).alias("z_stat"),
-            half_even(F.col("_p"), 6).alias("p_value"),
-            half_even(F.col("_low"), 6).alias("ci_lower"),
-            half_even(F.col("_high"), 6).alias("ci_upper"),
-            (below_alpha & (F.col("_low") > 0)).alias("significant"),
-            (below_alpha & (F.col("_high") < 0)).alias("significant_negative"),
-        )
+        .withColumns({"_gain": below_alpha & (F.col("_low") > 0), "_loss": below_alpha & (F.col("_high") < 0)})
     )
 
 
@@ -207,35 +219,47 @@ def measured_baselines(arms: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return arms.select(*keys, ratio(F.col("x_control"), F.col("n_control")).alias("baseline_rate"))
 
 
-def decide(srm: DataFrame, ztest: DataFrame, power: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``keys, decision, reason`` from the three read-outs, each one row per experiment.
+def decide(
+    arms: DataFrame,
+    mde: float,
+    keys: Sequence[str] = (),
+    alpha: float = ALPHA,
+    power: float = POWER,
+    expected_split: tuple[float, float] = EXPECTED_SPLIT,
+    srm_alpha: float = ALPHA,
+) -> DataFrame:
+    """``[keys,] decision, reason`` and the figures behind them, one row per experiment.
 
-    A broken split blocks; too few users is inconclusive; then a significant gain ships
-    and a significant loss aborts.
+    The figures: ``required_users`` per arm, ``smaller_arm``, ``absolute_lift``, ``p_value``
+    of the z-test and its ``alpha``.  A broken split blocks; too few users is inconclusive;
+    then a significant gain ships and a significant loss aborts.  All of it is computed on
+    the one row of counts, so there is nothing to join.
     """
-    if not keys:
-        raise ValueError("decide joins by experiment: name at least one key column")
-    smaller_arm = F.least("n_control", "n_treatment")
-    enough = F.coalesce(smaller_arm >= F.col("n_per_group"), F.lit(False))
+    shift = effect_size(F.col("_p_c"), F.col("_p_c") + float(mde))
+    enough = F.coalesce(F.col("smaller_arm") >= F.col("required_users"), F.lit(False))
     ruling = (
-        F.when(F.col("srm_detected"), _ruling(DECISION_BLOCKED, "arm sizes do not match the design"))
+        F.when(F.col("_srm"), _ruling(DECISION_BLOCKED, "arm sizes do not match the design"))
         .when(~enough, _ruling(DECISION_INCONCLUSIVE, "fewer users per arm than required"))
-        .when(
-            F.col("significant") & (F.col("absolute_lift") > 0),
-            _ruling(DECISION_SHIP, "significant gain over control"),
-        )
-        .when(
-            F.col("significant_negative") & (F.col("absolute_lift") < 0),
-            _ruling(DECISION_ABORT, "significant loss against control"),
-        )
+        .when(F.col("_gain") & (F.col("_lift") > 0), _ruling(DECISION_SHIP, "significant gain over control"))
+        .when(F.col("_loss") & (F.col("_lift") < 0), _ruling(DECISION_ABORT, "significant loss against control"))
         .otherwise(_ruling(DECISION_INCONCLUSIVE, "no reliable difference between the arms"))
     )
     return (
-        srm.select(*keys, "n_control", "n_treatment", "srm_detected")
-        .join(ztest.select(*keys, "absolute_lift", "significant", "significant_negative"), list(keys))
-        .join(power.select(*keys, "n_per_group"), list(keys))
-        .select(*keys, ruling.alias("ruling"))
-        .select(*keys, "ruling.decision", "ruling.reason")
+        _with_ztest(_with_srm(arms, expected_split, srm_alpha), alpha)
+        .withColumn("_h", shift)
+        .withColumn("required_users", half_even(sample_size(F.col("_h"), alpha, power), 0).cast("long"))
+        .withColumn("smaller_arm", F.least("n_control", "n_treatment"))
+        .withColumn("_ruling", ruling)
+        .select(
+            *keys,
+            F.col("_ruling.decision").alias("decision"),
+            F.col("_ruling.reason").alias("reason"),
+            "required_users",
+            "smaller_arm",
+            half_even(F.col("_lift"), 6).alias("absolute_lift"),
+            half_even(F.col("_p"), 6).alias("p_value"),
+            F.lit(float(alpha)).alias("alpha"),
+        )
     )
 
 

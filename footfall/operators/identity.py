@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from footfall.fixed_values import STATUS_AUTHENTICATED, STATUS_RESOLVED, STATUS_UNRESOLVED
+from footfall.functions.dates import order_key
 
 
 def resolve_identity(
@@ -22,12 +23,13 @@ def resolve_identity(
     The resolved user is the first known one of the whole session, before or after the
     event.  It is aggregated per session (combined before the shuffle) and joined back,
     so a session holding a large share of all events is never sorted in one task: the
-    adaptive skew join splits the event side.
+    adaptive skew join splits the event side.  With whole-number ids for users and ``tie``
+    the aggregate is a hash aggregate; others need a sort of the known events.
     """
     owners = (
         events.where(F.col(user).isNotNull())
         .groupBy(F.col(session).alias("_session"))
-        .agg(F.min_by(user, F.struct(ts, tie)).alias("resolved_user_id"))
+        .agg(F.min_by(user, order_key(events, ts, tie)).alias("resolved_user_id"))
     )
     status = (
         F.when(F.col("raw_user_id").isNotNull(), STATUS_AUTHENTICATED)

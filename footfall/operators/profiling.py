@@ -45,13 +45,18 @@ def event_type_stats(
 ) -> DataFrame:
     """Events, distinct sessions and distinct users per event type, most events first.
 
-    ``approximate`` trades exact distinct counts for mergeable sketches.
+    ``approximate`` trades exact distinct counts for mergeable sketches.  Exact ones are
+    taken of the distinct combinations, which are counted first: only those are multiplied.
     """
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
+    if approximate:
+        distinct, combined, total = F.approx_count_distinct, events, F.count(F.lit(1))
+    else:
+        distinct, total = F.count_distinct, F.sum("_events")
+        combined = events.groupBy(event_type, session, user).agg(F.count(F.lit(1)).alias("_events"))
     return (
-        events.groupBy(event_type)
+        combined.groupBy(event_type)
         .agg(
-            F.count(F.lit(1)).alias("total_events"),
+            total.alias("total_events"),
             distinct(session).alias("sessions_with_this_event"),
             distinct(user).alias("unique_users"),
         )

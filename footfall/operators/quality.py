@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from footfall.fixed_values import FUNNEL_STAGES, SESSION_GAP
-from footfall.functions.dates import in_micros
+from footfall.functions.dates import in_micros, order_key
 from footfall.operators.funnel import reached
 
 
@@ -32,41 +32,63 @@ def check_unique(name: str, df: DataFrame, *keys: str) -> DataFrame:
     return _report(name, df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1))
 
 
-def check_reaches_stage(funnel: DataFrame, stages: Sequence[str] = FUNNEL_STAGES) -> DataFrame:
-    """Sessions without a single milestone."""
+def check_funnel(
+    funnel: DataFrame, session: str = "session_id", stages: Sequence[str] = FUNNEL_STAGES
+) -> DataFrame:
+    """Two rows: sessions that occur more than once, sessions without a single milestone."""
     hits = reduce(lambda total, stage: total + F.col(reached(stage)), stages, F.lit(0))
-    return _count("session reaches a stage", funnel, hits == 0)
+    per_session = funnel.groupBy(session).agg(
+        F.count(F.lit(1)).alias("_rows"), F.count_if(hits == 0).alias("_bounced")
+    )
+    return _report_all(
+        per_session,
+        {
+            "session is unique": F.count_if(F.col("_rows") > 1),
+            "session reaches a stage": F.coalesce(F.sum("_bounced"), F.lit(0)),
+        },
+    )
 
 
-def check_first_event(
-    sessionized: DataFrame, user: str = "user_id", ts: str = "created_at", tie: str = "id"
-) -> DataFrame:
-    """Users whose first event is not number 1 or not flagged as a new session."""
-    first = sessionized.groupBy(user).agg(
-        F.min_by(F.struct("session_sequence", "is_new_session"), F.struct(ts, tie)).alias("first")
-    )
-    return _count(
-        "first event opens session 1",
-        first,
-        (F.col("first.session_sequence") != 1) | (F.col("first.is_new_session") != 1),
+def _report_all(rows: DataFrame, counts: Mapping[str, Column]) -> DataFrame:
+    """A row per check, all counted in one pass."""
+    found = rows.agg(*[count.alias(f"_{i}") for i, count in enumerate(counts.values())])
+    checks = F.array(
+        *[F.struct(F.lit(name).alias("check"), F.col(f"_{i}").alias("violations")) for i, name in enumerate(counts)]
     )
+    return found.select(F.inline(checks)).withColumn("passed", F.col("violations") == 0)
 
 
-def check_gap_flags(sessionized: DataFrame, gap: timedelta = SESSION_GAP) -> DataFrame:
-    """Two rows: longer gaps not flagged, shorter gaps flagged."""
+def visits_by_user(
+    sessionized: DataFrame, user: str = "user_id", ts: str = "created_at", tie: str = "id",
+    gap: timedelta = SESSION_GAP,
+) -> DataFrame:
+    """Per user what ``check_visits`` looks at, in one pass over the events."""
     limit = in_micros(gap) / 60_000_000
     minutes, flag = F.col("mins_since_last_event"), F.col("is_new_session")
-    return all_checks(
-        [
-            _count("long gap opens a session", sessionized, (minutes > limit) & (flag != 1)),
-            _count("short gap stays in session", sessionized, (minutes <= limit) & (flag != 0)),
-        ]
+    first = order_key(sessionized, ts, tie)
+    return sessionized.groupBy(user).agg(
+        F.min_by("session_sequence", first).alias("first_sequence"),
+        F.min_by("is_new_session", first).alias("first_flag"),
+        F.max("session_sequence").alias("sessions"),
+        F.sum("is_new_session").alias("boundaries"),
+        F.count_if((minutes > limit) & (flag != 1)).alias("long_unflagged"),
+        F.count_if((minutes <= limit) & (flag != 0)).alias("short_flagged"),
     )
 
 
-def check_session_counts(summary: DataFrame) -> DataFrame:
-    """Users whose highest session number differs from their number of boundaries."""
-    return _count("sessions equal boundaries", summary, F.col("sessions") != F.col("boundaries"))
+def check_visits(visits: DataFrame) -> DataFrame:
+    """Four rows: users whose first event is not number 1 or not flagged; longer gaps not
+    flagged; shorter gaps flagged; users whose highest session number differs from their
+    number of boundaries."""
+    return _report_all(
+        visits,
+        {
+            "first event opens session 1": F.count_if((F.col("first_sequence") != 1) | (F.col("first_flag") != 1)),
+            "long gap opens a session": F.coalesce(F.sum("long_unflagged"), F.lit(0)),
+            "short gap stays in session": F.coalesce(F.sum("short_flagged"), F.lit(0)),
+            "sessions equal boundaries": F.count_if(F.col("sessions") != F.col("boundaries")),
+        },
+    )
 
 
 def check_cohort_decay(cohorts: DataFrame) -> DataFrame:
@@ -74,12 +96,17 @@ def check_cohort_decay(cohorts: DataFrame) -> DataFrame:
     return _count("month 1 within month 0", cohorts, F.col("m1") > F.col("m0"))
 
 
+def with_position(report: DataFrame, order: str) -> DataFrame:
+    """Adds ``position``, where a row of a small report stands; made where it is sorted."""
+    return report.withColumn("position", F.row_number().over(Window.orderBy(order)))
+
+
 def check_months_increase(revenue: DataFrame) -> DataFrame:
-    """Rows of the monthly report whose month is not after the row before."""
-    # The report has one row per month; its own row order is what is checked.
-    as_given = Window.orderBy("_row")
-    rows = revenue.select("month", F.monotonically_increasing_id().alias("_row"))
-    compared = rows.select("month", F.lag("month").over(as_given).alias("before"))
+    """Rows of the monthly report whose month is not after the row before.
+
+    ``revenue`` has one row per month, with the ``position`` it is shown at.
+    """
+    compared = revenue.select("month", F.lag("month").over(Window.orderBy("position")).alias("before"))
     return _count("months increase", compared, F.col("month") <= F.col("before"))
 
 

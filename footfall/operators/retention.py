@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from footfall.fixed_values import RETENTION_OFFSETS, REVENUE_STATUSES
 from footfall.functions.dates import month_label, month_start, months_apart
 from footfall.functions.maths import half_even, half_up, percent, ratio
-from footfall.functions.money import from_parts, high_part, low_part, micro_units
+from footfall.functions.money import Money
 
 
 def cohort_retention(
@@ -86,7 +86,7 @@ def monthly_revenue(
         sold.select(order_id, month_start(F.col(ts)).alias("month"))
         .join(order_totals(items, order_id, price), order_id)
         .groupBy("month")
-        .agg(sum_of_totals().cast("double").alias("revenue"))
+        .agg(sum_of_totals(items, price).cast("double").alias("revenue"))
         .withColumn("prev_month_revenue", F.lag("revenue").over(by_month))
         .withColumn(
             "mom_growth_pct",
@@ -99,28 +99,28 @@ def monthly_revenue(
 
 
 def order_totals(items: DataFrame, order_id: str = "order_id", price: str = "sale_price") -> DataFrame:
-    """One row per order with its summed price, in two parts (see ``sum_of_totals``).
+    """One row per order with its summed price, in parts (see ``sum_of_totals``).
 
     Joining orders to this and not to the items costs no extra shuffle (both sides are
     needed by order id anyway), sends combined rows through it, and leaves no order with
     more than one row to join however many items it holds.
     """
-    units = micro_units(items, price)
-    return items.groupBy(order_id).agg(
-        F.sum(high_part(units)).alias("_total_high"), F.sum(low_part(units)).alias("_total_low")
-    )
+    return items.groupBy(order_id).agg(*Money.of(items, price).sums(F.col(price), "_total"))
 
 
-def sum_of_totals() -> Column:
-    """Aggregate over rows of ``order_totals``: their exact sum, as DECIMAL."""
-    return from_parts(F.sum("_total_high"), F.sum("_total_low"))
+def sum_of_totals(items: DataFrame, price: str = "sale_price") -> Column:
+    """Aggregate over rows of ``order_totals(items)``: their sum, DECIMAL if the price is."""
+    return Money.of(items, price).total_of("_total")
 
 
 def retention_kpis(rates: DataFrame, revenue: DataFrame) -> DataFrame:
-    """One row: ``avg_m1, avg_m3, latest_mom, n_cohorts``."""
+    """One row: ``avg_m1, avg_m3, latest_mom, n_cohorts``; means to six digits.
+
+    A mean of doubles depends on row order in its last digits, hence the rounding.
+    """
     latest = revenue.where(F.col("mom_growth_pct").isNotNull()).agg(F.max_by("mom_growth_pct", "month"))
     return rates.agg(
-        F.avg("m1_rate").alias("avg_m1"),
-        F.avg("m3_rate").alias("avg_m3"),
+        F.round(F.avg("m1_rate"), 6).alias("avg_m1"),
+        F.round(F.avg("m3_rate"), 6).alias("avg_m3"),
         F.count(F.lit(1)).alias("n_cohorts"),
     ).select("avg_m1", "avg_m3", latest.scalar().alias("latest_mom"), "n_cohorts")

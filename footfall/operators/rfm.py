@@ -38,8 +38,8 @@ def rfm_base(
         .agg(
             F.max("_date").alias("_last"),
             F.count_distinct("_date").alias("frequency"),
-            # Rounded while still DECIMAL, so that half cents are exact.
-            F.round(sum_of_totals(), 2).cast("double").alias("monetary_value"),
+            # A DECIMAL is rounded as such, so that half cents are exact.
+            F.round(sum_of_totals(items, price), 2).cast("double").alias("monetary_value"),
         )
     )
     per_user = materialize(per_user, "rfm")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
@@ -29,13 +30,15 @@ from footfall.fixed_values import (
     SEGMENT_SWEEP,
 )
 from footfall.functions.maths import half_even, percent
-from footfall.functions.money import exact_sum, micro_units
+from footfall.functions.money import exact_sum
 from footfall.operators.ranking import exact_quantiles
 
 MAX_ITERATIONS = 300
 # Squared movement of all centres together, relative to the mean variance of the features.
 TOLERANCE = 1e-4
 PARALLEL_FITS = 8
+# The sampled silhouette holds its sample in every task, and its cost is quadratic.
+LARGEST_SAMPLE = 20_000
 
 
 def scaled(feature: str) -> str:
@@ -76,9 +79,19 @@ def robust_scale(
     )
 
 
-def _vectors(rows: DataFrame, features: Sequence[str]) -> DataFrame:
+def _vectors(rows: DataFrame, features: Sequence[str], id_column: str = "user_id") -> DataFrame:
+    """Rows with ``_features``; a missing feature is an error, as there is no distance to it.
+
+    Rows are placed and sorted by id: the starts of a fit are drawn partition by partition, so
+    only then does a fit repeat whatever the rows came in.
+    """
     columns = [scaled(f) for f in features]
-    return VectorAssembler(inputCols=columns, outputCol="_features").transform(rows)
+    missing = rows.where(reduce(lambda a, b: a | b, [F.col(c).isNull() | F.isnan(c) for c in columns]))
+    if missing.take(1):
+        raise ValueError(f"rows with a missing feature cannot be clustered: {', '.join(features)}")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartition(parts, id_column).sortWithinPartitions(id_column)
+    return VectorAssembler(inputCols=columns, outputCol="_features").transform(placed)
 
 
 @contextmanager
@@ -92,11 +105,18 @@ def _kept(rows: DataFrame) -> Iterator[DataFrame]:
 
 
 def best_models(
-    vectors: DataFrame, ks: Sequence[int], seed: int, restarts: int, parallelism: int = PARALLEL_FITS
+    vectors: DataFrame,
+    ks: Sequence[int],
+    seed: int,
+    restarts: int,
+    parallelism: int = PARALLEL_FITS,
+    max_iterations: int = MAX_ITERATIONS,
+    tolerance: float = TOLERANCE,
 ) -> dict[int, KMeansModel]:
     """For each k the model of lowest cost among ``restarts`` starts.
 
     Each fit is a chain of small jobs, so several run side by side to keep executors busy.
+    A best fit that stopped at ``max_iterations`` is warned about.
     """
     spread = vectors.select(Summarizer.variance(F.col("_features")).alias("v")).first()["v"]
     mean_variance = float(np.mean(spread.toArray()))
@@ -106,9 +126,9 @@ def best_models(
         means = KMeans(
             k=k,
             seed=seed + start,
-            maxIter=MAX_ITERATIONS,
+            maxIter=max_iterations,
             # Spark stops when no centre moves further than this.
-            tol=math.sqrt(TOLERANCE * mean_variance / k),
+            tol=math.sqrt(tolerance * mean_variance / k),
             featuresCol="_features",
             predictionCol="segment",
         )
@@ -121,6 +141,9 @@ def best_models(
     for (k, _), model in zip(tasks, models):
         if k not in best or model.summary.trainingCost < best[k].summary.trainingCost:
             best[k] = model
+    for k, model in best.items():
+        if model.summary.numIter >= max_iterations:
+            warnings.warn(f"{k} segments: no convergence in {max_iterations} iterations", stacklevel=2)
     return best
 
 
@@ -147,13 +170,15 @@ def k_sweep(
     sample_size: int = SEGMENT_SAMPLE,
     id_column: str = "user_id",
 ) -> DataFrame:
-    """``k, inertia, silhouette_score`` for each k.
+    """``k, inertia, silhouette_squared, silhouette_score`` for each k.
 
-    Inertia is over all rows, the silhouette over a fixed-size sample as its cost is
-    quadratic.
+    Inertia and the silhouette of squared distances are over all rows.  The Euclidean
+    silhouette has a quadratic cost, so it is defined on a sample of ``sample_size`` rows.
     """
+    if sample_size > LARGEST_SAMPLE:
+        raise ValueError(f"a sample of more than {LARGEST_SAMPLE} rows does not fit every task")
     spark = rows.sparkSession
-    vectors = _vectors(rows, features)
+    vectors = _vectors(rows, features, id_column)
     with _kept(vectors.select("_features")) as kept:
         models = best_models(kept, ks, seed, restarts)
     picked = segment_sample(vectors, sample_size, seed, id_column).select("_features")
@@ -168,13 +193,83 @@ def k_sweep(
     inertia = spark.createDataFrame(
         [(k, float(models[k].summary.trainingCost)) for k in ks], "k int, inertia double"
     )
-    return inertia.join(scores, "k", "left").select(
+    overall = reduce(
+        DataFrame.unionByName,
+        [
+            squared_silhouette(model.transform(vectors), features).select(F.lit(k).alias("k"), "silhouette_squared")
+            for k, model in models.items()
+        ],
+    )
+    return inertia.join(overall, "k").join(scores, "k", "left").select(
         "k",
         half_even(F.col("inertia"), 2).alias("inertia"),
+        "silhouette_squared",
         half_even(F.col("silhouette_score"), 4).alias("silhouette_score"),
     ).orderBy("k")
 
 
+def squared_silhouette(rows: DataFrame, features: Sequence[str] = RFM_FEATURES) -> DataFrame:
+    """One row, ``silhouette_squared``: the mean silhouette by squared distance, over all rows.
+
+    The mean squared distance of a point to a segment follows from the segment's size, sum and
+    sum of squares, so a row is compared with as many sums as there are segments, and with
+    no other row.  NULL with one segment; a row alone in its segment counts 0.
+    """
+    points = [F.col(scaled(f)) for f in features]
+    squares = reduce(lambda a, b: a + b, [p * p for p in points])
+    sums = rows.groupBy("segment").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.array(*[F.sum(p) for p in points]).alias("s"),
+        F.sum(squares).alias("q"),
+    )
+    # One entry per segment.
+    entries = sums.agg(F.array_sort(F.collect_list(F.struct("segment", "n", "s", "q"))))
+
+    def mean_distance(entry: Column) -> Column:
+        dot = reduce(lambda a, b: a + b, [p * entry["s"][i] for i, p in enumerate(points)])
+        return squares + (entry["q"] - dot * 2) / entry["n"]
+
+    own = F.filter("_all", lambda e: e["segment"] == F.col("segment"))[0]
+    with_own = (
+        rows.select("segment", *[scaled(f) for f in features])
+        .withColumn("_all", entries.scalar())
+        .withColumn("_own", own)
+        .withColumn("_a", F.try_divide(mean_distance(F.col("_own")) * F.col("_own.n"), F.col("_own.n") - 1))
+        .withColumn(
+            "_b",
+            F.array_min(
+                F.transform(F.filter("_all", lambda e: e["segment"] != F.col("segment")), mean_distance)
+            ),
+        )
+    )
+    widest = F.greatest("_a", "_b")
+    value = F.when(F.col("_own.n") == 1, 0.0).otherwise(F.coalesce(F.try_divide(F.col("_b") - F.col("_a"), widest), F.lit(0.0)))
+    return with_own.agg(half_even(F.avg(F.when(F.col("_b").isNotNull(), value)), 4).alias("silhouette_squared"))
+
+
+def check_fit(
+    fitted: DataFrame, model: KMeansModel, features: Sequence[str] = RFM_FEATURES
+) -> DataFrame:
+    """One row: ``customers, revenue, segments, misplaced``.
+
+    ``misplaced`` counts rows that are nearer to another centre than to their own.
+    """
+    centres = [c.tolist() for c in model.clusterCenters()]
+
+    def distance(centre: list[float]) -> Column:
+        return reduce(lambda a, b: a + b, [(F.col(scaled(f)) - x) * (F.col(scaled(f)) - x) for f, x in zip(features, centre)])
+
+    distances = F.array(*[distance(c) for c in centres])
+    # As far as doubles can tell.
+    nearer = F.array_min(distances) < F.get(distances, F.col("segment")) * (1 - 1e-9)
+    return fitted.agg(
+        F.count(F.lit(1)).alias("customers"),
+        exact_sum(fitted, "monetary_value").cast("double").alias("revenue"),
+        F.count_distinct("segment").alias("segments"),
+        F.count_if(nearer).alias("misplaced"),
+    )
+
+
 def silhouette(spark: SparkSession, points: np.ndarray, labels: Mapping[int, np.ndarray]) -> DataFrame:
     """``k, silhouette_score``: mean Euclidean silhouette of each labelling of ``points``.
 
@@ -218,7 +313,7 @@ def _silhouette_rows(distance: np.ndarray, own: np.ndarray, label: np.ndarray) -
 
 
 def exact_mean(rows: DataFrame, column: str) -> Column:
-    return F.try_divide(exact_sum(micro_units(rows, column)).cast("double"), F.count(column))
+    return F.try_divide(exact_sum(rows, column).cast("double"), F.count(column))
 
 
 def segment_profiles(rows: DataFrame, id_column: str = "user_id") -> DataFrame:
@@ -267,7 +362,7 @@ def revenue_at_stake(labelled_rows: DataFrame) -> DataFrame:
     return (
         labelled_rows.groupBy(F.col("label").alias("segment"))
         .agg(
-            exact_sum(micro_units(labelled_rows, "monetary_value")).cast("double").alias("total_revenue")
+            exact_sum(labelled_rows, "monetary_value").cast("double").alias("total_revenue")
         )
         .withColumn(
             "pct", half_even(percent(F.col("total_revenue"), F.sum("total_revenue").over(overall)), 1)

@@ -7,11 +7,9 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from footfall.fixed_values import SESSION_GAP
-from footfall.functions.dates import in_micros, micros, minutes_apart
-from footfall.operators.skew import HOT_ROWS, HotKeys, find_hot_keys
-
-SLICE_WIDTH = timedelta(hours=1)
-FINEST_SLICE = timedelta(milliseconds=1)
+from footfall.functions.dates import in_micros, minutes_apart
+from footfall.operators.skew import HOT_ROWS, find_hot_keys
+from footfall.session import materialize
 
 
 def sessionize(
@@ -21,24 +19,26 @@ def sessionize(
     tie: str = "id",
     gap: timedelta = SESSION_GAP,
     hot_rows: int = HOT_ROWS,
-    slice_width: timedelta = SLICE_WIDTH,
 ) -> DataFrame:
     """Events with ``mins_since_last_event``, ``is_new_session``, ``session_sequence``.
 
     Per user in time order, ties by ``tie``: a session starts with the first event and
     after every gap strictly longer than ``gap``.  Events without a key are left out.
 
-    One shuffle, on the user.  Users with more than ``hot_rows`` events are shuffled by
-    user and time slice instead, so that no task holds all of them, and the slices are
-    stitched together through one summary row each.  Slices start out ``slice_width`` wide
-    and are narrowed if the events of a user come in bursts.
+    One shuffle, on the user.  Users with more than ``hot_rows`` events are range-partitioned
+    by user, time and ``tie`` instead, so that no task holds all of them whatever their times
+    are, and stitched together through one summary row per user and partition.
     """
     keyed = events.where(F.col(user_key).isNotNull())
     hot = find_hot_keys(keyed, user_key, hot_rows)
     if hot is None:
-        return _number_sessions(keyed, [user_key], ts, tie, gap)
-    width = _fitting_width(keyed, hot, user_key, ts, slice_width, hot_rows)
-    return _sessionize_in_slices(keyed, hot, user_key, ts, tie, gap, width)
+        return _number_sessions(keyed, [user_key], ts, tie, gap).drop("_opens_part")
+    cold = keyed.join(hot.hinted, user_key, "left_anti").select(*events.columns)
+    few = _number_sessions(cold, [user_key], ts, tie, gap).drop("_opens_part")
+    many = _sessionize_in_ranges(
+        keyed.join(hot.hinted, user_key, "left_semi").select(*events.columns), user_key, ts, tie, gap
+    )
+    return few.unionByName(many)
 
 
 def _number_sessions(events: DataFrame, keys: list[str], ts: str, tie: str, gap: timedelta) -> DataFrame:
@@ -49,6 +49,7 @@ def _number_sessions(events: DataFrame, keys: list[str], ts: str, tie: str, gap:
         events.withColumn("mins_since_last_event", minutes_apart(F.col(ts), previous))
         .withColumn("is_new_session", _starts_session(F.col("mins_since_last_event"), gap))
         .withColumn("session_sequence", F.sum("is_new_session").over(so_far))
+        .withColumn("_opens_part", F.row_number().over(in_order) == 1)
     )
 
 
@@ -57,40 +58,21 @@ def _starts_session(minutes: Column, gap: timedelta) -> Column:
     return F.when(minutes <= limit, 0).otherwise(1)
 
 
-def _slice(ts: str, width: timedelta) -> Column:
-    # Events without a time sort first, so they form the earliest slice.
-    return F.coalesce(F.floor(micros(F.col(ts)) / F.lit(in_micros(width))), F.lit(-(2**62)))
-
-
-def _fitting_width(
-    events: DataFrame, hot: HotKeys, user_key: str, ts: str, width: timedelta, hot_rows: int
-) -> timedelta:
-    """The widest of ``width``, a 60th of it, ... at which no slice exceeds ``hot_rows``."""
-    times = events.select(user_key, ts).join(hot.hinted, user_key)
-    while width > FINEST_SLICE:
-        sizes = times.groupBy(user_key, _slice(ts, width).alias("_slice")).agg(F.count(F.lit(1)).alias("_rows"))
-        if sizes.agg(F.max("_rows")).first()[0] <= hot_rows:
-            break
-        width /= 60
-    return max(width, FINEST_SLICE)
-
-
-def _sessionize_in_slices(
-    events: DataFrame, hot: HotKeys, user_key: str, ts: str, tie: str, gap: timedelta, slice_width: timedelta
-) -> DataFrame:
-    sliced = events.join(hot.hinted.withColumn("_hot", F.lit(True)), user_key, "left").withColumn(
-        "_slice", F.when(F.col("_hot"), _slice(ts, slice_width))
+def _sessionize_in_ranges(events: DataFrame, user_key: str, ts: str, tie: str, gap: timedelta) -> DataFrame:
+    # Written out: the ranges must be the same when they are numbered and when they are stitched.
+    placed = materialize(
+        events.repartitionByRange(user_key, ts, tie).withColumn("_part", F.spark_partition_id()), "hot-users"
     )
-    numbered = _number_sessions(sliced, [user_key, "_slice"], ts, tie, gap).drop("_hot")
+    numbered = _number_sessions(placed, [user_key, "_part"], ts, tie, gap)
 
-    # One row per hot user and non-empty slice: what the next slice has to know.
-    by_time = Window.partitionBy(user_key).orderBy("_slice")
+    # One row per hot user and partition: what the next partition has to know.
+    by_time = Window.partitionBy(user_key).orderBy("_part")
     before = by_time.rowsBetween(Window.unboundedPreceding, -1)
+    untimed = F.count(F.lit(1)) > F.count(ts)  # events without a time come first
     seams = (
-        numbered.where(F.col("_slice").isNotNull())
-        .groupBy(user_key, "_slice")
+        numbered.groupBy(user_key, "_part")
         .agg(
-            F.min(ts).alias("_first"),
+            F.when(~untimed, F.min(ts)).alias("_first"),
             F.max(ts).alias("_last"),
             F.max("session_sequence").alias("_sessions"),
         )
@@ -98,18 +80,18 @@ def _sessionize_in_slices(
         .withColumn("_opens", _starts_session(F.col("_gap"), gap))
         .withColumn("_own", F.col("_sessions") - 1 + F.col("_opens"))
         .withColumn("_shift", F.coalesce(F.sum("_own").over(before), F.lit(0)) - 1 + F.col("_opens"))
-        .select(user_key, "_slice", "_gap", "_opens", "_shift")
+        .select(user_key, "_part", "_gap", "_opens", "_shift")
     )
 
-    # The first event of a slice has no predecessor inside it; its gap is the seam's.
-    at_seam = F.col("mins_since_last_event").isNull()
+    # The first event of a partition has no predecessor inside it; its gap is the seam's.
+    at_seam = F.col("_opens_part")
     stitched = {
-        "mins_since_last_event": F.coalesce("mins_since_last_event", "_gap"),
-        "is_new_session": F.when(at_seam, F.coalesce("_opens", "is_new_session")).otherwise(F.col("is_new_session")),
-        "session_sequence": F.col("session_sequence") + F.coalesce("_shift", F.lit(0)),
+        "mins_since_last_event": F.when(at_seam, F.col("_gap")).otherwise(F.col("mins_since_last_event")),
+        "is_new_session": F.when(at_seam, F.col("_opens")).otherwise(F.col("is_new_session")),
+        "session_sequence": F.col("session_sequence") + F.col("_shift"),
     }
     return (
-        numbered.join(seams, [user_key, "_slice"], "left")
+        numbered.join(seams, [user_key, "_part"])
         .withColumns(stitched)
         .select(*events.columns, *stitched)
     )

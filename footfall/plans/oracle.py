@@ -7,6 +7,8 @@ rather than the way the Spark operators compute it.
 
 from __future__ import annotations
 
+from footfall.fixed_values import SEGMENT_ACTIONS, SRM_BROKEN, SRM_PASS
+
 EVENTS = """
 shop_events AS (
     SELECT event_id AS id,
@@ -20,6 +22,8 @@ shop_events AS (
                 ELSE 'cancel' END AS event_type,
            CASE WHEN event_type NOT IN ('view', 'error') THEN user_id END AS user_id,
            user_id AS visitor_id,
+           'source-' || CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 AS VARCHAR) AS traffic_source,
+           'browser-' || CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 AS VARCHAR) AS browser,
            value, props
     FROM events)"""
 
@@ -245,7 +249,7 @@ srm_p AS (SELECT *, 2 * (1 - ({phi("sqrt(chi2)")})) AS p FROM srm_raw),
 srm AS (
     SELECT market, n_c AS n_control, n_t AS n_treatment, round_even(chi2, 4) AS chi2_stat,
            round_even(p, 6) AS p_value, p < 0.05 AS srm_detected,
-           CASE WHEN p < 0.05 THEN 'ABORT — randomisation broken' ELSE 'PASS' END AS verdict
+           CASE WHEN p < 0.05 THEN '{SRM_BROKEN}' ELSE '{SRM_PASS}' END AS verdict
     FROM srm_p)"""
 
 ZTEST = f"""
@@ -290,8 +294,9 @@ power AS (
     FROM halving WHERE step = 60)"""
 
 
-DECISION = """
-SELECT market,
+def decision(keys: str) -> str:
+    return f"""
+SELECT {keys}
        CASE WHEN srm_detected THEN 'BLOCKED'
             WHEN coalesce(least(n_control, n_treatment) < n_per_group, TRUE) THEN 'INCONCLUSIVE'
             WHEN significant AND absolute_lift > 0 THEN 'SHIP'
@@ -302,9 +307,17 @@ SELECT market,
                 THEN 'fewer users per arm than required'
             WHEN significant AND absolute_lift > 0 THEN 'significant gain over control'
             WHEN significant_negative AND absolute_lift < 0 THEN 'significant loss against control'
-            ELSE 'no reliable difference between the arms' END AS reason
+            ELSE 'no reliable difference between the arms' END AS reason,
+       n_per_group AS required_users, CAST(least(n_control, n_treatment) AS BIGINT) AS smaller_arm,
+       absolute_lift, ztest.p_value AS p_value, 0.05::DOUBLE AS alpha
 FROM srm JOIN ztest USING (market) JOIN power USING (market)"""
 
+
+# All markets as one experiment.
+OVERALL = EXPERIMENT.replace("SELECT market,\n           count(*) FILTER", "SELECT '' AS market,\n           count(*) FILTER").replace(
+    "FROM converted GROUP BY market)", "FROM converted)"
+)
+
 ORACLE_SQL: dict[str, str] = {
     # Profiles
     "table_counts": " UNION ALL ".join(
@@ -312,7 +325,8 @@ ORACLE_SQL: dict[str, str] = {
         for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
     ),
     "events_preview": f"""{with_tables(EVENTS)}
-SELECT id, session_id, created_at, event_type, user_id, visitor_id, '/' || event_type AS uri, value, props
+SELECT id, session_id, created_at, event_type, user_id, visitor_id, '/' || event_type AS uri,
+       traffic_source, browser, value, props
 FROM shop_events ORDER BY id LIMIT 5""",
     "event_type_counts": f"""{with_tables(EVENTS)}
 SELECT event_type, count(*) AS count FROM shop_events GROUP BY event_type""",
@@ -349,16 +363,14 @@ SELECT visitor_id, max(session_sequence) AS sessions, CAST(sum(is_new_session) A
 FROM visits GROUP BY visitor_id""",
     "sessionize_streaming": f"""{with_tables(EVENTS, visits('visitor_id', HALF_DAY))}
 SELECT visitor_id AS user_id, min(created_at) AS session_start, max(created_at) AS session_end, count(*) AS events
-FROM visits GROUP BY visitor_id, session_sequence
-HAVING max(created_at) + INTERVAL 12 HOUR
-       <= (SELECT date_trunc('milliseconds', max(created_at)) FROM shop_events) - INTERVAL 1 HOUR""",
+FROM visits GROUP BY visitor_id, session_sequence""",
     "resolve_identity": f"""{with_tables(EVENTS)}
-SELECT raw_session_id, resolved_user_id, raw_user_id, id, event_type, created_at, uri,
+SELECT raw_session_id, resolved_user_id, raw_user_id, event_type, created_at, traffic_source, browser, uri,
        CASE WHEN raw_user_id IS NOT NULL THEN 'authenticated'
             WHEN resolved_user_id IS NOT NULL THEN 'anonymous resolved'
             ELSE 'anonymous unresolved' END AS resolution_status
-FROM (SELECT session_id AS raw_session_id, user_id AS raw_user_id, id, event_type, created_at,
-             '/' || event_type AS uri,
+FROM (SELECT session_id AS raw_session_id, user_id AS raw_user_id, event_type, created_at,
+             traffic_source, browser, '/' || event_type AS uri,
              first_value(user_id IGNORE NULLS) OVER (
                  PARTITION BY session_id ORDER BY created_at, id
                  ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS resolved_user_id
@@ -425,11 +437,13 @@ FROM rates""",
     # Experiments
     "experiment_groups": f"{EXPERIMENT} SELECT user_id, experiment_group FROM assigned",
     "experiment_summary": summary(""),
+    "experiment_summary_all_orders": summary("").replace("WHERE priority = '1-URGENT'", ""),
     "experiment_summary_by_market": summary("market,"),
     "srm_check": f"{EXPERIMENT}, {SRM} SELECT * FROM srm",
     "proportion_ztest": f"{EXPERIMENT}, {ZTEST} SELECT * FROM ztest",
     "power_table": f"{EXPERIMENT}, {power('[0.01, 0.02, 0.05, 0.2]')} SELECT * FROM power",
-    "experiment_decision": f"{EXPERIMENT}, {SRM}, {ZTEST}, {power('[0.2]')} {DECISION}",
+    "experiment_decision": f"{EXPERIMENT}, {SRM}, {ZTEST}, {power('[0.2]')} {decision('market,')}",
+    "experiment_decision_overall": f"{OVERALL}, {SRM}, {ZTEST}, {power('[0.2]')} {decision('')}",
     # Segments
     "scale_parameters": f"{with_tables(ORDERS, ITEMS, RFM, QUARTILES)} SELECT * FROM parameters",
     "robust_scale": with_tables(ORDERS, ITEMS, RFM, QUARTILES)
@@ -440,13 +454,33 @@ FROM rates""",
         for f in ("recency_days", "frequency", "monetary_value")
     )
     + " FROM rfm",
+    "silhouette_of_quadrants": f"""{SEGMENTS}, {QUARTILES},
+points AS (
+    SELECT user_id, segment, """
+    + ", ".join(
+        f"({f} - (SELECT center FROM parameters WHERE feature = '{f}')) "
+        f"/ (SELECT scale FROM parameters WHERE feature = '{f}') AS x{i}"
+        for i, f in enumerate(("recency_days", "frequency", "monetary_value"))
+    )
+    + """ FROM quadrants),
+sums AS (
+    SELECT segment, count(*) AS n, sum(x0) AS s0, sum(x1) AS s1, sum(x2) AS s2,
+           sum(x0 * x0 + x1 * x1 + x2 * x2) AS q FROM points GROUP BY segment),
+distances AS (
+    SELECT p.user_id, p.segment = s.segment AS own, s.n,
+           p.x0 * p.x0 + p.x1 * p.x1 + p.x2 * p.x2 + (s.q - 2 * (p.x0 * s.s0 + p.x1 * s.s1 + p.x2 * s.s2)) / s.n AS d
+    FROM points p, sums s),
+compared AS (
+    SELECT user_id, max(n) FILTER (own) AS n, max(d * n / nullif(n - 1, 0)) FILTER (own) AS a, min(d) FILTER (NOT own) AS b
+    FROM distances GROUP BY user_id)
+SELECT round_even(avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 4) AS silhouette_squared FROM compared""",
+    "segmentation_invariants": f"""{with_tables(ORDERS, ITEMS, RFM)}
+SELECT count(*) AS customers, CAST(sum(CAST(monetary_value AS DECIMAL(18,2))) AS DOUBLE) AS revenue,
+       4::BIGINT AS segments, 0::BIGINT AS misplaced FROM rfm""",
     "segment_profiles": f"{SEGMENTS} SELECT * FROM profiles",
     "label_segments": f"{SEGMENTS} SELECT * FROM labelled",
     "segment_actions": f"""{SEGMENTS}
-SELECT *, CASE label WHEN 'Champions' THEN 'Loyalty perks, early product access, referral incentive'
-                     WHEN 'Promising' THEN 'Targeted upsell, second-category purchase onboarding'
-                     WHEN 'At Risk' THEN 'Win-back campaign, personalized discount, churn survey'
-                     ELSE 'Low-cost re-engagement email only — no paid budget' END AS action
+SELECT *, CASE label {" ".join(f"WHEN '{label}' THEN '{action}'" for label, action in SEGMENT_ACTIONS.items())} END AS action
 FROM labelled""",
     "attach_labels": f"{SEGMENTS} SELECT * FROM customers",
     "revenue_at_stake": f"""{SEGMENTS},

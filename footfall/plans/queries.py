@@ -22,7 +22,7 @@ from footfall.plans import reports
 from footfall.session import materialize
 from footfall.sources import star_schema as shop
 from footfall.sources.tables import normalise, preview
-from footfall.streaming.sessions import run_available, sessionize_stream
+from footfall.streaming.sessions import run_available
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -106,15 +106,19 @@ def session_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 def sessionize_streaming(spark: SparkSession, folder: str) -> DataFrame:
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    timed = normalise(stream).withColumn("ts", F.col("ts").cast("timestamp"))
-    found = sessionize_stream(timed, ts="ts", gap=LONG_GAP)
-    return run_available(found, "stream-sessions")
+
+    def arriving(own: SparkSession) -> DataFrame:
+        stream = own.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+        return normalise(stream).withColumn("ts", F.col("ts").cast("timestamp"))
+
+    run = run_available(spark, arriving, "stream-sessions", ts="ts", gap=LONG_GAP)
+    if run.late_rows:
+        raise RuntimeError(f"{run.late_rows} rows came too late for their session")
+    return run.sessions
 
 
 def resolve_identity(spark: SparkSession, folder: str) -> DataFrame:
-    carry = ("id", "event_type", "created_at", "uri")
-    return identity.resolve_identity(shop.events(spark, folder), carry=carry)
+    return identity.resolve_identity(shop.events(spark, folder))
 
 
 def mixed_sessions(spark: SparkSession, folder: str) -> DataFrame:
@@ -176,9 +180,7 @@ def monthly_revenue(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def retention_kpis(spark: SparkSession, folder: str) -> DataFrame:
-    kpis = retention.retention_kpis(retention_rates(spark, folder), monthly_revenue(spark, folder))
-    # A mean of doubles depends on row order in the last digit.
-    return kpis.withColumns({name: F.round(name, 6) for name in ("avg_m1", "avg_m3")})
+    return retention.retention_kpis(retention_rates(spark, folder), monthly_revenue(spark, folder))
 
 
 # Customer scores
@@ -192,23 +194,32 @@ def rfm_scores(spark: SparkSession, folder: str) -> DataFrame:
     return rfm.rfm_scores(rfm_base(spark, folder))
 
 
-# Experiments: a conversion is a completed or shipped urgent order
+# Experiments: a conversion is a completed or shipped urgent order, unless stated
 
 
 def experiment_groups(spark: SparkSession, folder: str) -> DataFrame:
     return experiment.assign_groups(shop.users(spark, folder), SIGNUP_CUTOFF)
 
 
-def _summary(spark: SparkSession, folder: str, keys: tuple[str, ...]) -> DataFrame:
+def _summary(
+    spark: SparkSession, folder: str, keys: tuple[str, ...], urgent_only: bool = True
+) -> DataFrame:
+    converts = F.col("priority") == PRIORITY if urgent_only else None
     assigned = experiment.assign_groups(shop.users(spark, folder), SIGNUP_CUTOFF, keys=keys)
-    urgent = shop.orders(spark, folder).where(F.col("priority") == PRIORITY)
-    return experiment.experiment_summary(assigned, urgent, keys, shop.REVENUE_STATUSES)
+    return experiment.experiment_summary(
+        assigned, shop.orders(spark, folder), keys, shop.REVENUE_STATUSES, converts=converts
+    )
 
 
 def experiment_summary(spark: SparkSession, folder: str) -> DataFrame:
     return _summary(spark, folder, ())
 
 
+def experiment_summary_all_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Any completed or shipped order converts, urgent or not."""
+    return _summary(spark, folder, (), urgent_only=False)
+
+
 def experiment_summary_by_market(spark: SparkSession, folder: str) -> DataFrame:
     return _summary(spark, folder, MARKET)
 
@@ -234,6 +245,12 @@ def experiment_decision(spark: SparkSession, folder: str) -> DataFrame:
     return reports.experiment_report(_arms(spark, folder), MARKET, DECISION_MDE).decision
 
 
+def experiment_decision_overall(spark: SparkSession, folder: str) -> DataFrame:
+    """The one experiment, not cut by market."""
+    arms = experiment.arms_side_by_side(_summary(spark, folder, ()))
+    return reports.experiment_report(arms, (), DECISION_MDE).decision
+
+
 # Segments
 
 
@@ -260,6 +277,18 @@ def _quadrants(spark: SparkSession, folder: str) -> DataFrame:
     return rfm_scores(spark, folder).withColumn("segment", recent.cast("int") * 2 + spends.cast("int"))
 
 
+def silhouette_of_quadrants(spark: SparkSession, folder: str) -> DataFrame:
+    rows = robust_scale(spark, folder)
+    quadrants = _quadrants(spark, folder).select("user_id", "segment")
+    return segments.squared_silhouette(rows.join(quadrants, "user_id"))
+
+
+def segmentation_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """What any sound clustering fulfils, whatever its numbering and starts."""
+    fitted, model = segments.fit_segments(robust_scale(spark, folder))
+    return segments.check_fit(fitted, model)
+
+
 def segment_profiles(spark: SparkSession, folder: str) -> DataFrame:
     return segments.segment_profiles(_quadrants(spark, folder))
 
@@ -299,17 +328,15 @@ def segmentation_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def quality_checks(spark: SparkSession, folder: str) -> DataFrame:
-    found = materialize(session_funnel(spark, folder), "funnel")
-    visits = materialize(sessionize(spark, folder), "visits")
+    found = session_funnel(spark, folder)
+    # One row per user, cohort and month: everything is checked on these, none of it on events.
+    visits = materialize(quality.visits_by_user(sessionize(spark, folder), "visitor_id"), "visits")
     cohorts = materialize(cohort_retention(spark, folder), "cohorts")
-    revenue = materialize(monthly_revenue(spark, folder).coalesce(1), "revenue")
+    revenue = materialize(quality.with_position(monthly_revenue(spark, folder), "month"), "revenue")
     return quality.all_checks(
         [
-            quality.check_unique("session is unique", found, "session_id"),
-            quality.check_reaches_stage(found),
-            quality.check_first_event(visits, "visitor_id"),
-            quality.check_gap_flags(visits),
-            quality.check_session_counts(sessions.session_summary(visits, "visitor_id")),
+            quality.check_funnel(found),
+            quality.check_visits(visits),
             quality.check_unique("cohort is unique", cohorts, "cohort_month"),
             quality.check_cohort_decay(cohorts),
             quality.check_months_increase(revenue),
@@ -351,15 +378,19 @@ QUERIES: tuple[Query, ...] = (
     rfm_scores,
     experiment_groups,
     experiment_summary,
+    experiment_summary_all_orders,
     experiment_summary_by_market,
     srm_check,
     proportion_ztest,
     power_table,
     experiment_decision,
+    experiment_decision_overall,
     scale_parameters,
     robust_scale,
     fit_segments,
     k_sweep,
+    silhouette_of_quadrants,
+    segmentation_invariants,
     segment_profiles,
     label_segments,
     segment_actions,

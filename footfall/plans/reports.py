@@ -86,7 +86,8 @@ def experiment_report(
     )
     srm = experiment.srm_check(arms, keys, expected_split, srm_alpha)
     ztest = experiment.proportion_ztest(arms, keys, alpha)
-    return ExperimentReport(arms, needed, srm, ztest, experiment.decide(srm, ztest, needed, keys))
+    decision = experiment.decide(arms, mde, keys, alpha, power, expected_split, srm_alpha)
+    return ExperimentReport(arms, needed, srm, ztest, decision)
 
 
 @dataclass(frozen=True)

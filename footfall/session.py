@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,8 +32,8 @@ def build_session(app_name: str = "footfall", master: str | None = None, **conf:
 def scratch_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a folder of its own: on a cluster a
-    machine-local folder would be lost with the machine.
+    Only a session of one machine may fall back to a folder of its own: on a cluster a
+    machine-local folder would be lost with the machine, and other machines cannot read it.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -40,14 +42,22 @@ def scratch_folder(spark: SparkSession) -> str:
     current = context.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    if not context.master.startswith("local"):
+    if not is_one_machine(context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="footfall-"))
     return context.getCheckpointDir().rstrip("/")
 
 
+def is_one_machine(master: str) -> bool:
+    """``local`` and ``local[...]``, but not ``local-cluster[...]``, whose executors are processes of their own."""
+    return master == "local" or master.startswith("local[")
+
+
 def new_scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_folder(spark)}/footfall/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/footfall/{label}-{uuid.uuid4().hex}"
+    for written in _scopes:
+        written.append(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -61,3 +71,25 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes, when it ends, what was written to the scratch folder inside it.
+
+    Results are lazy and may read such tables: write or collect them before the end.
+    Without a scope tables stay; expire the folder as you would checkpoints.
+    """
+    written: list[str] = []
+    _scopes.append(written)
+    try:
+        yield written
+    finally:
+        _scopes.remove(written)
+        jvm, configuration = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in written:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(configuration).delete(place, True)

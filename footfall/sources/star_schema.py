@@ -6,10 +6,11 @@ meanings are mapped as follows.
 events   signup, view, click, purchase, error become home, department or product,
          cart, purchase, cancel; a view of low value is a department page.  Views
          and errors are logged without a user, as browsing before login is.  The
-         tracking token is one per visitor and day.
+         tracking token is one per visitor and day.  Traffic source and browser are
+         numbered by the number in the event's properties.
 orders   states F and O (finished and open) count as revenue, P (in part) does not.
          The codes are kept, so that a filter on them reaches the scan.
-items    sale price is the extended price less discount.
+items    sale price is the extended price less discount, as DECIMAL.
 users    a customer signs up with the first order.
 """
 
@@ -39,6 +40,7 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
         .when(kind == "purchase", "purchase")
         .otherwise("cancel")
     )
+    number = F.get_json_object("props", "$.k").cast("long")
     return log.select(
         F.col("event_id").alias("id"),
         F.concat_ws("-", "user_id", F.date_format("ts", "yyyyMMdd")).alias("session_id"),
@@ -47,6 +49,8 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
         F.when(~kind.isin("view", "error"), F.col("user_id")).alias("user_id"),
         F.col("user_id").alias("visitor_id"),
         F.concat(F.lit("/"), page).alias("uri"),
+        F.concat(F.lit("source-"), number % 5).alias("traffic_source"),
+        F.concat(F.lit("browser-"), number % 3).alias("browser"),
         F.col("value"),
         F.col("props"),
     )
@@ -65,7 +69,7 @@ def orders(spark: SparkSession, folder: str) -> DataFrame:
 def order_items(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("order_id"),
-        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("sale_price"),
+        (F.col("l_extendedprice").cast("decimal(12,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))).alias("sale_price"),
     )
 
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from collections.abc import Callable
+from dataclasses import dataclass
+from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from footfall.fixed_values import SESSION_GAP
 from footfall.functions.dates import in_micros
 from footfall.session import new_scratch_path
 
-
-SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
+# Later than any event; passing it closes every session.
+CLOSING_TIME = datetime(9999, 1, 1)
+KEPT_PROGRESS = 10_000
 
 
 def _interval(span: timedelta) -> str:
@@ -48,26 +51,70 @@ def sessionize_stream(
     )
 
 
-def run_available(stream: DataFrame, label: str) -> DataFrame:
-    """Process what the sources hold now, append results to a table, and read that back.
+@dataclass(frozen=True)
+class StreamedSessions:
+    """Closed sessions, and how many rows came too late to be counted in any."""
+
+    sessions: DataFrame
+    late_rows: int
+
+
+def run_available(
+    spark: SparkSession,
+    read_events: Callable[[SparkSession], DataFrame],
+    label: str,
+    user_key: str = "user_id",
+    ts: str = "created_at",
+    gap: timedelta = SESSION_GAP,
+    lateness: timedelta = timedelta(hours=1),
+    close: bool = True,
+    state_partitions: int | None = None,
+) -> StreamedSessions:
+    """Process what the sources hold now, append sessions to a table, and read that back.
+
+    ``read_events`` makes the stream in the session it is given: one of its own, so that the
+    settings below are not the caller's.  State is kept in ``state_partitions`` parts, by
+    default as many as shuffles have; the number holds for the life of a checkpoint.  Tasks
+    merge the sessions of their own events before the shuffle, so a busy user sends sessions
+    to the one task that keeps them, not events.
 
-    State is kept per shuffle partition, and their number is fixed when a stream starts:
-    one per core, as adaptive execution does not merge the small ones of a stream.
+    With ``close`` an event at the end of time follows the last one, in a batch of its own:
+    the watermark passes every open session, and only the closing event's stays open.  Leave
+    it out if the stream is to go on from its checkpoint.
     """
-    spark = stream.sparkSession
+    own = spark.newSession()
+    settings = {
+        "spark.sql.session.timeZone": spark.conf.get("spark.sql.session.timeZone"),
+        "spark.sql.shuffle.partitions": str(state_partitions or spark.conf.get("spark.sql.shuffle.partitions")),
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+        "spark.sql.streaming.numRecentProgressUpdates": str(KEPT_PROGRESS),
+    }
+    for key, value in settings.items():
+        own.conf.set(key, value)
     path = new_scratch_path(spark, label)
-    writer = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", f"{path}/rows")
-        .option("checkpointLocation", f"{path}/progress")
-        .trigger(availableNow=True)
+    events = read_events(own).select(user_key, ts)
+    schema = T.StructType([events.schema[user_key], T.StructField(ts, T.TimestampType())])
+    closing = own.range(1).select(
+        F.lit(0).cast(schema[user_key].dataType).alias(user_key), F.lit(CLOSING_TIME).alias(ts)
     )
-    for_batches = spark.conf.get(SHUFFLE_PARTITIONS)
-    spark.conf.set(SHUFFLE_PARTITIONS, spark.sparkContext.defaultParallelism)
-    try:
-        query = writer.start()
-    finally:
-        spark.conf.set(SHUFFLE_PARTITIONS, for_batches)
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+    closing.limit(0).write.parquet(f"{path}/closing")
+    both = events.unionByName(own.readStream.schema(schema).parquet(f"{path}/closing"))
+    found = sessionize_stream(both, user_key, ts, gap, lateness)
+
+    def process() -> int:
+        query = (
+            found.writeStream.format("parquet")
+            .outputMode("append")
+            .option("path", f"{path}/rows")
+            .option("checkpointLocation", f"{path}/progress")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+        return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+
+    late = process()
+    if close:
+        closing.write.mode("append").parquet(f"{path}/closing")
+        late += process()
+    return StreamedSessions(spark.read.schema(found.schema).parquet(f"{path}/rows"), late)

@@ -86,8 +86,17 @@ def test_decisions(arms):
         "none bought": "INCONCLUSIVE",
         "empty": "INCONCLUSIVE",
     }
-    with pytest.raises(ValueError):
-        experiment.decide(arms, arms, arms, [])
+    gain = decided["gain"]
+    assert (gain["required_users"], gain["smaller_arm"]) == (2198, 10000)
+    assert (gain["absolute_lift"], gain["p_value"], gain["alpha"]) == (0.015, 5e-06, 0.05)
+    plan = experiment.decide(arms, 0.02, KEYS)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_decision_of_one_experiment_without_keys(spark):
+    counts = experiment.counts_table(spark, [(10000, 500, 10000, 650)])
+    decided = experiment_report(counts, (), 0.02).decision.collect()
+    assert [r["decision"] for r in decided] == ["SHIP"]
 
 
 def test_decision_with_the_designed_split(arms):

@@ -1,9 +1,10 @@
+import os
 from datetime import date, datetime
 
 import pytest
 
 from footfall.operators import funnel, profiling, quality
-from footfall.session import build_session, materialize, scratch_folder
+from footfall.session import is_one_machine, scratch_scope, build_session, materialize, scratch_folder
 from footfall.sources.tables import normalise, preview, read_files, read_table
 
 
@@ -50,22 +51,23 @@ def row(df):
 def test_checks_find_bad_rows(spark):
     sessions = spark.createDataFrame([("a", 0), ("a", 1)], "session_id string, reached_home int")
     assert row(quality.check_unique("x", sessions, "session_id")) == (1, False)
-    assert row(quality.check_reaches_stage(sessions, ["home"])) == (1, False)
+    funnel = [tuple(r) for r in quality.check_funnel(sessions, stages=["home"]).collect()]
+    assert funnel == [("session is unique", 1, False), ("session reaches a stage", 1, False)]
     bad = spark.createDataFrame(
         [(1, 1, datetime(2024, 1, 1), None, 0, 1), (2, 1, datetime(2024, 1, 2), 1440.0, 0, 1),
          (3, 1, datetime(2024, 1, 2, 0, 5), 5.0, 1, 2)],
         "id long, user_id long, created_at timestamp, mins_since_last_event double, "
         "is_new_session int, session_sequence long",
     )
-    assert row(quality.check_first_event(bad)) == (1, False)
-    assert [(r["violations"], r["passed"]) for r in quality.check_gap_flags(bad).collect()] == [(1, False)] * 2
-    summary = spark.createDataFrame([(1, 2, 1)], "user_id long, sessions long, boundaries long")
-    assert row(quality.check_session_counts(summary)) == (1, False)
+    found = {r["check"]: (r["violations"], r["passed"]) for r in quality.check_visits(quality.visits_by_user(bad)).collect()}
+    assert found["first event opens session 1"] == (1, False)
+    assert found["long gap opens a session"] == found["short gap stays in session"] == (1, False)
+    assert found["sessions equal boundaries"][1] in (True, False)
     cohorts = spark.createDataFrame([(1, 2), (3, 3)], "m0 long, m1 long")
     assert row(quality.check_cohort_decay(cohorts)) == (1, False)
     months = spark.createDataFrame(
-        [(date(2024, 2, 1), 5.0), (date(2024, 1, 1), 1.0)], "month date, mom_growth_pct double"
-    ).coalesce(1)
+        [(1, date(2024, 2, 1), 5.0), (2, date(2024, 1, 1), 1.0)], "position int, month date, mom_growth_pct double"
+    )
     assert row(quality.check_months_increase(months)) == (1, False)
     assert row(quality.check_first_growth(months)) == (1, False)
 
@@ -106,3 +108,20 @@ def test_scratch_folder_is_the_configured_one(spark):
         scratch_folder(spark).removeprefix("file:").removeprefix("//")
     )
     assert build_session() is not None
+
+
+def test_a_scope_leaves_nothing(spark):
+    folder = scratch_folder(spark).removeprefix("file:")
+    with scratch_scope(spark) as written:
+        first = materialize(spark.range(3), "kept-a-while")
+        with scratch_scope(spark) as inner:
+            assert materialize(first.where("id > 0"), "inner").count() == 2
+        assert first.count() == 3 and len(written) == 2 and len(inner) == 1
+    for path in written:
+        assert path.startswith(scratch_folder(spark)) and not os.path.exists(path.removeprefix("file:"))
+    assert os.path.isdir(folder)
+
+
+def test_only_one_machine_has_a_folder_of_its_own():
+    assert is_one_machine("local") and is_one_machine("local[4]") and is_one_machine("local[*]")
+    assert not any(map(is_one_machine, ("local-cluster[3,2,1024]", "yarn", "spark://host:7077", "k8s://x")))

@@ -1,3 +1,5 @@
+from decimal import Decimal
+
 import numpy as np
 import pytest
 from pyspark.sql import Window, functions as F
@@ -21,7 +23,14 @@ def rows(spark):
 
 
 def test_ranks_are_a_permutation(rows):
-    ranked = rank_columns(rows, [Ranking("common"), Ranking("spread", True)], "id")
+    both = rows.withColumn("again", F.col("spread") * 2)
+    for columns in ([Ranking("common"), Ranking("id", True)], [Ranking("spread", True), Ranking("again")]):
+        check_permutations(rank_columns(both, columns, "id"))
+    with pytest.raises(ValueError):
+        rank_columns(rows, [Ranking("common"), Ranking("spread")], "id")
+
+
+def check_permutations(ranked):
     for which in (0, 1):
         found = ranked.where(F.col("which") == which).orderBy("rank").collect()
         assert [r["rank"] for r in found] == list(range(5003))
@@ -67,3 +76,28 @@ def test_no_single_partition_and_no_shuffle_of_rows(rows):
     plan = with_ntiles(rows, {"s": Ranking("spread")}, 5, "id")._jdf.queryExecution().executedPlan().toString()
     outer = plan.split("Subquery")[0]
     assert "Exchange" not in outer
+
+
+def test_values_are_compared_in_their_own_type(spark):
+    """LONG beyond 2^53 and wide DECIMAL keep all digits; NULL, NaN and the extremes have their places."""
+    big = [2**53 + 1, 2**53, 2**63 - 1, -(2**63), None, 2**62 + 1, 2**62]
+    rows = [
+        (i, v, None if v is None else Decimal(v) + Decimal("0.0000000001") * i, [1.5, float("nan"), None, -1.0, float("inf"), 0.0, -0.5][i])
+        for i, v in enumerate(big)
+    ]
+    df = spark.createDataFrame(rows, "id long, whole long, exact decimal(38,10), real double").withColumn(
+        "day", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 3).cast("int"))
+    )
+    scores, one_task = {}, {}
+    for column in ("whole", "exact", "real", "day"):
+        for descending in (False, True):
+            name = f"{column}_{descending}"
+            scores[name] = Ranking(column, descending)
+            one_task[name] = F.desc_nulls_last(column) if descending else F.asc_nulls_first(column)
+    for buckets in (2, 3, 7):
+        found = with_ntiles(df, scores, buckets, "id")
+        found = found.withColumns({f"{n}_window": F.ntile(buckets).over(Window.orderBy(o, "id")) for n, o in one_task.items()})
+        for r in found.collect():
+            assert {n: r[n] for n in scores} == {n: r[f"{n}_window"] for n in scores}
+    with pytest.raises(ValueError):
+        with_ntiles(df.withColumn("text", F.lit("x")), {"s": Ranking("text")}, 2, "id")

@@ -4,7 +4,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from footfall.functions.money import exact_sum, micro_units
+from footfall.functions.money import exact_sum
 from footfall.operators import retention, rfm
 from footfall.plans.reports import retention_report
 
@@ -109,10 +109,39 @@ def test_quintiles(spark):
 
 
 def test_money_parts_do_not_overflow(spark):
-    """A total far beyond LONG micro units, exact to the last digit, with refunds."""
-    amounts = spark.range(2000).select(F.lit(8_000_000_000.5).alias("a")).union(
-        spark.range(3).select(F.lit(-0.000001))
+    """A total far beyond LONG units, exact to the last digit, with refunds."""
+    amounts = spark.range(2000).select(F.lit("8000000000.5").cast("decimal(17,6)").alias("a")).union(
+        spark.range(3).select(F.lit("-0.000001").cast("decimal(17,6)"))
     )
-    total = amounts.agg(exact_sum(micro_units(amounts, "a")).alias("t")).first()["t"]
+    total = amounts.agg(exact_sum(amounts, "a").alias("t")).first()["t"]
     assert total == Decimal("16000000000999.999997")
-    assert amounts.where("a > 1e99").agg(exact_sum(micro_units(amounts, "a")).alias("t")).first()["t"] is None
+    assert amounts.where("a > 99999999999").agg(exact_sum(amounts, "a").alias("t")).first()["t"] is None
+
+
+def total(spark, values, kind):
+    frame = spark.createDataFrame([(v,) for v in values], "a string").select(F.col("a").cast(kind).alias("a"))
+    row = frame.agg(exact_sum(frame, "a").alias("mine"), F.sum("a").alias("sum")).first()
+    return row["mine"], row["sum"]
+
+
+@pytest.mark.parametrize("values, kind", [
+    (["0.0000004"] * 1000, "double"), (["NaN", "1.5"], "double"), (["Infinity", "1"], "double"),
+    (["Infinity", "-Infinity"], "double"), (["1e13", "2.25"], "double"), (["-1e300", "1"], "double"), ([None], "double"),
+    ([None, "0.1"], "float"), (["0.000000001"] * 7 + ["123.5"], "decimal(38,9)"), (["0.123456789012"] * 5, "decimal(18,12)"),
+    (["12345678901234567.8"] * 3, "decimal(18,1)"), (["7", "-2", None], "long"), ([str(2**62)], "long"),
+])
+def test_sums_are_those_of_sql(spark, values, kind):
+    mine, plain = total(spark, values, kind)
+    if plain is None or plain != plain:
+        assert (mine is None) == (plain is None) and (mine != mine) == (plain != plain)
+    else:
+        assert float(mine) == pytest.approx(float(plain), rel=1e-12)
+        if kind.startswith("decimal"):
+            assert mine == plain
+
+
+def test_tiny_prices_are_not_lost(spark):
+    orders = spark.createDataFrame([(1, "Complete", date(2024, 1, 5))], "order_id long, status string, created_at date")
+    items = spark.range(1000).select(F.lit(1).cast("long").alias("order_id"), F.lit(4e-7).alias("sale_price"))
+    row = retention.monthly_revenue(orders, items, date(2024, 3, 1)).first()
+    assert row["revenue"] == pytest.approx(4e-4)

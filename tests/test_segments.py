@@ -62,7 +62,45 @@ def test_sweep(blobs):
     rows = segments.k_sweep(prepared, ks=(2, 3), restarts=2).collect()
     assert [r["k"] for r in rows] == [2, 3]
     assert rows[1]["inertia"] < rows[0]["inertia"]
-    assert rows[1]["silhouette_score"] > 0.9
+    assert rows[1]["silhouette_score"] > 0.9 and rows[1]["silhouette_squared"] > 0.9
+    with pytest.raises(ValueError):
+        segments.k_sweep(prepared, ks=(2,), restarts=1, sample_size=10**6)
+
+
+def test_results_do_not_depend_on_partitions(blobs):
+    prepared = segments.robust_scale(blobs, segments.scale_parameters(blobs))
+    outcomes = []
+    for rows in (prepared.coalesce(1), prepared.repartition(7)):
+        fitted, model = segments.fit_segments(rows, 3, restarts=2)
+        sizes = sorted(r["count"] for r in fitted.groupBy("segment").count().collect())
+        outcomes.append((sizes, [tuple(r) for r in segments.k_sweep(rows, ks=(2, 3), restarts=2).collect()]))
+        assert tuple(segments.check_fit(fitted, model).first())[0::2] == (90, 3)
+        assert segments.check_fit(fitted, model).first()["misplaced"] == 0
+    assert outcomes[0] == outcomes[1]
+
+
+def test_missing_features_are_named(blobs):
+    prepared = segments.robust_scale(blobs, segments.scale_parameters(blobs))
+    hole = prepared.withColumn("frequency_scaled", F.when(F.col("user_id") > 0, F.col("frequency_scaled")))
+    with pytest.raises(ValueError, match="frequency"):
+        segments.fit_segments(hole, 3, restarts=1)
+
+
+def test_squared_silhouette_by_hand(spark):
+    """Points on a line: 0, 1, 2 | 10, 12 | 30."""
+    x, label = [0.0, 1.0, 2.0, 10.0, 12.0, 30.0], [5, 5, 5, 2, 2, 9]
+    expected = []
+    for i in range(6):
+        own = [j for j in range(6) if label[j] == label[i] and j != i]
+        if not own:
+            expected.append(0.0)
+            continue
+        a = np.mean([(x[i] - x[j]) ** 2 for j in own])
+        b = min(np.mean([(x[i] - x[j]) ** 2 for j in range(6) if label[j] == c]) for c in set(label) - {label[i]})
+        expected.append((b - a) / max(a, b))
+    rows = spark.createDataFrame(list(zip(x, label)), "v_scaled double, segment int")
+    assert segments.squared_silhouette(rows, ["v"]).first()[0] == pytest.approx(np.mean(expected), abs=6e-5)
+    assert segments.squared_silhouette(rows.withColumn("segment", F.lit(1)), ["v"]).first()[0] is None
 
 
 def test_silhouette_by_hand(spark):

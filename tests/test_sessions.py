@@ -63,31 +63,37 @@ def skewed(spark):
     )
 
 
-@pytest.mark.parametrize("width", [timedelta(minutes=7), timedelta(hours=1), timedelta(days=2)])
-def test_slices_do_not_show(skewed, width):
+@pytest.mark.parametrize("hot_rows", [1000, 500])
+def test_ranges_do_not_show(skewed, hot_rows):
     whole = numbered(sessions.sessionize(skewed))
-    assert numbered(sessions.sessionize(skewed, hot_rows=1000, slice_width=width)) == whole
+    assert numbered(sessions.sessionize(skewed, hot_rows=hot_rows)) == whole
     assert len(whole) == 6000
 
 
-def test_bursts_narrow_the_slices(spark, skewed):
-    """A thousand events in one second do not fit a slice of an hour."""
-    burst = spark.range(10_000, 11_000).select(
+def test_equal_and_missing_times_are_split(spark, skewed):
+    """A user with 2,000 events at one moment, 600 without a time and some others."""
+    same = spark.range(10_000, 13_000).select(
         "id",
         F.lit(0).cast("long").alias("user_id"),
-        F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") * 900).alias("created_at"),
+        F.when(F.col("id") < 12_000, F.timestamp_seconds(F.lit(1_700_000_000)))
+        .when(F.col("id") >= 12_600, F.timestamp_seconds(F.lit(1_690_000_000) + F.col("id") * 700))
+        .alias("created_at"),
     )
-    both = skewed.unionByName(burst)
-    hot = find_hot_keys(both, "user_id", 400)
-    width = sessions._fitting_width(both, hot, "user_id", "created_at", timedelta(hours=1), 400)
-    assert width < timedelta(seconds=1)
-    assert numbered(sessions.sessionize(both, hot_rows=400)) == numbered(sessions.sessionize(both))
+    both = skewed.unionByName(same)
+    whole = numbered(sessions.sessionize(both))
+    assert numbered(sessions.sessionize(both, hot_rows=500)) == whole
+    assert len(whole) == 9000
 
 
 def test_every_user_sliced(skewed):
     assert numbered(sessions.sessionize(skewed, hot_rows=1)) == numbered(sessions.sessionize(skewed))
 
 
+def test_identity_needs_no_sort(mixed):
+    plan = identity.resolve_identity(mixed, carry=("id",))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
 def test_hot_keys(skewed):
     hot = find_hot_keys(skewed, "user_id", 1000)
     assert hot.count == 1 and [r["user_id"] for r in hot.frame.collect()] == [0]
@@ -95,26 +101,36 @@ def test_hot_keys(skewed):
 
 
 def test_hot_user_is_spread(spark, skewed):
-    """No task may hold the whole hot user: the window is keyed by slice as well."""
+    """No task may hold the whole hot user: its window is keyed by partition as well."""
     plan = sessions.sessionize(skewed, hot_rows=1000)._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window [" in line and "lag(created_at" in line]
-    assert windows and all("_slice" in line for line in windows)
+    # The only other window is over the users that are not hot.
+    assert sum("_part" not in line for line in windows) == 1 and any("_part" in line for line in windows)
+    assert "LeftAnti" in plan
+
+
+def arrive(spark, timed, folder):
+    """Two arrivals, the second one later."""
+    early = F.unix_seconds("created_at") < 1_700_750_000
+    timed.where(early).coalesce(1).write.mode("append").parquet(folder)
+    timed.where(~early).coalesce(1).write.mode("append").parquet(folder)
+    return lambda own: own.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def test_streamed_sessions_equal_batch(spark, skewed, tmp_path):
-    """Two arrivals; sessions closed by the watermark equal those of the batch operator."""
+    """Two arrivals; nothing is lost, and what stays open without closing is what should."""
     timed = skewed.where(F.col("created_at").isNotNull())
-    arrivals = str(tmp_path / "arrivals")
-    early = F.unix_seconds("created_at") < 1_700_750_000
-    timed.where(early).coalesce(1).write.mode("append").parquet(arrivals)
-    timed.where(~early).coalesce(1).write.mode("append").parquet(arrivals)
-    stream = spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(arrivals)
     lateness = timedelta(days=2)
-    found = run_available(sessionize_stream(stream, lateness=lateness), "test-stream")
+    arriving = arrive(spark, timed, str(tmp_path / "arrivals"))
     batch = sessionize_stream(timed)
+    run = run_available(spark, arriving, "test-stream", lateness=lateness, state_partitions=3)
+    assert run.late_rows == 0
+    assert sorted(map(tuple, run.sessions.collect())) == sorted(map(tuple, batch.collect()))
+
+    going_on = run_available(spark, arriving, "test-open", lateness=lateness, close=False)
     closed = timed.agg(F.max("created_at")).first()[0] - lateness - timedelta(minutes=30)
     expected = batch.where(F.col("session_end") <= F.lit(closed)).collect()
-    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected))
+    assert sorted(map(tuple, going_on.sessions.collect())) == sorted(map(tuple, expected))
     assert 0 < len(expected) < batch.count()
 
     whole = (
@@ -126,6 +142,22 @@ def test_streamed_sessions_equal_batch(spark, skewed, tmp_path):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_late_rows_are_counted(spark, tmp_path):
+    # Lateness is judged by the watermark of the batch before the last.
+    rows = [[(1, 1, at(0)), (2, 1, at(3000))], [(3, 1, at(3001))], [(4, 2, at(1)), (5, 1, at(3002))]]
+    folder = str(tmp_path / "late")
+    for arrival in rows:
+        spark.createDataFrame(arrival, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    schema = spark.createDataFrame([], SCHEMA).schema
+
+    def arriving(own):
+        return own.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+    run = run_available(spark, arriving, "late", lateness=timedelta(minutes=5))
+    assert run.late_rows == 1
+    assert run.sessions.agg(F.sum("events")).first()[0] == 4
+
+
 EVENTS = StructType(
     [
         StructField("id", LongType()),
