@@ -39,6 +39,7 @@ TOLERANCE = 1e-4
 PARALLEL_FITS = 8
 # The sampled silhouette holds its sample in every task, and its cost is quadratic.
 LARGEST_SAMPLE = 20_000
+BROADCAST_SEGMENTS = 10_000
 
 
 def scaled(feature: str) -> str:
@@ -352,8 +353,14 @@ def label_segments(profiles: DataFrame) -> DataFrame:
 
 
 def attach_labels(rows: DataFrame, labelled: DataFrame) -> DataFrame:
-    """Adds each row's segment label.  ``labelled`` has one row per segment."""
-    return rows.join(F.broadcast(labelled.select("segment", "label")), "segment", "left")
+    """Adds each row's segment label.  ``labelled`` has one row per segment.
+
+    They are counted first, and broadcast unless there are more than BROADCAST_SEGMENTS.
+    """
+    labels = labelled.select("segment", "label")
+    if labels.limit(BROADCAST_SEGMENTS + 1).count() <= BROADCAST_SEGMENTS:
+        labels = F.broadcast(labels)
+    return rows.join(labels, "segment", "left")
 
 
 def revenue_at_stake(labelled_rows: DataFrame) -> DataFrame:

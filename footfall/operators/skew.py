@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from footfall.session import materialize
+
 # A key with more rows than this is split; about 1 GB of sorted narrow rows.
 HOT_ROWS = 5_000_000
 # Hot keys are broadcast up to this many, and joined without a hint beyond.
@@ -36,4 +38,6 @@ def find_hot_keys(df: DataFrame, key: str, limit: int = HOT_ROWS) -> HotKeys | N
         return None
     if len(found) <= BROADCAST_KEYS:
         hot = df.sparkSession.createDataFrame(found, hot.schema)
+    else:
+        hot = materialize(hot, "hot-keys")  # several joins read it
     return HotKeys(hot, len(found))
