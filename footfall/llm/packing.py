@@ -94,6 +94,17 @@ class ByteLevelEncoder:
             return b"".join(map(self._word, words))
 
 
+_encoders: dict[str, ByteLevelEncoder] = {}
+
+
+def encoder_of(vocabulary: str) -> ByteLevelEncoder:
+    """The encoder of this Python worker: further tasks know the words of earlier ones."""
+    if vocabulary not in _encoders:
+        _encoders.clear()  # one vocabulary at a time
+        _encoders[vocabulary] = ByteLevelEncoder(vocabulary)
+    return _encoders[vocabulary]
+
+
 def cut(ids: bytes, capacity: int = CAPACITY) -> list[dict]:
     """Pieces of ``capacity`` ids; if the document is longer, the first may be shorter."""
     total = len(ids) // 4
@@ -115,12 +126,9 @@ def tokenized_pieces(
     with open(tokenizer, encoding="utf-8") as file:
         vocabulary = docs.sparkSession.sparkContext.broadcast(file.read())
     end = np.array([end_id], dtype="<u4").tobytes()
-    state: dict[str, ByteLevelEncoder] = {}
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-        if "encoder" not in state:
-            state["encoder"] = ByteLevelEncoder(vocabulary.value)
-        encoder = state["encoder"]
+        encoder = encoder_of(vocabulary.value)
         return [pa.array([cut(encoder.encode(t.as_py() or "") + end, capacity) for t in batch.column(text)], ARROW_PIECES)]
 
     rows = with_arrow_columns(docs.select(F.col(doc_id), F.col(text)), [T.StructField("_pieces", PIECES)], compute, [doc_id])
