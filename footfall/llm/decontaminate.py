@@ -71,6 +71,9 @@ class Powers:
     def __init__(self, base: int):
         self.base, self.inverse, self.size = base, pow(base, -1, 1 << 64), 0
 
+    def __reduce__(self):
+        return Powers, (self.base,)  # the numbers are not worth sending
+
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > self.size:
             self.size = max(n, 1 << 20)
@@ -234,7 +237,7 @@ def with_hits(
     frame = docs
     for number in range(passes):
         rows = [tuple(r) for r in windows.where(block == number).select("item", "window").collect()]
-        shared = spark.sparkContext.broadcast(rows)
+        shared = spark.sparkContext.broadcast(WindowSet(rows))
         last = number == passes - 1
         frame = _scan(frame, shared, field, text, keep if last else docs.columns, again=number > 0)
         if not last:
@@ -243,14 +246,10 @@ def with_hits(
 
 
 def _scan(frame: DataFrame, shared, field: T.StructField, text: str, keep, again: bool) -> DataFrame:
-    state: dict[str, WindowSet] = {}
-
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-        if "windows" not in state:
-            state["windows"] = WindowSet(shared.value)
         found: list[dict] = []
         for data, offsets in chunks(batch.column(text)):
-            found += state["windows"].find(data, offsets)
+            found += shared.value.find(data, offsets)
         if again:
             found = [_merged(a, b) for a, b in zip(batch.column(field.name).to_pylist(), found)]
         return [pa.array(found, ARROW_HITS)]
