@@ -62,6 +62,40 @@ def with_arrow_columns(
     return df.mapInArrow(run, schema)
 
 
+def text_digest(text: Column) -> Column:
+    """SHA-256 of a text, NULL as empty."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def first_of_each(rows: DataFrame, group: str) -> DataFrame:
+    """``_id, _digest, _rows`` of the first of each ``group``, by ``_id`` (NULL last), then ``_digest``."""
+    counted = rows.groupBy(group, "_id", "_digest").agg(F.count(F.lit(1)).alias("_rows"))
+    first = F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_digest", "_rows"))
+    return counted.groupBy(group).agg(first.alias("_first")).select("_first._id", "_first._digest", "_first._rows")
+
+
+def rows_that_stay(docs: DataFrame, stays: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """One row of ``docs`` for each ``_id, _digest`` of ``stays``; columns stay as they are.
+
+    ``_rows`` of ``stays`` is how many rows have that id and text.  Where more than one has,
+    the first of them by its columns stays; they are combined where they are read.
+    """
+    stays = materialize(stays, "stays")
+
+    def same(few: DataFrame) -> Column:
+        return docs[doc_id].eqNullSafe(few["_id"]) & (text_digest(docs[text]) == few["_digest"])
+
+    once, repeated = stays.where("_rows = 1"), stays.where("_rows > 1")
+    kept = docs.join(once, same(once), "left_semi")
+    if not repeated.take(1):
+        return kept
+    row = F.struct(*[docs[c] for c in docs.columns])
+    # Aliased, as columns of docs may have any name.
+    found = docs.join(repeated, same(repeated)).select(repeated["_id"].alias("i"), repeated["_digest"].alias("d"), row.alias("r"))
+    one = found.groupBy("i", "d").agg(F.min_by("r", F.to_json("r")).alias("r"))
+    return kept.unionByName(one.select("r.*"))
+
+
 def with_group_ranks(df: DataFrame, group: str, order: Sequence[str], rank: str, label: str) -> DataFrame:
     """Adds ``rank``: 0, 1, 2, ... in every ``group``, by ``order``.
 

@@ -1,0 +1,109 @@
+"""Near copies against brute-force Jaccard, and repeated or missing ids."""
+
+import re
+from collections import Counter
+from itertools import combinations
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from footfall.llm import near_copies
+from footfall.session import new_scratch_path
+from tests.llm import brute
+from tests.llm.brute import LOWER
+from tests.llm.conftest import SMALL
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], COLUMNS).repartition(3)
+
+
+def shingle_set(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def similar(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def groups(texts):
+    """The group of each text, over chains of similar ones."""
+    sets, root = [shingle_set(t) for t in texts], list(range(len(texts)))
+    for i, j in combinations(range(len(texts)), 2):
+        if root[i] != root[j] and similar(sets[i], sets[j]):
+            root = [root[i] if r == root[j] else r for r in root]
+    return root
+
+
+def near_copies_of(random, words, edits):
+    found = list(words)
+    for place in random.choice(len(found), edits, replace=False):
+        found[place] = f"edit{random.integers(10**9)}"
+    return " ".join(found)
+
+
+@pytest.fixture(scope="module")
+def rows():
+    random = np.random.default_rng(8)
+    texts = ["", None, " \n", "one", "One", "two words", "five words are one shingle", "Five words are ONE shingle"]
+    for length in (30, 60, 200, 1000):
+        for _ in range(6):
+            words = [f"w{x}" for x in random.integers(0, 5000, length)]
+            texts += [" ".join(words)] + [near_copies_of(random, words, e) for e in range(1, max(3, length // 40) + 1)]
+    return [(int(i), t) for i, t in zip(random.permutation(len(texts)), texts)]
+
+
+def test_one_document_per_group_of_near_copies(spark, rows):
+    kept = corpus_pipeline.drop_near_copies(spark, frame(spark, rows), SMALL)
+    smallest = {}
+    root = groups([t for _, t in rows])
+    for (i, _), r in zip(rows, root):
+        smallest[r] = min(smallest.get(r, i), i)
+    assert kept.columns == [c.split()[0] for c in COLUMNS.split(", ")]
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(smallest.values())
+    assert 30 < len(smallest) < len(rows) - 30
+
+
+def test_near_copies_of_a_large_group(spark):
+    random = np.random.default_rng(5)
+    words = [f"w{x}" for x in range(300)]
+    # Copies of copies: neighbours are similar, the ends of the chain are not.
+    chain = [" ".join(words)]
+    for place in random.choice(300, 120, replace=False):
+        words[place] = f"edit{place}"
+        chain.append(" ".join(words))
+    found = near_copies.one_per_component(frame(spark, list(enumerate(chain)) + [(500, "an entirely different text of some words")]))
+    assert sorted(r["doc_id"] for r in found.collect()) == [0, 500]
+
+
+def test_near_copies_with_repeated_and_missing_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(100)), " ".join(f"b{i}" for i in range(100))
+    found = near_copies.one_per_component(
+        frame(spark, [(1, a), (1, b), (0, f"{b} end"), (1, a), (2, f"{a} end"), (None, "x y z"), (None, "X y z"), (None, "x y z"), (None, None)])
+    ).collect()
+    wanted = Counter([(0, f"{b} end"), (1, a), (None, None)])
+    got = Counter((r["doc_id"], r["text"]) for r in found if (r["text"] or "").lower() != "x y z")
+    assert got == wanted and len(found) == 4
+    empty = frame(spark, [(1, a)]).limit(0)
+    assert near_copies.one_per_component(empty).count() == 0
+
+
+def test_pipeline_stages_with_near_copies(spark):
+    frames = [spark.read.parquet(f"{SMALL}/documents.parquet")]
+    for name, stage in corpus_pipeline.STAGES:
+        path = new_scratch_path(spark, "stage")
+        stage(spark, frames[-1], SMALL).write.parquet(path)
+        frames.append(spark.read.parquet(path))
+    kept = [{r["doc_id"]: r["text"] for r in f.collect()} for f in frames[:-1]]
+    smallest = {}
+    for i, root in zip(kept[2], groups(list(kept[2].values()))):
+        smallest[root] = min(smallest.get(root, i), i)
+    assert kept[3].keys() == set(smallest.values())
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    hit = brute.hits(list(kept[3].values()), items)
+    assert kept[4].keys() == {i for i, (_, places, _) in zip(kept[3], hit) if not places}
+    assert {r["doc_id"] for r in frames[5].collect()} == kept[4].keys()
