@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from footfall.llm.common import text_or_empty
+from footfall.llm.common import rows_that_stay, text_or_empty
 from footfall.session import materialize
 
 SALTS = 32
@@ -93,9 +93,12 @@ def exact_duplicates(
 
 
 def one_per_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``docs`` that stay; columns stay as they are."""
-    stays = exact_duplicates(docs, doc_id, text).where("kept").select(
-        F.col(doc_id).alias("_stays"), F.col("digest").alias("_digest")
-    ).distinct()
-    same = docs[doc_id].eqNullSafe(stays["_stays"]) & (sha256(F.coalesce(docs[text], F.lit(""))) == stays["_digest"])
-    return docs.join(stays, same, "left_semi")
+    """The one row of each class that stays; columns stay as they are.  Of rows that repeat
+    the largest id with its text, or have NULL ids only, one stays too."""
+    stays = (
+        exact_duplicates(docs, doc_id, text)
+        .where("kept")
+        .groupBy(F.col(doc_id).alias("_id"), F.col("digest").alias("_digest"))
+        .agg(F.count(F.lit(1)).alias("_rows"))
+    )
+    return rows_that_stay(docs, stays, doc_id, text)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from footfall.llm import near_copies
+from footfall.llm import exact_dedup, near_copies, simhash
 from footfall.session import new_scratch_path
 from tests.llm import brute
 from tests.llm.brute import LOWER
@@ -107,3 +107,9 @@ def test_pipeline_stages_with_near_copies(spark):
     hit = brute.hits(list(kept[3].values()), items)
     assert kept[4].keys() == {i for i, (_, places, _) in zip(kept[3], hit) if not places}
     assert {r["doc_id"] for r in frames[5].collect()} == kept[4].keys()
+
+
+def test_exact_copies_of_one_id_leave_one_row(spark):
+    given = [(1, "a"), (1, "a"), (0, "a"), (None, "b"), (None, "b"), (None, None), (None, ""), (2, "c"), (2, "d")]
+    kept = exact_dedup.one_per_class(frame(spark, given)).collect()
+    assert Counter((r["doc_id"], r["text"] or "") for r in kept) == Counter([(1, "a"), (None, "b"), (None, ""), (2, "c"), (2, "d")])
