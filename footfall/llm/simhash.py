@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from footfall.llm.common import with_arrow_columns
+from footfall.llm.common import first_of_each, rows_that_stay, text_digest, with_arrow_columns
 from footfall.session import materialize
 
 SHINGLE_WORDS = 3
@@ -178,7 +178,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     prints = materialize(
         with_fingerprints(docs, text, [doc_id], words).withColumnRenamed(doc_id, "doc_id"), "fingerprints"
     )
-    distinct = materialize(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "distinct")
+    found = _with_components(prints, "doc_id")
+    return found.select(F.col("doc_id").alias(doc_id), "fingerprint", "component_id")
+
+
+def _with_components(prints: DataFrame, doc_id: str) -> DataFrame:
+    """Adds ``component_id``, and ``root``, which is one for each component whatever its ids are."""
+    distinct = materialize(prints.groupBy("fingerprint").agg(F.min(doc_id).alias("first")), "distinct")
     roots = components(links(distinct.select("fingerprint")))
     # A fingerprint that no other is close to is a component of its own.
     placed = distinct.join(roots, distinct["fingerprint"] == roots["node"], "left").select(
@@ -186,20 +192,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
     firsts = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = materialize(
-        _salted_join(placed.select("root", "fingerprint"), firsts, "root", "fingerprint").select("fingerprint", "component_id"),
+        _salted_join(placed.select("root", "fingerprint"), firsts, "root", "fingerprint").select(
+            "fingerprint", "component_id", "root"
+        ),
         "labels",
     )
     # Both sides are plain shuffles, so a fingerprint of very many documents is split at run time.
-    return prints.join(labels, "fingerprint").select(F.col("doc_id").alias(doc_id), "fingerprint", "component_id")
+    return prints.join(labels, "fingerprint")
 
 
 def one_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose id is the smallest of its component; columns stay as they are."""
-    found = near_duplicates(docs, doc_id, text)
-    stays = (
-        found.where(F.col(doc_id).eqNullSafe(F.col("component_id"))).select(F.col(doc_id).alias("_stays")).distinct()
-    )
-    return docs.join(stays, docs[doc_id].eqNullSafe(stays["_stays"]), "left_semi")
+    """One row of each component, one with its smallest id; columns stay as they are."""
+    read = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), text_digest(F.col(text)).alias("_digest"))
+    prints = materialize(with_fingerprints(read, "_text", ["_id", "_digest"]), "fingerprints")
+    stays = first_of_each(_with_components(prints, "_id"), "root")
+    return rows_that_stay(docs, stays, doc_id, text)
 
 
 def as_hex(fingerprint_column: str = "fingerprint"):

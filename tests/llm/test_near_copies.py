@@ -113,3 +113,10 @@ def test_exact_copies_of_one_id_leave_one_row(spark):
     given = [(1, "a"), (1, "a"), (0, "a"), (None, "b"), (None, "b"), (None, None), (None, ""), (2, "c"), (2, "d")]
     kept = exact_dedup.one_per_class(frame(spark, given)).collect()
     assert Counter((r["doc_id"], r["text"] or "") for r in kept) == Counter([(1, "a"), (None, "b"), (None, ""), (2, "c"), (2, "d")])
+
+
+def test_one_row_per_component_with_repeated_and_missing_ids(spark):
+    # 1 is the smallest of one component and must not stay in the other, where 0 is.
+    given = [(1, "a b c d"), (1, "p q r s"), (0, "P q r s"), (1, "a b c d"), (None, "x y z"), (None, "X y z")]
+    kept = simhash.one_per_component(frame(spark, given)).collect()
+    assert Counter((r["doc_id"], r["text"].lower()) for r in kept) == Counter([(0, "p q r s"), (1, "a b c d"), (None, "x y z")])
