@@ -6,6 +6,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType, Tim
 
 from footfall.operators import identity, sessions
 from footfall.operators.skew import find_hot_keys
+from footfall.streaming import sessions as streamed
 from footfall.streaming.sessions import run_available, sessionize_stream
 
 START = datetime(2024, 1, 1)
@@ -158,6 +159,20 @@ def test_late_rows_are_counted(spark, tmp_path):
     assert run.sessions.agg(F.sum("events")).first()[0] == 4
 
 
+def test_late_rows_of_more_batches_than_progress_fail(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streamed, "KEPT_PROGRESS", 4)
+    folder = str(tmp_path / "many")
+    for i in range(6):
+        spark.createDataFrame([(i, 1, at(i))], SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    schema = spark.createDataFrame([], SCHEMA).schema
+
+    def arriving(own):
+        return own.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+    with pytest.raises(RuntimeError, match="late rows"):
+        run_available(spark, arriving, "many")
+
+
 EVENTS = StructType(
     [
         StructField("id", LongType()),
