@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from footfall.session import materialize
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-# monotonically_increasing_id() holds the partition in the bits above the row position.
-POSITION_BITS = 33
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -96,39 +96,117 @@ def rows_that_stay(docs: DataFrame, stays: DataFrame, doc_id: str, text: str) ->
     return kept.unionByName(one.select("r.*"))
 
 
+def quoted(name: str) -> str:
+    """A column's name as a reference to it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def run_starts(batch: pa.RecordBatch, keys: Sequence[str], last: list) -> np.ndarray:
+    """Whether each row opens a run of equal ``keys``; NULLs are equal.
+
+    ``last`` holds the keys of the row before the batch, empty at first, and is moved on.
+    """
+    opens = np.zeros(batch.num_rows, dtype=bool)
+    values = [batch.column(k) for k in keys]
+    for value in values:
+        if len(value) > 1:
+            missing = value.is_null().to_numpy(zero_copy_only=False)
+            same = pc.fill_null(pc.equal(value[1:], value[:-1]), False).to_numpy(zero_copy_only=False)
+            opens[1:] |= ~(same | (missing[1:] & missing[:-1]))
+    if batch.num_rows:
+        opens[0] = not last or any(v[0].as_py() != k for v, k in zip(values, last))
+        last[:] = [v[-1].as_py() for v in values]
+    return opens
+
+
 def with_group_ranks(df: DataFrame, group: str, order: Sequence[str], rank: str, label: str) -> DataFrame:
     """Adds ``rank``: 0, 1, 2, ... in every ``group``, by ``order``.
 
-    No group is ever whole in one task: rows are range-partitioned by group *and* order, and
-    a row's rank is its position in its partition plus what earlier partitions hold of the
-    group.  The sorted rows are written out, because their partition ids must be the same
-    when they are counted and when they are looked up.  Rows equal in group and order are
-    ranked arbitrarily, but once.
+    No group is ever whole in one task: rows are range-partitioned by group *and* order, a
+    task numbers the sorted rows that it has of each group, and a group that began in an
+    earlier partition is moved on by what those hold of it.  Only the first group of a
+    partition can be such a one, so what is broadcast has at most a row per partition.  The
+    sorted rows are written out, because their partition ids must be the same when they are
+    counted and when they are looked up.  Rows equal in group and order are ranked
+    arbitrarily, but once.
     """
-    keys = [group, *order]
-    placed = materialize(
-        df.repartitionByRange(*keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("_id", F.monotonically_increasing_id())
-        .withColumn("_part", F.shiftright("_id", POSITION_BITS))
-        .withColumn("_id", F.col("_id").bitwiseAND((1 << POSITION_BITS) - 1)),
-        label,
-    )
-    earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # Ranges hardly overlap: about as many rows as there are groups and partitions.
+    keys = [F.col(quoted(k)) for k in (group, *order)]
+    part, place = fresh_name(df, "_part"), fresh_name(df, "_place")
+    columns = df.columns
+
+    def number(batches):
+        from pyspark import TaskContext
+
+        here, last, carried = TaskContext.get().partitionId(), [], 0
+        for batch in batches:
+            opens = np.flatnonzero(run_starts(batch, [group], last))
+            at = np.arange(batch.num_rows)
+            base = np.full(batch.num_rows, -carried)
+            if len(opens):
+                base[opens[0] :] = np.repeat(opens, np.diff([*opens, batch.num_rows]))
+            places = at - base
+            if batch.num_rows:
+                carried = int(places[-1]) + 1
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.full(batch.num_rows, here, np.int32)), pa.array(places.astype(np.int64))],
+                names=[*columns, part, place],
+            )
+
+    schema = T.StructType([*df.schema, T.StructField(part, T.IntegerType()), T.StructField(place, T.LongType())])
+    placed = materialize(df.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(number, schema), label)
+    earlier = Window.partitionBy("_group").orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        placed.groupBy(group, "_part")
-        .agg(F.count(F.lit(1)).alias("_rows"), F.min("_id").alias("_first"))
-        .select(
-            F.col(group).alias("_group"),
-            F.col("_part").alias("_in"),
-            (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_start"),
-        )
+        placed.groupBy(F.col(quoted(group)).alias("_group"), F.col(part).alias("_in"))
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .select("_group", "_in", F.sum("_rows").over(earlier).alias("_start"))
+        .where(F.col("_start") > 0)
+        .alias("_starts")
     )
-    return (
-        placed.join(
-            F.broadcast(starts), F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_in"))
-        )
-        .withColumn(rank, F.col("_id") + F.col("_start"))
-        .select(*df.columns, rank)
+    own = placed.alias("_placed")
+    return own.join(
+        F.broadcast(starts),
+        F.col(f"_placed.{quoted(group)}").eqNullSafe(F.col("_starts._group")) & (F.col(f"_placed.{part}") == F.col("_starts._in")),
+        "left",
+    ).select(
+        *[F.col(f"_placed.{quoted(c)}") for c in columns],
+        (F.col(f"_placed.{place}") + F.coalesce(F.col("_starts._start"), F.lit(0))).alias(rank),
     )
+
+
+def streamed_digests(rows: DataFrame, keys: Sequence[str], order: Sequence[str], piece: str, joiner: str, digest: str) -> DataFrame:
+    """``keys`` and ``digest``: the SHA-256 of the pieces of each key in ``order``, with ``joiner`` between.
+
+    A digest is one chain, so the pieces of a key pass through one task; they are sorted by
+    Spark, which spills, and stream past a hash state.  No key is ever held whole.
+    """
+    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField(digest, T.StringType())])
+    between = joiner.encode()
+
+    def run(batches):
+        import hashlib
+
+        last, state, whose = [], None, None
+        for batch in batches:
+            opens = run_starts(batch, keys, last)
+            done = []
+            for i, text in enumerate(batch.column(piece)):
+                if opens[i]:
+                    if state is not None:
+                        done.append((*whose, state.hexdigest()))
+                    state, whose = hashlib.sha256(), [batch.column(k)[i].as_py() for k in keys]
+                else:
+                    state.update(between)
+                state.update(text.as_py().encode())
+            if done:
+                yield out(done, batch)
+            empty = batch.slice(0, 0)
+        if state is not None:
+            yield out([(*whose, state.hexdigest())], empty)
+
+    def out(done, like):
+        types = [like.schema.field(k).type for k in keys] + [pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*done), types)], names=schema.names)
+
+    columns = [F.col(quoted(c)) for c in (*keys, *order)]
+    sorted_rows = rows.repartition(*columns[: len(keys)]).sortWithinPartitions(*columns)
+    return sorted_rows.select(*[F.col(quoted(c)) for c in dict.fromkeys([*keys, *order, piece])]).mapInArrow(run, schema)

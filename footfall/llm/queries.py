@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from footfall.llm import (
-    decontaminate, exact_dedup, line_dedup, packing, pii, quality, secret_scan, sharding, simhash, spans, warc,
+    conversation_repair, decontaminate, exact_dedup, line_dedup, packing, pii, quality, secret_scan, sharding, simhash,
+    spans, warc,
 )
-from footfall.llm.common import table
+from footfall.llm.common import streamed_digests, table
 from footfall.session import new_scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -108,9 +109,38 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows of conversations, a quarter of them damaged by their CRC-32."""
+
+    def shown(column: str) -> Column:
+        return F.coalesce(F.col(column).cast("string"), F.lit(" "))
+
+    kind = F.crc32(F.concat(shown("conv_id"), F.lit(":"), shown("turn")).cast("binary")) % 20
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate(shown("text"), ".!?", "")).otherwise(shown("text"))
+    return (
+        conversations.withColumn("kind", kind)
+        .where(F.col("kind") != 0)
+        .select(
+            "conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(shown("role")).alias("role"), text.alias("text"),
+            F.explode(F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+        )
+        .drop("copy")
+    )
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = conversation_repair.repair(damaged(rows), conversations=rows)
+    lines = found.repaired.select("conv_id", "pos", "nth", F.concat_ws(":", "role", "text").alias("line"))
+    hashes = streamed_digests(lines, ["conv_id"], ["pos", "nth"], "line", "\n", "repaired_sha256").withColumnRenamed("conv_id", "_id")
+    return found.summary.join(hashes, F.col("conv_id").eqNullSafe(F.col("_id")), "left").select(
+        *found.summary.columns, F.coalesce("repaired_sha256", _sha256(F.lit(""))).alias("repaired_sha256")
+    )
+
+
 QUERIES = [
     op1_decontamination, op2_personal_data, op3_simhash, op4_line_dedup, op5_exact_dedup, op6_secrets, op7_sharding,
-    op8_warc, op9_packing, op10_quality,
+    op8_warc, op9_packing, op10_quality, op11_conversation_repair,
 ]
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

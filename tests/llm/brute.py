@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import defaultdict
 
 import xxhash
@@ -155,3 +156,71 @@ def best_fit_decreasing(lengths, capacity):
         bins += room == capacity
         bisect.insort(free, room - length)
     return bins
+
+
+def damage(rows):
+    """rows: (conv_id, turn, role, text)."""
+    out = []
+    for c, turn, role, text in rows:
+        role, text = (" " if x is None else x for x in (role, text))
+        kind = zlib.crc32(f"{' ' if c is None else c}:{' ' if turn is None else turn}".encode()) % 20
+        if kind == 1:
+            text = ""
+        if kind == 2:
+            text = re.sub("[.!?]", "", text)
+        if kind == 4:
+            role = "user"
+        out += [(c, turn, role, text)] * (0 if kind == 0 else 2 if kind == 3 else 1)
+    return out
+
+
+def cheapest_edits(rows):
+    """rows: (role, text, fault).  Least (cost, letters) with the lines that they leave."""
+    order = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}
+    name = {"u": "user", "a": "assistant"}
+
+    def due(state):
+        return "a" if state == "u" else "u"
+
+    def inserted(live):
+        for _ in range(2):
+            for state, (cost, letters, lines) in list(live.items()):
+                to = due(state)
+                new = (cost + 5, letters + "I", [*lines, f"{name[to]}:"])
+                live[to] = min(live.get(to, new), new)
+        return live
+
+    live = {"": (0, "", [])}
+    for role, text, fault in rows:
+        after = {}
+        for state, (cost, letters, lines) in inserted(live).items():
+            moves = [(state, (cost + 2, letters + "D", lines))]
+            if fault not in ("blank", "duplicate"):
+                cost += 5 * (fault == "truncated")
+                if (state, role[:1]) in order:
+                    moves.append((role[:1], (cost, letters + "K", [*lines, f"{role}:{text}"])))
+                moves.append((due(state), (cost + 1, letters + "R", [*lines, f"{name[due(state)]}:{text}"])))
+            for to, new in moves:
+                after[to] = min(after.get(to, new), new)
+        live = after
+    live = inserted(live)
+    return min(live[s] for s in ("", "a") if s in live)
+
+
+def repair(rows, damaged):
+    """rows, damaged: (conv_id, turn, role, text).  Per conversation what the query returns."""
+    out = {}
+    for c in {r[0] for r in rows}:
+        own = sorted((r[1:] for r in damaged if r[0] == c), key=lambda r: (r[0] is not None, r[0] or 0))
+        seen, faults, turns = set(), [], {r[0] for r in own} - {None}
+        for _, role, text in own:
+            bare = text.strip(WHITE)
+            fault = "blank" if not bare else "duplicate" if (role, text) in seen else "" if bare[-1] in ".!?" else "truncated"
+            seen.add((role, text))
+            faults.append((role, text, fault))
+        cost, letters, lines = cheapest_edits(faults)
+        illegal = sum(a[0][:1] + b[0][:1] not in ("su", "ua", "au") for a, b in zip(faults, faults[1:]))
+        counts = [sum(f[2] == kind for f in faults) for kind in ("blank", "duplicate", "truncated")]
+        gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
+        out[c] = (gaps, *counts, illegal, cost, letters, sha("\n".join(lines)))
+    return out
