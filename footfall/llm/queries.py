@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from footfall.llm import (
-    conversation_repair, decontaminate, exact_dedup, line_dedup, packing, pii, quality, secret_scan, sharding, simhash,
-    spans, warc,
+    conversation_repair, decontaminate, exact_dedup, line_dedup, packing, pii, prefix_trie, quality, secret_scan, sharding,
+    simhash, spans, warc,
 )
 from footfall.llm.common import streamed_digests, table
-from footfall.session import new_scratch_path
+from footfall.session import materialize, new_scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
 SHARDS = 16
@@ -138,9 +138,48 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rebuilt(tokens: DataFrame) -> DataFrame:
+    """Turns of conversations that begin like the one whose id is rounded down to twenties."""
+    ids = tokens.select(F.col("conv_id").alias("_id")).distinct()
+    shown = F.coalesce(F.col("_id").cast("string"), F.lit(""))
+    turn = F.struct("pos", "token", "words")
+    heads = (
+        tokens.where((F.col("pos") < 3) & (F.col("conv_id") % 20 == 0))
+        .groupBy(F.col("conv_id").alias("_base"))
+        .agg(F.array_sort(F.collect_list(turn)).alias("head"))
+    )
+    share = (
+        ids.withColumn("h", (F.crc32(shown.cast("binary")) % 4).cast("int"))
+        .join(heads, F.col("_id") - F.col("_id") % 20 == F.col("_base"), "left")
+        .select("_id", "h", F.slice(F.coalesce("head", F.array().cast("array<struct<pos:bigint,token:binary,words:bigint>>")), F.lit(1), F.col("h")).alias("head"))
+    )
+    shared = share.select(F.col("_id").alias("conv_id"), F.inline("head"))
+    own = (
+        tokens.join(share.select("_id", "h", F.size("head").alias("n")), F.col("conv_id").eqNullSafe(F.col("_id")))
+        .where(F.col("pos") >= F.col("h"))
+        .select("conv_id", (F.col("pos") - F.col("h") + F.col("n")).alias("pos"), "token", "words")
+    )
+    return shared.unionByName(own)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = prefix_trie.prefix_trie(rebuilt(prefix_trie.as_tokens(rows)), rows.select("conv_id"))
+    nodes = materialize(found.nodes, "trie")
+    # Ids are joined by runs first, so that a node where very many conversations end is a few pieces.
+    runs = found.ends.groupBy("end", F.expr("conv_id div 4096").alias("run")).agg(F.array_sort(F.collect_list("conv_id")).alias("ids"))
+    pieces = runs.select("end", "run", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids")).where("ids != ''")
+    hashes = streamed_digests(pieces, ["end"], ["run"], "ids", ",", "ends_sha256").withColumnRenamed("end", "_end")
+    return nodes.join(hashes, F.col("end") == F.col("_end"), "left").select(
+        "conv_id", "depth", F.col("parent").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", "saved_tokens",
+        F.coalesce("ends_sha256", _sha256(F.lit(""))).alias("ends_sha256"),
+    )
+
+
 QUERIES = [
     op1_decontamination, op2_personal_data, op3_simhash, op4_line_dedup, op5_exact_dedup, op6_secrets, op7_sharding,
     op8_warc, op9_packing, op10_quality, op11_conversation_repair,
+    op12_prefix_trie,
 ]
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

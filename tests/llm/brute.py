@@ -224,3 +224,42 @@ def repair(rows, damaged):
         gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
         out[c] = (gaps, *counts, illegal, cost, letters, sha("\n".join(lines)))
     return out
+
+
+def rebuilt(rows):
+    """rows: (conv_id, turn, role, text).  Per conversation its list of (role, text)."""
+    own = defaultdict(list)
+    for c, turn, role, text in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0)):
+        own[c].append((role or "", text or ""))
+    out = {}
+    for c, turns in own.items():
+        h = zlib.crc32(b"" if c is None else str(c).encode()) % 4
+        base = None if c is None else c - c % 20
+        out[c] = own.get(base, [])[:h] + turns[h:] if c is not None else turns[h:]
+    return out
+
+
+def prefix_trie(sequences):
+    """sequences: {id: list of (role, text)}.  The nodes, as the query returns them."""
+    members = defaultdict(list)
+    for c, turns in sequences.items():
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append(c)
+
+    def smallest(ids):
+        return min((i for i in ids if i is not None), default=None)
+
+    total, leaves, children = defaultdict(int), defaultdict(int), defaultdict(int)
+    for node in sorted(members, key=len, reverse=True):
+        words = len(re.findall(r"[^\x20\x09-\x0D]+", node[-1][1])) if node else 0
+        total[node] += (len(members[node]) - 1) * words
+        leaves[node] = leaves[node] or 1
+        if node:
+            for sums, more in ((total, total[node]), (leaves, leaves[node]), (children, 1)):
+                sums[node[:-1]] += more
+    out = []
+    for node, ids in members.items():
+        ends = ",".join(map(str, sorted(c for c in ids if c is not None and len(sequences[c]) == len(node))))
+        parent = smallest(members[node[:-1]]) if node else None
+        out.append((smallest(ids), len(node), parent, len(ids), children[node], leaves[node], total[node], sha(ends)))
+    return out

@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from footfall.llm import audit_dp, conversation_repair
-from footfall.llm.queries import damaged, op11_conversation_repair
+from footfall.llm import audit_dp, conversation_repair, prefix_trie
+from footfall.llm.queries import damaged, op11_conversation_repair, op12_prefix_trie, rebuilt
 from tests.llm import brute
 from tests.llm.conftest import SMALL
 
@@ -106,3 +106,74 @@ def test_repair_query(spark, tmp_path, odd_conversations):
     found = op11_conversation_repair(spark, str(tmp_path)).collect()
     assert {r["conv_id"]: tuple(r[c] for c in REPAIR) for r in found} == wanted and len(found) == len(wanted)
     assert sorted(map(repr, plain(damaged(rows)))) == sorted(map(repr, brute.damage(plain(rows))))
+
+
+TRIE = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+
+
+def in_order(rows):
+    return sorted(map(repr, rows))
+
+
+def trie_of(rows, block=prefix_trie.BLOCK):
+    """The nodes and their ends, read back as the brute force gives them."""
+    found = prefix_trie.prefix_trie(prefix_trie.as_tokens(rows), rows.select("conv_id"), block=block)
+    ends = {}
+    for r in found.ends.collect():
+        ends.setdefault(bytes(r["end"]), []).append(r["conv_id"])
+    out = []
+    for r in found.nodes.collect():
+        ids = sorted(i for i in ends.get(r["end"] and bytes(r["end"]), []) if i is not None)
+        out.append((r["conv_id"], r["depth"], r["parent"], r["n_convs"], r["n_children"], r["n_leaves"], r["saved_tokens"], brute.sha(",".join(map(str, ids)))))
+    return out
+
+
+def random_conversations(spark, seed):
+    draw = random.Random(seed)
+    rows = []
+    for c in range(90):
+        for turn in range(draw.choice([1, 1, 2, 3, 5, 7, 11])):
+            rows.append((c, turn, "user", draw.choice(["a", "a", "a", "b b", "c c c"])))
+    return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+
+
+@pytest.mark.parametrize("seed, block, parts", [(1, 16_384, 8), (2, 1, 3), (3, 2, 8), (4, 3, 1), (5, 16_384, 40)])
+def test_trie(spark, seed, block, parts):
+    rows = random_conversations(spark, seed)
+    sequences = {}
+    for c, _, role, text in sorted(plain(rows)):
+        sequences.setdefault(c, []).append((role, text))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = trie_of(rows, block)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert in_order(found) == in_order(brute.prefix_trie(sequences))
+
+
+@pytest.mark.parametrize("block", [2, 16_384])
+def test_trie_of_odd_conversations(odd_conversations, block):
+    rows = odd_conversations.where("conv_id is null or conv_id != 7")
+    sequences = {}
+    for c, _, role, text in sorted(plain(rows), key=lambda r: (r[1] is not None, r[1] or 0)):
+        sequences.setdefault(c, []).append((role or "", text or ""))
+    assert in_order(trie_of(rows, block)) == in_order(brute.prefix_trie(sequences))
+    assert trie_of(rows.limit(0)) == []
+    # A tie in turn has one order, whatever the rows came in.
+    tied = odd_conversations.where("conv_id = 7")
+    assert in_order(trie_of(tied)) == in_order(trie_of(tied.repartition(5)))
+
+
+def test_trie_query(spark, tmp_path, odd_conversations):
+    small = spark.read.parquet(f"{SMALL}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    rows = small.unionByName(odd_conversations.where("conv_id is null or conv_id != 7").withColumn("conv_id", F.col("conv_id") + 1000).select(small.columns))
+    rows.write.parquet(f"{tmp_path}/conversations.parquet")
+    sequences = brute.rebuilt(plain(rows))
+    assert any(not s for s in sequences.values())
+    tokens = rebuilt(prefix_trie.as_tokens(rows)).groupBy("conv_id").count()
+    assert {r["conv_id"]: r["count"] for r in tokens.collect()} == {c: len(s) for c, s in sequences.items() if s}
+    found = op12_prefix_trie(spark, str(tmp_path))
+    assert in_order(tuple(r[c] for c in TRIE) for r in found.collect()) == in_order(brute.prefix_trie(sequences))
