@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from footfall.llm import (
     conversation_repair, decontaminate, exact_dedup, line_dedup, packing, pii, prefix_trie, quality, secret_scan, sharding,
-    simhash, spans, warc,
+    simhash, spans, url_filter, warc,
 )
 from footfall.llm.common import streamed_digests, table
 from footfall.session import materialize, new_scratch_path
@@ -176,10 +176,32 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+URL_RULES = [
+    url_filter.Rule("org", "/", "allow"), url_filter.Rule("example.org", "/es/", "block"),
+    url_filter.Rule("example.org", "/en/1", "block"), url_filter.Rule("com", "/fr/", "allow"), url_filter.Rule("com", "/de/", "block"),
+]
+
+
+def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """``url, bad`` for the pages that show a labelled document: the number that ends the path
+    names it, and a document of low quality or with toxic text is bad."""
+    path = url_filter.host_and_path(F.col("url"))[1]
+    number = F.regexp_extract(path, r"/([0-9]+)(?:\.html)?/?$", 1).try_cast("bigint")
+    shown = pages.select("url", number.alias("_doc"))
+    bad = F.greatest(F.when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 0), F.when(F.col("toxic") == 1, 1).when(F.col("toxic") == 0, 0))
+    return shown.join(labels.select(F.col("doc_id").alias("_id"), bad.alias("bad")), F.col("_doc") == F.col("_id")).select("url", "bad")
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    outcomes = page_outcomes(pages, table(spark, sf_dir, "labels"))
+    return url_filter.judge(pages, outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = [
     op1_decontamination, op2_personal_data, op3_simhash, op4_line_dedup, op5_exact_dedup, op6_secrets, op7_sharding,
     op8_warc, op9_packing, op10_quality, op11_conversation_repair,
-    op12_prefix_trie,
+    op12_prefix_trie, op13_url_filter,
 ]
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -238,5 +260,45 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
 FROM p
+""",
+    "op13_url_filter": rf"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') ELSE '' END AS rest
+  FROM pages),
+p AS (
+  SELECT page_id, {_LOWER.format("host")} AS host, substr(rest, length(host) + 1) AS path
+  FROM (SELECT page_id, coalesce(rest, '') AS rest, regexp_extract(coalesce(rest, ''), '^[^/]*') AS host FROM cut)),
+rules(h, prefix, verdict) AS (VALUES
+  ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+ruled AS (
+  SELECT page_id, arg_max(h || prefix, length(h || prefix)) AS rule, arg_max(verdict, length(h || prefix)) AS verdict
+  FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, prefix) GROUP BY page_id),
+outcomes AS (
+  SELECT host, greatest(CAST(quality = 0 AS INT), CAST(toxic = 1 AS INT)) AS bad
+  FROM p JOIN labels ON try_cast(nullif(regexp_extract(path, '/([0-9]+)(\.html)?/?$', 1), '') AS BIGINT) = doc_id),
+hosts AS (
+  SELECT host, regexp_extract(bare, '[^.]*$') AS suffix, regexp_extract(bare, '([^.]*\.)?[^.]*$') AS domain,
+    count(bad) AS n, coalesce(sum(bad), 0) AS bad
+  FROM (SELECT DISTINCT host, regexp_extract(host, '^[^:]*') AS bare FROM p) LEFT JOIN outcomes USING (host) GROUP BY ALL),
+domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
+suffix_prior AS (SELECT *, (SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0.5) FROM suffixes) AS prior FROM suffixes),
+suffix_strength AS (
+  SELECT least(greatest(coalesce(CASE WHEN spread - plain <= 0 THEN 1e4 ELSE more / (spread - plain) - 1 END, 1e4), 1.0), 1e4) AS s
+  FROM (SELECT sum(n * (bad / n - prior) ^ 2) AS spread, sum(prior * (1 - prior)) AS plain, sum(prior * (1 - prior) * (n - 1)) AS more FROM suffix_prior WHERE n > 0)),
+domain_prior AS (
+  SELECT d.*, (x.bad + s * x.prior) / (x.n + s) AS prior FROM domains d JOIN suffix_prior x USING (suffix), suffix_strength),
+domain_strength AS (
+  SELECT least(greatest(coalesce(CASE WHEN spread - plain <= 0 THEN 1e4 ELSE more / (spread - plain) - 1 END, 1e4), 1.0), 1e4) AS s
+  FROM (SELECT sum(n * (bad / n - prior) ^ 2) AS spread, sum(prior * (1 - prior)) AS plain, sum(prior * (1 - prior) * (n - 1)) AS more FROM domain_prior WHERE n > 0)),
+host_prior AS (
+  SELECT h.*, (x.bad + s * x.prior) / (x.n + s) AS prior FROM hosts h JOIN domain_prior x USING (domain, suffix), domain_strength),
+host_strength AS (
+  SELECT least(greatest(coalesce(CASE WHEN spread - plain <= 0 THEN 1e4 ELSE more / (spread - plain) - 1 END, 1e4), 1.0), 1e4) AS s
+  FROM (SELECT sum(n * (bad / n - prior) ^ 2) AS spread, sum(prior * (1 - prior)) AS plain, sum(prior * (1 - prior) * (n - 1)) AS more FROM host_prior WHERE n > 0)),
+posterior AS (SELECT host, bad + s * prior AS a, n - bad + s * (1 - prior) AS b FROM host_prior, host_strength)
+SELECT page_id, host, path, rule,
+  coalesce(ruled.verdict, CASE WHEN a / (a + b) - 1.645 * sqrt(a * b / ((a + b) ^ 2 * (a + b + 1))) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN ruled USING (page_id) LEFT JOIN posterior USING (host)
 """,
 }

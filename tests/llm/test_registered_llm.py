@@ -16,7 +16,7 @@ def connection():
 
 
 def test_all_are_registered():
-    assert [n.split("_")[0] for n in NAMES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in NAMES] == [f"op{i}" for i in range(1, 14)]
     assert {*NAMES, "pipeline"} <= set(registered.queries())
     assert set(ORACLE_SQL) <= set(registered.oracle_sql())
 
