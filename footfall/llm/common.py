@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from footfall.session import materialize
 
+# At most so many ids with digests are broadcast, about 50 bytes each.
+BROADCAST_ROWS = 500_000
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -43,6 +46,16 @@ def fresh_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """``df.mapInArrow``, for columns of any name: Spark takes a dot for a field of a struct."""
+    names = df.columns
+
+    def renamed(batches):
+        return run(batch.rename_columns(names) for batch in batches)
+
+    return df.toDF(*[f"_{i}" for i in range(len(names))]).mapInArrow(renamed, schema)
+
+
 def with_arrow_columns(
     df: DataFrame,
     columns: Sequence[T.StructField],
@@ -59,7 +72,7 @@ def with_arrow_columns(
                 [batch.column(c) for c in keep] + list(compute(batch)), names=names
             )
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def text_digest(text: Column) -> Column:
@@ -67,33 +80,48 @@ def text_digest(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
-def first_of_each(rows: DataFrame, group: str) -> DataFrame:
-    """``_id, _digest, _rows`` of the first of each ``group``, by ``_id`` (NULL last), then ``_digest``."""
-    counted = rows.groupBy(group, "_id", "_digest").agg(F.count(F.lit(1)).alias("_rows"))
-    first = F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_digest", "_rows"))
-    return counted.groupBy(group).agg(first.alias("_first")).select("_first._id", "_first._digest", "_first._rows")
-
+def split_groups(rows: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
+    """Which of ``_id, _digest`` go, and which stay but more than once, if one row of each
+    ``group`` is to stay: the first by ``_id`` (NULL last), then by ``_digest``.
 
-def rows_that_stay(docs: DataFrame, stays: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """One row of ``docs`` for each ``_id, _digest`` of ``stays``; columns stay as they are.
-
-    ``_rows`` of ``stays`` is how many rows have that id and text.  Where more than one has,
-    the first of them by its columns stays; they are combined where they are read.
+    Both have ``_id, _digest``.  A pair that is the first of any group stays.
     """
-    stays = materialize(stays, "stays")
+    counted = materialize(rows.groupBy(group, "_id", "_digest").agg(F.count(F.lit(1)).alias("_rows")), "grouped")
+    first = F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_digest"))
+    firsts = counted.groupBy(F.col(group).alias("_of")).agg(first.alias("_first"))
+    marked = counted.join(firsts, F.col(group) == F.col("_of")).withColumn(
+        "_stays", F.col("_id").eqNullSafe(F.col("_first._id")) & (F.col("_digest") == F.col("_first._digest"))
+    )
+    return marked.where(~F.col("_stays")).select("_id", "_digest"), marked.where(F.col("_stays") & (F.col("_rows") > 1)).select("_id", "_digest")
+
 
-    def same(few: DataFrame) -> Column:
-        return docs[doc_id].eqNullSafe(few["_id"]) & (text_digest(docs[text]) == few["_digest"])
+def rows_that_stay(docs: DataFrame, goes: DataFrame, repeated: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``docs`` without the ids and texts that ``goes`` lists, and with one row of each that
+    ``repeated`` lists: the first by its columns.  Columns stay as they are.
 
-    once, repeated = stays.where("_rows = 1"), stays.where("_rows > 1")
-    kept = docs.join(once, same(once), "left_semi")
-    if not repeated.take(1):
+    What goes is the smaller part; it is written and counted, and broadcast if it is at most
+    BROADCAST_ROWS, so that no text moves.  Beyond that both sides are shuffled.
+    """
+    identity, content = F.col(quoted(doc_id)), F.col(quoted(text))
+    goes = materialize(goes.distinct(), "goes")
+    repeated = materialize(repeated.distinct(), "repeated")
+    gone, again = goes.count(), repeated.count()
+
+    def without(frame: DataFrame, few: DataFrame, rows: int) -> DataFrame:
+        few = few.select(F.col("_id").alias(fresh_name(docs, "_gone")), F.col("_digest").alias(fresh_name(docs, "_gone_digest")))
+        same = frame[quoted(doc_id)].eqNullSafe(few[few.columns[0]]) & (text_digest(frame[quoted(text)]) == few[few.columns[1]])
+        return frame.join(F.broadcast(few) if rows <= BROADCAST_ROWS else few, same, "left_anti")
+
+    kept = without(docs, goes, gone) if gone else docs
+    if not again:
         return kept
-    row = F.struct(*[docs[c] for c in docs.columns])
-    # Aliased, as columns of docs may have any name.
-    found = docs.join(repeated, same(repeated)).select(repeated["_id"].alias("i"), repeated["_digest"].alias("d"), row.alias("r"))
+    # Columns of docs may have any name.
+    row = F.struct(*[F.col(quoted(c)) for c in docs.columns])
+    found = kept.select(identity.alias("i"), text_digest(content).alias("d"), row.alias("r")).join(
+        repeated, F.col("i").eqNullSafe(F.col("_id")) & (F.col("d") == F.col("_digest"))
+    )
     one = found.groupBy("i", "d").agg(F.min_by("r", F.to_json("r")).alias("r"))
-    return kept.unionByName(one.select("r.*"))
+    return without(kept, repeated, again).unionByName(one.select("r.*"))
 
 
 def quoted(name: str) -> str:
@@ -153,7 +181,7 @@ def with_group_ranks(df: DataFrame, group: str, order: Sequence[str], rank: str,
             )
 
     schema = T.StructType([*df.schema, T.StructField(part, T.IntegerType()), T.StructField(place, T.LongType())])
-    placed = materialize(df.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(number, schema), label)
+    placed = materialize(map_batches(df.repartitionByRange(*keys).sortWithinPartitions(*keys), number, schema), label)
     earlier = Window.partitionBy("_group").orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         placed.groupBy(F.col(quoted(group)).alias("_group"), F.col(part).alias("_in"))

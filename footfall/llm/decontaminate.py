@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from footfall.llm.common import ascii_lower, fresh_name, let, text_or_empty, with_arrow_columns
+from footfall.llm.common import ascii_lower, fresh_name, let, quoted, text_or_empty, with_arrow_columns
 from footfall.session import materialize
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -267,7 +267,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     found = with_hits(docs, benchmark, hits=hits, **options)
     runs = F.col(f"{hits}.runs")
     if remove == "documents":
-        return found.where(F.size(runs) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+        return found.where(F.size(runs) == 0).select(*[F.col(quoted(c)) for c in docs.columns])
     if remove != "spans":
         raise ValueError("remove is 'documents' or 'spans'")
     cuts = F.concat(
@@ -284,4 +284,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
             "",
         ),
     )
-    return found.withColumn(text, F.when(F.size(runs) > 0, kept).otherwise(F.col(text))).select(*docs.columns)
+    return found.withColumn(text, F.when(F.size(runs) > 0, kept).otherwise(F.col(text))).select(*[F.col(quoted(c)) for c in docs.columns])

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from footfall.llm.common import rows_that_stay, text_or_empty
+from footfall.llm.common import quoted, rows_that_stay, text_or_empty
 from footfall.session import materialize
 
 SALTS = 32
@@ -95,10 +95,12 @@ def exact_duplicates(
 def one_per_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The one row of each class that stays; columns stay as they are.  Of rows that repeat
     the largest id with its text, or have NULL ids only, one stays too."""
-    stays = (
+    marked = materialize(
         exact_duplicates(docs, doc_id, text)
-        .where("kept")
-        .groupBy(F.col(doc_id).alias("_id"), F.col("digest").alias("_digest"))
-        .agg(F.count(F.lit(1)).alias("_rows"))
+        .where("group_size > 1")
+        .groupBy(F.col(quoted(doc_id)).alias("_id"), F.col("digest").alias("_digest"), "kept")
+        .agg(F.count(F.lit(1)).alias("_rows")),
+        "copies",
     )
-    return rows_that_stay(docs, stays, doc_id, text)
+    repeated = marked.where(F.col("kept") & (F.col("_rows") > 1))
+    return rows_that_stay(docs, marked.where(~F.col("kept")).select("_id", "_digest"), repeated.select("_id", "_digest"), doc_id, text)

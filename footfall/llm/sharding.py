@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from footfall.llm.common import text_or_empty, with_group_ranks
+from footfall.llm.common import fresh_name, quoted, text_or_empty, with_group_ranks
 from footfall.session import materialize
 
 _STEP = np.uint64(2862933555777941757)
@@ -70,10 +70,13 @@ def assign_shards(
     return ranked.select(F.col("doc_id").alias(doc_id), "size", "text_crc32", "shard", "slot", *more)
 
 
-def write_shards(docs: DataFrame, path: str, shards: int, doc_id: str = "doc_id") -> None:
-    """Writes ``docs`` with all its columns to ``path``/shard=0, 1, ...
+def write_shards(docs: DataFrame, path: str, shards: int, doc_id: str = "doc_id") -> str:
+    """Writes ``docs`` with all its columns to ``path``/shard=0, 1, ... and returns the name of
+    the new column: ``shard``, or a longer name if ``docs`` has that one.
 
     Tasks write what they hold of each shard, so no shard is ever in one task.
     """
-    key = F.xxhash64(F.col(doc_id).cast("string"))
-    docs.withColumn("shard", jump_shard(key, shards)).write.partitionBy("shard").parquet(path)
+    name = fresh_name(docs, "shard")
+    key = F.xxhash64(F.col(quoted(doc_id)).cast("string"))
+    docs.withColumn(name, jump_shard(key, shards)).write.partitionBy(name).parquet(path)
+    return name

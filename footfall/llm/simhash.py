@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from footfall.llm.common import first_of_each, rows_that_stay, text_digest, with_arrow_columns
+from footfall.llm.common import quoted, rows_that_stay, split_groups, text_digest, with_arrow_columns
 from footfall.session import materialize
 
 SHINGLE_WORDS = 3
@@ -203,10 +203,11 @@ def _with_components(prints: DataFrame, doc_id: str) -> DataFrame:
 
 def one_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component, one with its smallest id; columns stay as they are."""
-    read = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), text_digest(F.col(text)).alias("_digest"))
+    content = F.col(quoted(text))
+    read = docs.select(F.col(quoted(doc_id)).alias("_id"), content.alias("_text"), text_digest(content).alias("_digest"))
     prints = materialize(with_fingerprints(read, "_text", ["_id", "_digest"]), "fingerprints")
-    stays = first_of_each(_with_components(prints, "_id"), "root")
-    return rows_that_stay(docs, stays, doc_id, text)
+    goes, repeated = split_groups(_with_components(prints, "_id"), "root")
+    return rows_that_stay(docs, goes, repeated, doc_id, text)
 
 
 def as_hex(fingerprint_column: str = "fingerprint"):

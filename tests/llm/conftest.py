@@ -19,9 +19,10 @@ def odd_documents(spark):
         (22, "<|endoftext|> naïve ½ cup İstanbul's we'll  double space wide"),
         (23, "1.2.3.4.5.6.7.8 +1+12345678 1-2-3 +12 34.56(78)90-1"), (24, None), (2, ""), (6, "other text, same id"),
     ]
-    rows = [(i, t, "en", "src0", len(t or ""), "x", 1, None) for i, t in texts]
+    rows = [(i, t, "en", "src0", len(t or ""), "x", 1, None, 77, 78, 79, "dot") for i, t in texts]
     columns = (
-        "doc_id long, text string, lang string, source string, n_chars long, component_id string, score int, hits string"
+        "doc_id long, text string, lang string, source string, n_chars long, component_id string, score int, hits string, "
+        "_id int, _part int, shard int, `a.b` string"
     )
     return spark.createDataFrame(rows, columns).repartition(3)
 

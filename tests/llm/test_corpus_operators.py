@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from footfall.llm import packing, quality, sharding, simhash, warc
+from footfall.llm.common import with_group_ranks
 from footfall.llm.config_lp import solve
 from footfall.llm.queries import op7_sharding, op9_packing, op10_quality, vocabulary_file
 from footfall.session import new_scratch_path
@@ -52,11 +53,28 @@ def test_shards_query_and_files(spark, small_documents):
     rows = op7_sharding(spark, SMALL).collect()
     assert len(rows) == small_documents.count() and {r["law"] for r in rows} == {"key"}
     path = new_scratch_path(spark, "shard-files")
-    sharding.write_shards(small_documents, path, 16)
+    assert sharding.write_shards(small_documents, path, 16) == "shard"
     stored = spark.read.parquet(path)
     assert {(r["doc_id"], r["shard"]) for r in stored.collect()} == {(r["doc_id"], r["shard"]) for r in rows}
 
 
+def test_shard_files_keep_a_column_of_that_name(spark, odd_documents):
+    path = new_scratch_path(spark, "shard-files")
+    name = sharding.write_shards(odd_documents, path, 3)
+    stored = spark.read.parquet(path)
+    assert {r["shard"] for r in stored.collect()} == {79} and {r[name] for r in stored.collect()} <= {0, 1, 2}
+
+
+def test_ranks_with_clashing_names(spark, odd_documents):
+    ranked = with_group_ranks(odd_documents, "text", ["doc_id", "a.b"], "own", "ranks")
+    assert ranked.columns == [*odd_documents.columns, "own"]
+    assert sorted(map(repr, ranked.drop("own").collect())) == sorted(map(repr, odd_documents.collect()))
+    found = defaultdict(list)
+    for r in ranked.collect():
+        found[r["text"]].append((r["doc_id"], r["own"]))
+    assert all([rank for _, rank in sorted(rows, key=lambda x: (x[0] is not None, x))] == list(range(len(rows))) for rows in found.values())
+
+
 def pages_of(spark):
     big = "<p>" + "ü" * 80
     rows = [

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from footfall.llm import decontaminate, exact_dedup, line_dedup, pii, secret_scan, simhash, spans
+from footfall.llm import common, decontaminate, exact_dedup, line_dedup, pii, secret_scan, simhash, spans
 from footfall.llm.common import let
 from footfall.llm.queries import QUERIES, op2_personal_data, op6_secrets
 from tests.llm import brute
@@ -263,3 +263,33 @@ def test_let_computes_once(spark):
 def test_hash_is_spark_s(spark):
     row = spark.sql("SELECT xxhash64('ab cd ef') AS h").first()
     assert row["h"] % 2**64 == xxhash.xxh64_intdigest(b"ab cd ef", 42)
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+
+def test_exact_copies_of_one_id_leave_one_row(spark):
+    given = [(1, "a"), (1, "a"), (0, "a"), (None, "b"), (None, "b"), (None, None), (None, ""), (2, "c"), (2, "d")]
+    kept = exact_dedup.one_per_class(frame(spark, given)).collect()
+    assert Counter((r["doc_id"], r["text"] or "") for r in kept) == Counter([(1, "a"), (None, "b"), (None, ""), (2, "c"), (2, "d")])
+
+
+def test_one_row_per_component_with_repeated_and_missing_ids(spark):
+    # 1 is the smallest of one component and must not stay in the other, where 0 is.
+    given = [(1, "a b c d"), (1, "p q r s"), (0, "P q r s"), (1, "a b c d"), (None, "x y z"), (None, "X y z")]
+    kept = simhash.one_per_component(frame(spark, given)).collect()
+    assert Counter((r["doc_id"], r["text"].lower()) for r in kept) == Counter([(0, "p q r s"), (1, "a b c d"), (None, "x y z")])
+
+
+def test_rows_that_stay_are_the_same_without_a_broadcast(spark, docs, monkeypatch):
+    both = []
+    for most in (500_000, 0):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+        both.append([sorted(map(repr, f(docs).collect())) for f in (exact_dedup.one_per_class, simhash.one_per_component)])
+    assert both[0] == both[1]
+
+
+def test_native_stage_uses_no_python(spark, docs):
+    plan = exact_dedup.one_per_class(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
