@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from footfall.llm import decontaminate, exact_dedup, near_copies, packing, quality
-from footfall.llm.common import fresh_name, table
+from footfall.llm import decontaminate, exact_dedup, packing, quality, simhash
+from footfall.llm.common import fresh_name, quoted, table
 from footfall.llm.queries import vocabulary_file
-from footfall.session import materialize
+from footfall.session import new_scratch_path, scratch_scope
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +20,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     score = fresh_name(docs, "score")
     scored = quality.with_scores(docs, model, score=score)
-    return scored.where(F.col(score) >= quality.THRESHOLD).select(*docs.columns)
+    return scored.where(F.col(score) >= quality.THRESHOLD).select(*[F.col(quoted(c)) for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies, linked at a similarity of 0.8 or more, the one with the smallest id stays."""
-    return near_copies.one_per_component(docs)
+    """Of documents whose SimHash fingerprints are linked, the one with the smallest id stays."""
+    return simhash.one_per_component(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The packed pieces of the documents that all stages keep.
+
+    What a stage wrote besides its result, and the result before it, are deleted on the way.
+    """
+    docs, path = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, path = path, new_scratch_path(spark, name.replace(" ", "-"))
+        with scratch_scope(spark) as written:
+            stage(spark, docs, sf_dir).write.parquet(path)
+            written += [before] if before else []
+        docs = spark.read.parquet(path)
     return docs
