@@ -52,11 +52,35 @@ def _unicode_bytes() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def is_plain_byte_level(spec: dict) -> bool:
+    """Whether a tokenizer file is byte-level BPE that the lookup of words reproduces: texts are
+    taken as they are, cut by the usual pattern, and merged in the order of the ids."""
+    model, cut = spec.get("model") or {}, spec.get("pre_tokenizer") or {}
+    if any(spec.get(k) for k in ("normalizer", "truncation", "padding")):
+        return False
+    if cut.get("type") != "ByteLevel" or cut.get("add_prefix_space", True) or not cut.get("use_regex", True):
+        return False
+    odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    if model.get("type") != "BPE" or any(model.get(k) for k in odd):
+        return False
+    added = {t["content"] for t in spec.get("added_tokens", ())}
+    byte_of, ids = _unicode_bytes(), model["vocab"]
+    ordinary = [t for t in ids if t not in added]
+    if any(not t.startswith("<|") for t in added) or any(c not in byte_of for t in ordinary for c in t):
+        return False
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    merged = [ids.get(a + b, -1) for a, b in pairs]
+    singles = {t for t in ordinary if len(t) == 1}
+    in_order = all(a < b for a, b in zip(merged, merged[1:])) and (not merged or merged[0] > max(ids[t] for t in singles))
+    return in_order and len(singles) == 256 and len(merged) + 256 == len(ordinary)
+
+
 class ByteLevelEncoder:
-    """Ids of a byte-level BPE vocabulary whose merges are in the order of the ids.
+    """Ids of a tokenizer file.
 
-    Texts of plain Latin letters are cut into words, and words already met are looked up, as
-    a corpus repeats most of them; all other texts go to the tokenizer as they are.
+    If it is plain byte-level BPE, texts of Latin letters are cut into words, and words
+    already met are looked up, as a corpus repeats most of them.  All other texts, and all
+    texts of any other tokenizer, go to the tokenizer as they are.
     """
 
     def __init__(self, vocabulary: str):
@@ -65,14 +89,17 @@ class ByteLevelEncoder:
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         spec = json.loads(vocabulary)
-        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.known: dict[str, bytes] = {}
+        self.words = None
+        if not is_plain_byte_level(spec):
+            return
+        special = {t["content"] for t in spec.get("added_tokens", ())}
         byte_of = _unicode_bytes()
         ranks = {
             bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special
         }
         # A word is one piece already, so it needs no pattern.
         self.words = tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, bytes] = {}
 
     def _word(self, word: str) -> bytes:
         ids = self.known.get(word)
@@ -84,7 +111,7 @@ class ByteLevelEncoder:
 
     def encode(self, text: str) -> bytes:
         """The ids as unsigned 32-bit numbers, little-endian."""
-        if _PLAIN.search(text):
+        if self.words is None or _PLAIN.search(text):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return np.array(ids, dtype="<u4").tobytes()
         words = _PIECES.findall(text)
@@ -166,13 +193,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (``doc_id, piece, length`` and more) with ``sequence_id`` and ``offset``.
 
     Every sequence is filled from 0 without gaps up to at most ``capacity``.  What goes to
-    the driver is the histogram, at most ``capacity`` rows; what comes back is the plan, a
-    few configurations per round of the program and per length, whatever the corpus.
+    the driver is the histogram, at most ``capacity`` rows; what comes back is the plan, at
+    most a configuration per round of the program and length, whatever the corpus.
     """
     spark = pieces.sparkSession
     pieces = materialize(pieces, "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
-    seats = spark.sparkContext.broadcast(Seats(solve(histogram, capacity)))
+    seats = spark.sparkContext.broadcast(Seats(solve(histogram, capacity).configurations))
     ranked = with_group_ranks(pieces, "length", ["doc_id", "piece"], "_rank", "ranked-pieces")
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:

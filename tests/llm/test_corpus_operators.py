@@ -1,5 +1,6 @@
 """Sharding, the archive, packing, the quality model and the pipeline."""
 
+import json
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,10 +11,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from footfall.llm import packing, quality, sharding, simhash, warc
+from footfall.llm import config_lp, packing, quality, sharding, simhash, warc
 from footfall.llm.common import with_group_ranks
-from footfall.llm.config_lp import solve
-from footfall.llm.queries import op7_sharding, op9_packing, op10_quality, vocabulary_file
+from footfall.llm.queries import VOCABULARY as VOCABULARY_NAME, op7_sharding, op9_packing, op10_quality, vocabulary_file
 from footfall.session import new_scratch_path
 from tests.llm import brute
 from tests.llm.conftest import SMALL
@@ -145,7 +145,7 @@ def test_packing(request, name):
             assert offset == at
             at += length
         assert at <= 1024
-    assert len(sequences) <= 1.01 * brute.best_fit_decreasing([w[3] for w in wanted], 1024) + 1
+    assert len(sequences) <= brute.best_fit_decreasing([w[3] for w in wanted], 1024)
 
 
 def test_packing_of_nothing(small_documents):
@@ -156,24 +156,107 @@ def test_packing_query(spark):
     assert {"sequence_id", "offset"} <= set(op9_packing(spark, SMALL).columns)
 
 
-@pytest.mark.parametrize("lengths", [
-    [1024] * 5, [1] * 3000, [512] * 7, [600, 500, 424, 300, 124] * 9, [341, 342, 343] * 100, list(range(1, 1025)), [700] * 50 + [324] * 49,
-])
-def test_configurations_hold_exactly_the_items(lengths):
-    plan = solve(Counter(lengths), 1024)
+def held_by(configurations):
     held = Counter()
-    for configuration in plan:
+    for configuration in configurations:
         assert configuration.bins > 0
         assert sum(l * n for l, n in configuration.copies.items()) <= 1024
         for length, n in configuration.copies.items():
             held[length] += n * configuration.bins
-    assert held == Counter(lengths)
-    assert sum(c.bins for c in plan) <= 1.01 * brute.best_fit_decreasing(lengths, 1024) + 1
+    return held
+
+
+@pytest.mark.parametrize("lengths", [
+    [1024] * 5, [1] * 3000, [512] * 7, [600, 500, 424, 300, 124] * 9, [341, 342, 343] * 100, list(range(1, 1025)), [700] * 50 + [324] * 49,
+    [513] * 100 + [300] * 200 + [211] * 100, [511] * 300 + [257] * 300 + [256] * 300, [],
+    np.random.default_rng(3).integers(1, 1024, 4000).tolist(), np.random.default_rng(4).choice([97, 130, 342, 343, 500, 520, 350, 700, 810], 3000).tolist(),
+])
+def test_configurations_hold_exactly_the_items(lengths):
+    plan = config_lp.solve(Counter(lengths), 1024)
+    assert held_by(plan.configurations) == Counter(lengths)
+    assert -(-sum(lengths) // 1024) <= plan.bound <= plan.bins <= brute.best_fit_decreasing(lengths, 1024)
+
+
+def test_known_optima():
+    # One of each in every bin, and pairs of the long ones with thirds of the middle ones.
+    assert config_lp.solve({511: 300, 257: 300, 256: 300}, 1024).bins == 300
+    assert config_lp.solve({513: 100, 300: 200, 211: 100}, 1024).bins <= 134
+    assert config_lp.solve(Counter([341, 342, 343] * 100), 1024).bins == 125  # best-fit takes 134
+
+
+def fewest_bins(lengths, capacity):
+    """By trying all."""
+    best = [len(lengths)]
+
+    def go(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(rooms)
+            return
+        for k in range(len(rooms)):
+            if rooms[k] >= lengths[i] and rooms[k] not in rooms[:k]:
+                go(i + 1, [*rooms[:k], rooms[k] - lengths[i], *rooms[k + 1 :]])
+        go(i + 1, [*rooms, capacity - lengths[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_cover_and_bound_enclose_the_program():
+    random = np.random.default_rng(8)
+    for _ in range(60):
+        lengths = sorted(random.integers(3, 20, random.integers(1, 10)).tolist(), reverse=True)
+        cover = config_lp.solve_program(Counter(lengths), 20)
+        fewest = fewest_bins(lengths, 20)
+        assert cover.bound <= cover.value + 1e-9 and cover.bound <= fewest + 1e-9
+        covered = Counter()
+        for copies, amount in cover.amounts.items():
+            assert sum(l * n for l, n in copies) <= 20 and amount > 0
+            for l, n in copies:
+                covered[l] += n * amount
+        assert all(covered[l] >= n - 1e-6 for l, n in Counter(lengths).items())
+        assert abs(sum(cover.amounts.values()) - cover.value) < 1e-6 and cover.value <= 1.05 * cover.bound
+        plan = config_lp.solve(Counter(lengths), 20)
+        assert plan.bound <= fewest <= plan.bins
+
+
+def test_bulk_best_fit_is_best_fit():
+    random = np.random.default_rng(9)
+    for _ in range(200):
+        lengths = random.integers(1, 1025, random.integers(1, 80)).tolist()
+        assert config_lp.best_fit_decreasing(Counter(lengths), 1024).count() == brute.best_fit_decreasing(lengths, 1024)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_are_the_tokenizers(name, odd_documents, small_documents):
+    path = vocabulary_file(name)
+    with open(path, encoding="utf-8") as file:
+        encoder = packing.ByteLevelEncoder(file.read())
+    assert (encoder.words is not None) == (name == VOCABULARY_NAME)
+    tokenizer = Tokenizer.from_file(path)
+    for r in [*odd_documents.collect(), *small_documents.limit(60).collect()]:
+        ids = tokenizer.encode(r["text"] or "", add_special_tokens=False).ids
+        assert encoder.encode(r["text"] or "") == np.array(ids, dtype="<u4").tobytes()
+
+
+def test_only_plain_byte_level_files_are_looked_up():
+    with open(VOCABULARY, encoding="utf-8") as file:
+        spec = json.load(file)
+    assert packing.is_plain_byte_level(spec)
+    model = spec["model"]
+    merges = model["merges"]
+    for change in (
+        {"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {**spec["pre_tokenizer"], "add_prefix_space": True}},
+        {"pre_tokenizer": {"type": "Whitespace"}}, {"model": {**model, "merges": [merges[1], merges[0], *merges[2:]]}},
+        {"model": {**model, "merges": merges[:-1]}}, {"model": {**model, "dropout": 0.1}}, {"added_tokens": [{"content": "end", "id": 1}]},
+    ):
+        assert not packing.is_plain_byte_level({**spec, **change})
 
 
 def test_too_long_for_a_bin():
     with pytest.raises(ValueError):
-        solve({2000: 1}, 1024)
+        config_lp.solve({2000: 1}, 1024)
 
 
 def test_passages_do_not_depend_on_what_is_encoded_together():
