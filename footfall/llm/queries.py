@@ -47,6 +47,8 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[spans.count_of(F.col("strict"), k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)],
         _sha256(spans.written(F.col("strict"), pii.KINDS)).alias("base_sha256"),
         spans.written(F.col("redact"), pii.KINDS).alias("spans"),
+        F.size("redact").cast("long").alias("n_spans"),
+        (F.size("redact") > 0).alias("has_personal_data"),
     )
 
 
