@@ -6,8 +6,9 @@ experiments or slices are judged in the same plan.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -28,6 +29,7 @@ from footfall.fixed_values import (
 from footfall.functions.maths import half_even, half_up, ratio
 from footfall.functions.stats import (
     chi_square_p,
+    chi_square_tail,
     effect_size,
     normal_quantile,
     sample_size,
@@ -136,6 +138,74 @@ def _with_srm(arms: DataFrame, expected_split: tuple[float, float], alpha: float
     )
 
 
+def assign_arms(
+    users: DataFrame, split: Mapping[str, float], bucket: Column, buckets: int = 100, user: str = "id", keys: Sequence[str] = ()
+) -> DataFrame:
+    """``user_id, experiment_group``: the arm whose share of ``buckets`` holds the user's ``bucket``.
+
+    ``split`` is the designed share of each arm, in the order in which buckets are dealt out; a
+    user beyond all shares is in no arm and left out.
+    """
+    edges, arm = 0.0, F.lit(None).cast("string")
+    for name, share in split.items():
+        low, edges = edges, edges + share
+        arm = F.when(bucket.between(round(low * buckets), round(edges * buckets) - 1), name).otherwise(arm)
+    found = users.select(F.col(user).alias("user_id"), arm.alias("experiment_group"), *keys)
+    return found.where(F.col("experiment_group").isNotNull())
+
+
+def srm_check_arms(
+    summary: DataFrame,
+    split: Mapping[str, float],
+    keys: Sequence[str] = (),
+    alpha: float = ALPHA,
+) -> DataFrame:
+    """``[keys,] arms, total_users, chi2_stat, degrees, p_value, srm_detected, verdict``.
+
+    ``summary`` has a row per experiment and arm, as ``experiment_summary`` returns it, and
+    ``split`` the designed share of every arm.  An arm of the design without users counts zero;
+    users of an arm that the design does not have break it.  An experiment without users has
+    no p.
+    """
+    whole = sum(split.values())
+    if len(split) < 2 or min(split.values()) <= 0:
+        raise ValueError("a split has two arms or more, each with a share")
+
+    def users_of(arm: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("experiment_group") == arm, F.col("total_users"))), F.lit(0))
+
+    names = {arm: f"_n{i}" for i, arm in enumerate(split)}
+    counted = summary.groupBy(*keys).agg(
+        F.coalesce(F.sum("total_users"), F.lit(0)).alias("total_users"), *[users_of(a).alias(n) for a, n in names.items()]
+    )
+    total = F.col("total_users")
+    planned = {n: total * (split[a] / whole) for a, n in names.items()}
+    parts = [ratio((F.col(n) - e) * (F.col(n) - e), e) for n, e in planned.items()]
+    outside = total - reduce(lambda a, b: a + b, [F.col(n) for n in names.values()])
+    statistic = F.when(outside > 0, F.lit(float("inf"))).otherwise(reduce(lambda a, b: a + b, parts))
+    degrees = F.lit(len(split) - 1)
+    return (
+        counted.withColumn("_chi2", statistic)
+        .withColumn("_p", chi_square_tail(F.col("_chi2"), degrees))
+        .withColumn("_srm", F.coalesce(F.col("_p") < alpha, F.lit(False)))
+        .select(
+            *keys,
+            F.lit(len(split)).alias("arms"),
+            "total_users",
+            half_even(F.col("_chi2"), 4).alias("chi2_stat"),
+            degrees.alias("degrees"),
+            half_even(F.col("_p"), 6).alias("p_value"),
+            F.col("_srm").alias("srm_detected"),
+            F.when(F.col("_srm"), SRM_BROKEN).otherwise(SRM_PASS).alias("verdict"),
+        )
+    )
+
+
+def bonferroni(rows: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """Adds ``alpha`` divided by the number of rows, one per experiment or slice."""
+    return rows.withColumn("alpha", alpha / rows.agg(F.count(F.lit(1))).scalar())
+
+
 def proportion_ztest(arms: DataFrame, keys: Sequence[str] = (), alpha: float = ALPHA) -> DataFrame:
     """Two-sample z-test of conversion rates, one row per experiment.
 
@@ -183,23 +253,27 @@ def power_table(
     mdes: Sequence[float],
     keys: Sequence[str] = (),
     baseline: str = "baseline_rate",
-    alpha: float = ALPHA,
-    power: float = POWER,
+    alpha: float | str = ALPHA,
+    power: float | str = POWER,
 ) -> DataFrame:
     """Users needed per arm for each baseline and minimum detectable effect.
 
-    ``baselines`` are measured rates, one row per experiment.  An effect that would push
+    ``baselines`` are measured rates, one row per experiment.  ``alpha`` and ``power`` are
+    numbers or the names of columns of ``baselines``.  An effect that would push
     the rate outside [0, 1], or no effect at all, has no sample size: NULL.
     """
+    level, strength = (F.col(x) if isinstance(x, str) else F.lit(float(x)) for x in (alpha, power))
     return (
         baselines.select(
             *keys,
+            level.cast("double").alias("_alpha"),
+            strength.cast("double").alias("_power"),
             F.col(baseline).cast("double").alias("baseline_rate"),
             F.explode(F.array(*[F.lit(float(m)) for m in mdes])).alias("mde"),
         )
         .withColumn("treatment_rate", F.col("baseline_rate") + F.col("mde"))
         .withColumn("_h", effect_size(F.col("baseline_rate"), F.col("treatment_rate")))
-        .withColumn("n_per_group", half_even(sample_size(F.col("_h"), alpha, power), 0).cast("long"))
+        .withColumn("n_per_group", half_even(sample_size(F.col("_h"), F.col("_alpha") if isinstance(alpha, str) else alpha, F.col("_power") if isinstance(power, str) else power), 0).cast("long"))
         .select(
             *keys,
             "baseline_rate",
@@ -208,8 +282,8 @@ def power_table(
             half_even(F.col("_h"), 4).alias("effect_size_h"),
             "n_per_group",
             (F.col("n_per_group") * 2).alias("n_total"),
-            F.lit(float(alpha)).alias("alpha"),
-            F.lit(float(power)).alias("power"),
+            F.col("_alpha").alias("alpha"),
+            F.col("_power").alias("power"),
         )
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from footfall.functions.maths import half_up, percent
 
@@ -64,6 +64,45 @@ def event_type_stats(
     )
 
 
+# Of an estimate of distinct values, relative; about 1.04 / sqrt(2^12) for sketches of 2^12 entries.
+SKETCH_BITS = 12
+SKETCH_ERROR = 0.01625
+
+
+def daily_sketches(
+    events: DataFrame,
+    event_type: str = "event_type",
+    session: str = "session_id",
+    user: str = "user_id",
+    ts: str = "created_at",
+) -> DataFrame:
+    """``day, event_type, events, sessions, users``: a day's counts as sketches that can be merged.
+
+    Kept as a table, further days are further rows: what was counted is never read again.
+    """
+    def sketch(column: str, name: str) -> Column:
+        return F.hll_sketch_agg(F.col(column).cast("string"), F.lit(SKETCH_BITS)).alias(name)
+
+    return events.groupBy(F.to_date(ts).alias("day"), F.col(event_type).alias("event_type")).agg(
+        F.count(F.lit(1)).alias("events"), sketch(session, "sessions"), sketch(user, "users")
+    )
+
+
+def merged_stats(sketches: DataFrame) -> DataFrame:
+    """``event_type, total_events, sessions_estimate, users_estimate`` over the days given.
+
+    Estimates of distinct sessions and users are off by SKETCH_ERROR (one standard deviation).
+    """
+    def estimate(sketch: str) -> Column:
+        return F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(sketch)), F.lit(0))
+
+    return sketches.groupBy("event_type").agg(
+        F.sum("events").alias("total_events"),
+        estimate("sessions").alias("sessions_estimate"),
+        estimate("users").alias("users_estimate"),
+    )
+
+
 def user_type_share(events: DataFrame, user: str = "user_id") -> DataFrame:
     """``user_type, event_count, pct_of_total`` for anonymous and authenticated events."""
     overall = Window.partitionBy()  # over the aggregated rows: two

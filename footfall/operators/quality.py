@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from datetime import timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 from footfall.fixed_values import FUNNEL_STAGES, SESSION_GAP
 from footfall.functions.dates import in_micros, order_key
@@ -58,6 +58,41 @@ def _report_all(rows: DataFrame, counts: Mapping[str, Column]) -> DataFrame:
     return found.select(F.inline(checks)).withColumn("passed", F.col("violations") == 0)
 
 
+def observed(rows: DataFrame, bad: Mapping[str, Column]) -> tuple[DataFrame, Observation]:
+    """``rows``, and what a pass over them will tell: how many are ``bad``, by check.
+
+    The counts are taken along by whatever job first computes the rows, such as the one that
+    writes them; nothing is read for them.
+    """
+    found = Observation()
+    counts = [F.count_if(condition).alias(name) for name, condition in bad.items()]
+    return rows.observe(found, *counts), found
+
+
+def observed_report(spark: SparkSession, observations: Sequence[Observation]) -> DataFrame:
+    """A row per observed check; waits for the jobs that they are taken along with."""
+    rows = [(name, int(count), count == 0) for o in observations for name, count in o.get.items()]
+    return spark.createDataFrame(rows, "check string, violations long, passed boolean")
+
+
+def visit_rules(gap: timedelta = SESSION_GAP) -> dict[str, Column]:
+    """What is wrong with a single event of ``sessionize``: a user's first event that is not
+    number 1 or not flagged, a longer gap not flagged, a shorter gap flagged."""
+    limit = in_micros(gap) / 60_000_000
+    minutes, flag = F.col("mins_since_last_event"), F.col("is_new_session")
+    return {
+        "first event opens session 1": minutes.isNull() & ((F.col("session_sequence") != 1) | (flag != 1)),
+        "long gap opens a session": (minutes > limit) & (flag != 1),
+        "short gap stays in session": (minutes <= limit) & (flag != 0),
+    }
+
+
+def funnel_rules(stages: Sequence[str] = FUNNEL_STAGES) -> dict[str, Column]:
+    """What is wrong with a single session of ``session_funnel``: it reaches no stage."""
+    hits = reduce(lambda total, stage: total + F.col(reached(stage)), stages, F.lit(0))
+    return {"session reaches a stage": hits == 0}
+
+
 def visits_by_user(
     sessionized: DataFrame, user: str = "user_id", ts: str = "created_at", tie: str = "id",
     gap: timedelta = SESSION_GAP,

@@ -5,16 +5,13 @@ from __future__ import annotations
 import math
 import warnings
 from collections.abc import Iterator, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from footfall.fixed_values import (
     LABEL_AT_RISK,
@@ -32,13 +29,19 @@ from footfall.fixed_values import (
 from footfall.functions.maths import half_even, percent
 from footfall.functions.money import exact_sum
 from footfall.operators.ranking import exact_quantiles
+from footfall.session import materialize
 
 MAX_ITERATIONS = 300
 # Squared movement of all centres together, relative to the mean variance of the features.
 TOLERANCE = 1e-4
-PARALLEL_FITS = 8
-# The sampled silhouette holds its sample in every task, and its cost is quadratic.
-LARGEST_SAMPLE = 20_000
+# Rounds of drawing a start's candidates; costs that are near the best; rows of which distances
+# are held at a time.
+ROUNDS = 3
+CLOSE = 0.02
+SLAB = 2048
+# Rows that stand for a segment in the Euclidean silhouette, in so many groups.
+SILHOUETTE_PARTNERS = 256
+REPLICATES = 8
 BROADCAST_SEGMENTS = 10_000
 
 
@@ -80,72 +83,212 @@ def robust_scale(
     )
 
 
-def _vectors(rows: DataFrame, features: Sequence[str], id_column: str = "user_id") -> DataFrame:
-    """Rows with ``_features``; a missing feature is an error, as there is no distance to it.
+def _points(rows: DataFrame, features: Sequence[str], id_column: str) -> DataFrame:
+    """``_h`` and the scaled features as ``_0, _1, ...``.  ``_h`` is a hash of the id: draws
+    depend on it, not on where a row lies."""
+    return rows.select(
+        F.xxhash64(id_column).alias("_h"), *[F.col(scaled(f)).cast("double").alias(f"_{i}") for i, f in enumerate(features)]
+    )
 
-    Rows are placed and sorted by id: the starts of a fit are drawn partition by partition, so
-    only then does a fit repeat whatever the rows came in.
-    """
-    columns = [scaled(f) for f in features]
-    missing = rows.where(reduce(lambda a, b: a | b, [F.col(c).isNull() | F.isnan(c) for c in columns]))
-    if missing.take(1):
-        raise ValueError(f"rows with a missing feature cannot be clustered: {', '.join(features)}")
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.repartition(parts, id_column).sortWithinPartitions(id_column)
-    return VectorAssembler(inputCols=columns, outputCol="_features").transform(placed)
 
+@dataclass(frozen=True)
+class Segmentation:
+    """Centres of one K-Means model, its cost over all rows, and how many iterations it took."""
 
-@contextmanager
-def _kept(rows: DataFrame) -> Iterator[DataFrame]:
-    """Iterative fits read the vectors dozens of times; keep them while fitting."""
-    kept = rows.persist()
-    try:
-        yield kept
-    finally:
-        kept.unpersist()
+    centers: np.ndarray
+    cost: float
+    iterations: int
+    features: tuple[str, ...]
+
+    @property
+    def k(self) -> int:
+        return len(self.centers)
+
+    def nearest(self) -> Column:
+        """INT: the number of the nearest centre, of equally near ones the first."""
+        distances = F.array(*[_distance(self.features, c) for c in self.centers.tolist()])
+        return (F.array_position(distances, F.array_min(distances)) - 1).cast("int")
+
+
+def _distance(features: Sequence[str], centre: Sequence[float]) -> Column:
+    parts = [(F.col(scaled(f)) - x) * (F.col(scaled(f)) - x) for f, x in zip(features, centre)]
+    return reduce(lambda a, b: a + b, parts)
+
+
+def _distances(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Squared distances, points by centres, summed in the order of the columns."""
+    out = np.zeros((len(points), len(centers)))
+    for x, c in zip(points.T, centers.T):
+        out += (x[:, None] - c[None, :]) ** 2
+    return out
+
+
+def _batches(batches: Iterator[pa.RecordBatch], features: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes and points of Arrow batches, in pieces of at most SLAB rows."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, SLAB):
+            part = batch.slice(first, SLAB)
+            columns = [part.column(f"_{i}").to_numpy(zero_copy_only=False) for i in range(features)]
+            yield part.column("_h").to_numpy(zero_copy_only=False).view(np.uint64), np.stack(columns, axis=1)
+
+
+def _uniform(hashes: np.ndarray, start: int, turn: int) -> np.ndarray:
+    """Numbers in (0, 1) drawn from the rows' hashes, anew for every start and turn."""
+    mixed = hashes ^ np.uint64(((start * 1_000_003 + turn) * 0x9E3779B97F4A7C15) % 2**64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+    return ((mixed >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53
+
+
+def _draw(points: DataFrame, chosen: list[np.ndarray], turn: int, most: int, features: int) -> list[np.ndarray]:
+    """For every start up to ``most`` further rows, drawn by their squared distance to those
+    ``chosen``: the ``most`` smallest of exponential keys, which needs no total first.
+
+    Tasks send their own smallest keys only.
+    """
+
+    def smallest(batches):
+        best: list[list[tuple]] = [[] for _ in chosen]
+        for hashes, rows in _batches(batches, features):
+            for start, centers in enumerate(chosen):
+                far = _distances(rows, centers).min(axis=1) if len(centers) else np.ones(len(rows))
+                with np.errstate(divide="ignore"):
+                    keys = -np.log(_uniform(hashes, start, turn)) / far
+                for i in np.argsort(keys, kind="stable")[:most]:
+                    if np.isfinite(keys[i]):
+                        best[start].append((float(keys[i]), *rows[i].tolist()))
+                best[start] = sorted(best[start])[:most]
+        rows = [(start, *row) for start, found in enumerate(best) for row in found]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
+
+    names = ["start", "key", *[f"_{i}" for i in range(features)]]
+    schema = "start long, key double, " + ", ".join(f"_{i} double" for i in range(features))
+    first = Window.partitionBy("start").orderBy("key", *names[2:])
+    found = points.mapInArrow(smallest, schema).withColumn("n", F.row_number().over(first)).where(F.col("n") <= most).collect()
+    picked = []
+    for start, centers in enumerate(chosen):
+        rows = sorted((r["n"], [r[c] for c in names[2:]]) for r in found if r["start"] == start)
+        picked.append(np.concatenate([centers, np.array([x for _, x in rows]).reshape(-1, features)]))
+    return picked
+
+
+def _sums(points: DataFrame, models: list[np.ndarray], features: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """Per model the rows nearest to each centre, their sums, and the cost: one job for all."""
+    sizes = [len(m) for m in models]
+    first = np.concatenate([[0], np.cumsum(sizes)])
+
+    def add(batches):
+        total = np.zeros((int(first[-1]), features + 2))
+        for _, rows in _batches(batches, features):
+            wide = np.concatenate([rows, np.ones((len(rows), 1))], axis=1)
+            for model, at in zip(models, first):
+                distances = _distances(rows, model)
+                own = distances.argmin(axis=1)
+                np.add.at(total[:, : features + 1], at + own, wide)
+                total[:, features + 1] += np.bincount(at + own, weights=distances[np.arange(len(rows)), own], minlength=len(total))
+        used = np.flatnonzero(total[:, features])
+        yield pa.RecordBatch.from_arrays([pa.array(used), *[pa.array(c) for c in total[used].T]], names=names)
+
+    names = ["centre", *[f"s{i}" for i in range(features)], "n", "cost"]
+    schema = "centre long, " + ", ".join(f"{n} double" for n in names[1:])
+    # As many rows come back as there are centres.
+    found = points.mapInArrow(add, schema).groupBy("centre").agg(*[F.sum(n).alias(n) for n in names[1:]]).collect()
+    total = np.zeros((int(first[-1]), features + 2))
+    for r in found:
+        total[r["centre"]] = [r[n] for n in names[1:]]
+    return [(t[:, features], t[:, :features], float(t[:, features + 1].sum())) for t in (total[a:b] for a, b in zip(first, first[1:]))]
+
+
+def _seeded(candidates: np.ndarray, weights: np.ndarray, k: int, random: np.random.Generator) -> np.ndarray:
+    """``k`` of a start's weighted candidates, spread out, and moved among the candidates."""
+    keep = weights > 0
+    candidates, weights = candidates[keep], weights[keep]
+    centers = candidates[[int(random.choice(len(candidates), p=weights / weights.sum()))]]
+    while len(centers) < k:
+        mass = weights * _distances(candidates, centers).min(axis=1)
+        if not mass.sum():
+            break  # fewer distinct rows than centres
+        tries = candidates[random.choice(len(candidates), size=4, p=mass / mass.sum())]
+        left = [float((weights * _distances(candidates, np.concatenate([centers, t[None]])).min(axis=1)).sum()) for t in tries]
+        centers = np.concatenate([centers, tries[int(np.argmin(left))][None]])
+    for _ in range(20):
+        own = _distances(candidates, centers).argmin(axis=1)
+        moved = centers.copy()
+        for c in range(len(centers)):
+            if weights[own == c].sum():
+                moved[c] = np.average(candidates[own == c], axis=0, weights=weights[own == c])
+        if np.array_equal(moved, centers):
+            break
+        centers = moved
+    return centers
 
 
 def best_models(
-    vectors: DataFrame,
+    points: DataFrame,
     ks: Sequence[int],
     seed: int,
     restarts: int,
-    parallelism: int = PARALLEL_FITS,
+    features: Sequence[str] = RFM_FEATURES,
     max_iterations: int = MAX_ITERATIONS,
     tolerance: float = TOLERANCE,
-) -> dict[int, KMeansModel]:
+) -> dict[int, Segmentation]:
     """For each k the model of lowest cost among ``restarts`` starts.
 
-    Each fit is a chain of small jobs, so several run side by side to keep executors busy.
-    A best fit that stopped at ``max_iterations`` is warned about.
+    All models of all k and starts advance together: an iteration is one pass over the rows
+    whose tasks return a sum per centre, whatever the number of starts.  Every start draws its
+    candidates by distance, ROUNDS times, then weighs them, and each k begins from these.  A
+    model is done when its centres' squared movement is below ``tolerance`` of the mean
+    variance; those of a k that cost at most CLOSE more than its best then go on until nothing
+    moves.  One that stops at
+    ``max_iterations`` is warned about.
     """
-    spread = vectors.select(Summarizer.variance(F.col("_features")).alias("v")).first()["v"]
-    mean_variance = float(np.mean(spread.toArray()))
-
-    def fit(task: tuple[int, int]) -> KMeansModel:
-        k, start = task
-        means = KMeans(
-            k=k,
-            seed=seed + start,
-            maxIter=max_iterations,
-            # Spark stops when no centre moves further than this.
-            tol=math.sqrt(tolerance * mean_variance / k),
-            featuresCol="_features",
-            predictionCol="segment",
-        )
-        return means.fit(vectors)
-
-    tasks = [(k, start) for k in ks for start in range(restarts)]
-    with ThreadPoolExecutor(parallelism) as pool:
-        models = list(pool.map(fit, tasks))
-    best: dict[int, KMeansModel] = {}
-    for (k, _), model in zip(tasks, models):
-        if k not in best or model.summary.trainingCost < best[k].summary.trainingCost:
-            best[k] = model
-    for k, model in best.items():
-        if model.summary.numIter >= max_iterations:
+    size = len(features)
+    chosen = _draw(points, [np.zeros((0, size)) for _ in range(restarts)], seed, 1, size)
+    if not chosen or not len(chosen[0]):
+        raise ValueError("there are no rows to cluster")
+    for turn in range(1, ROUNDS + 1):
+        chosen = _draw(points, chosen, seed + turn, 2 * max(ks), size)
+    weighed = _sums(points, chosen, size)
+    random = np.random.default_rng(seed)
+    models = {
+        (k, start): _seeded(chosen[start], weighed[start][0], k, random) for k in ks for start in range(restarts)
+    }
+    total, sums, _ = _sums(points, [np.zeros((1, size))], size)[0]
+    spread = _sums(points, [sums / total[:, None]], size)[0][2]
+    limit = tolerance * spread / max(float(total[0]) - 1, 1.0) / size
+
+    costs, steps = _advance(points, models, limit, max_iterations, size)
+    least = {k: min(costs[k, s] for s in range(restarts)) for k in ks}
+    final = {(k, s): m for (k, s), m in models.items() if costs[k, s] <= (1 + CLOSE) * least[k]}
+    last, more = _advance(points, final, 0.0, max_iterations, size)
+    out = {}
+    for k in ks:
+        s = min((last[name], name[1]) for name in final if name[0] == k)[1]
+        if more[k, s] >= max_iterations:
             warnings.warn(f"{k} segments: no convergence in {max_iterations} iterations", stacklevel=2)
-    return best
+        out[k] = Segmentation(final[k, s], last[k, s], steps[k, s] + more[k, s], tuple(features))
+    return out
+
+
+def _advance(points: DataFrame, models: dict, limit: float, most: int, features: int) -> tuple[dict, dict]:
+    """Moves all ``models`` (changed in place) until each moves by ``limit`` at most; their
+    costs and iterations."""
+    live, costs, steps = set(models), {}, dict.fromkeys(models, 0)
+    for number in range(1, most + 1):
+        names = sorted(live)
+        if not names:
+            break
+        for name, (n, sums, cost) in zip(names, _sums(points, [models[m] for m in names], features)):
+            # A centre without rows stays where it is.
+            moved = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], models[name])
+            shift = float(((moved - models[name]) ** 2).sum())
+            costs[name], steps[name] = cost, number
+            if shift <= limit:
+                live.discard(name)
+            if shift > 0:
+                models[name] = moved
+    return costs, steps
 
 
 def fit_segments(
@@ -154,12 +297,29 @@ def fit_segments(
     features: Sequence[str] = RFM_FEATURES,
     seed: int = SEGMENT_SEED,
     restarts: int = SEGMENT_RESTARTS,
-) -> tuple[DataFrame, KMeansModel]:
+    id_column: str = "user_id",
+) -> tuple[DataFrame, Segmentation]:
     """Rows with ``segment`` (0 to k-1) and the model, the best of ``restarts`` K-Means."""
-    vectors = _vectors(rows, features)
-    with _kept(vectors.select("_features")) as kept:
-        model = best_models(kept, [k], seed, restarts)[k]
-    return model.transform(vectors).drop("_features"), model
+    with _kept(_points(rows, features, id_column), features) as points:
+        model = best_models(points, [k], seed, restarts, features)[k]
+    return rows.withColumn("segment", model.nearest()), model
+
+
+@contextmanager
+def _kept(rows: DataFrame, features: Sequence[str]) -> Iterator[DataFrame]:
+    """Iterations read the points dozens of times: a narrow copy of them is written, and its
+    blocks are kept while fitting.  A lost executor costs a re-read.
+
+    A missing feature is an error, as there is no distance to it.
+    """
+    kept = materialize(rows, "points").persist()
+    try:
+        missing = reduce(lambda a, b: a | b, [F.col(f"_{i}").isNull() | F.isnan(f"_{i}") for i in range(len(features))])
+        if kept.where(missing).take(1):
+            raise ValueError(f"rows with a missing feature cannot be clustered: {', '.join(features)}")
+        yield kept
+    finally:
+        kept.unpersist()
 
 
 def k_sweep(
@@ -168,47 +328,157 @@ def k_sweep(
     features: Sequence[str] = RFM_FEATURES,
     seed: int = SEGMENT_SEED,
     restarts: int = SEGMENT_RESTARTS,
-    sample_size: int = SEGMENT_SAMPLE,
+    partners: int = SILHOUETTE_PARTNERS,
     id_column: str = "user_id",
 ) -> DataFrame:
-    """``k, inertia, silhouette_squared, silhouette_score`` for each k.
+    """``k, inertia, silhouette_squared, silhouette_score, silhouette_error`` for each k.
 
-    Inertia and the silhouette of squared distances are over all rows.  The Euclidean
-    silhouette has a quadratic cost, so it is defined on a sample of ``sample_size`` rows.
+    All are over all rows.  The silhouette of squared distances is exact; the Euclidean one is
+    exact for segments of up to ``partners`` rows and else an estimate with the standard error
+    that is given, see ``silhouettes``.
     """
-    if sample_size > LARGEST_SAMPLE:
-        raise ValueError(f"a sample of more than {LARGEST_SAMPLE} rows does not fit every task")
-    spark = rows.sparkSession
-    vectors = _vectors(rows, features, id_column)
-    with _kept(vectors.select("_features")) as kept:
-        models = best_models(kept, ks, seed, restarts)
-    picked = segment_sample(vectors, sample_size, seed, id_column).select("_features")
-    for k, model in models.items():
-        picked = model.transform(picked).withColumnRenamed("segment", f"k{k}")
-    points = picked.select(F.col("_features"), *[f"k{k}" for k in ks]).toPandas()
-    scores = silhouette(
-        spark,
-        np.stack([vector.toArray() for vector in points["_features"]]),
-        {k: points[f"k{k}"].to_numpy() for k in ks},
-    )
-    inertia = spark.createDataFrame(
-        [(k, float(models[k].summary.trainingCost)) for k in ks], "k int, inertia double"
+    with _kept(_points(rows, features, id_column), features) as points:
+        models = best_models(points, ks, seed, restarts, features)
+        scores = silhouettes(points, {k: m.centers for k, m in models.items()}, seed, partners)
+    inertia = [(k, float(m.cost), *scores[k]) for k, m in models.items()]
+    found = rows.sparkSession.createDataFrame(
+        inertia, "k int, inertia double, silhouette_squared double, silhouette_score double, silhouette_error double"
     )
-    overall = reduce(
-        DataFrame.unionByName,
-        [
-            squared_silhouette(model.transform(vectors), features).select(F.lit(k).alias("k"), "silhouette_squared")
-            for k, model in models.items()
-        ],
-    )
-    return inertia.join(overall, "k").join(scores, "k", "left").select(
-        "k",
-        half_even(F.col("inertia"), 2).alias("inertia"),
-        "silhouette_squared",
-        half_even(F.col("silhouette_score"), 4).alias("silhouette_score"),
+    return found.select(
+        "k", half_even(F.col("inertia"), 2).alias("inertia"),
+        *[half_even(F.col(c), 4).alias(c) for c in ("silhouette_squared", "silhouette_score", "silhouette_error")],
     ).orderBy("k")
 
 
+def silhouettes(
+    points: DataFrame, models: Mapping[int, np.ndarray], seed: int = SEGMENT_SEED, partners: int = SILHOUETTE_PARTNERS
+) -> dict[int, tuple[float | None, float | None, float | None]]:
+    """Per model the mean silhouette of all rows: by squared distances, by Euclidean ones, and
+    the standard error of the latter.  ``points`` are as ``_points`` makes them; a row belongs
+    to its nearest centre.
+
+    Squared distances follow from a segment's size, sum and sum of squares.  For Euclidean ones
+    every segment is represented by ``partners`` of its rows, those with the smallest draws, in
+    REPLICATES groups; each row is compared with them and with no other row, so the cost is
+    linear.  The error is that of the mean over the groups, without the part that is known: it
+    is zero, and the silhouette exact, if all rows are partners.  Three passes serve all models;
+    what comes to the driver is a sum per segment, and ``partners`` rows of each.
+    """
+    names = sorted(models)
+    size = models[names[0]].shape[1]
+    first = np.concatenate([[0], np.cumsum([len(models[k]) for k in names])])
+
+    def sample(batches):
+        best: dict[int, list] = {}
+        sums = np.zeros((int(first[-1]), size + 2))
+        for hashes, rows in _batches(batches, size):
+            drawn = _uniform(hashes, 0, seed)
+            wide = np.concatenate([rows, (rows**2).sum(axis=1)[:, None], np.ones((len(rows), 1))], axis=1)
+            for k, at in zip(names, first):
+                own = _distances(rows, models[k]).argmin(axis=1)
+                np.add.at(sums, at + own, wide)
+                for c in np.unique(own):
+                    mine = np.flatnonzero(own == c)
+                    mine = mine[np.argsort(drawn[mine], kind="stable")[:partners]]
+                    found = best.get(at + c, []) + [(float(drawn[i]), int(hashes[i].view(np.int64)), rows[i].tolist()) for i in mine]
+                    best[at + c] = sorted(found)[:partners]
+        out = [(int(c), d, h, x, None) for c, found in best.items() for d, h, x in found]
+        out += [(int(c), None, None, None, sums[c].tolist()) for c in np.flatnonzero(sums[:, size + 1])]
+        if out:
+            types = [pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), types)], names=["c", "draw", "h", "x", "sums"])
+
+    drawn = materialize(points.mapInArrow(sample, "c long, draw double, h long, x array<double>, sums array<double>"), "partners")
+    order = Window.partitionBy("c").orderBy("draw", "h", "x")
+    chosen = drawn.where("draw is not null").withColumn("n", F.row_number().over(order)).where(F.col("n") <= partners).collect()
+    totals = np.zeros((int(first[-1]), size + 2))
+    added = drawn.where("sums is not null").groupBy("c").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(size + 2)])
+    for r in added.collect():
+        totals[r["c"]] = [r[f"s{i}"] for i in range(size + 2)]
+    partner_rows: list[tuple[np.ndarray, np.ndarray]] = []
+    for c in range(int(first[-1])):
+        own = sorted((r["n"], r["h"], r["x"]) for r in chosen if r["c"] == c)
+        partner_rows.append((np.array([h for _, h, _ in own], np.int64), np.array([x for _, _, x in own]).reshape(-1, size)))
+
+    def score(batches):
+        out = np.zeros((len(names), REPLICATES + 2))
+        for hashes, rows in _batches(batches, size):
+            for i, (k, at) in enumerate(zip(names, first)):
+                own = _distances(rows, models[k]).argmin(axis=1)
+                here = slice(int(at), int(first[i + 1]))
+                out[i, 0] += _squared_silhouettes(rows, own, totals[here]).sum()
+                out[i, 1:] += _sampled_silhouettes(rows, hashes.view(np.int64), own, partner_rows[here], totals[here][:, -1])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *[pa.array(c) for c in out.T]], names=["k", *columns])
+
+    columns = [f"s{i}" for i in range(REPLICATES + 2)]
+    scored = points.mapInArrow(score, "k long, " + ", ".join(f"{c} double" for c in columns)).groupBy("k").agg(*[F.sum(c).alias(c) for c in columns])
+    found: dict[int, tuple] = {}
+    by_k = {r["k"]: [r[c] for c in columns] for r in scored.collect()}
+    for i, k in enumerate(names):
+        sizes = totals[int(first[i]) : int(first[i + 1]), -1]
+        if (sizes > 0).sum() < 2:
+            found[k] = (None, None, None)
+            continue
+        rows = float(sizes.sum())
+        squared, whole, *groups = [float(x) / rows for x in by_k[k]]
+        known = float(np.minimum(partners / np.maximum(sizes[sizes > 0], 1), 1).min())
+        error = math.sqrt(float(np.var(groups, ddof=1)) / REPLICATES * (1 - known))
+        found[k] = (squared, whole, error)
+    return found
+
+
+def _squared_silhouettes(rows: np.ndarray, own: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """``totals``: a segment's sums, sum of squares, and size."""
+    size = rows.shape[1]
+    n = np.maximum(totals[:, -1], 1)
+    far = (rows**2).sum(axis=1)[:, None] + (totals[:, size] - 2 * rows @ totals[:, :size].T) / n
+    far[:, totals[:, -1] == 0] = np.inf
+    at = (np.arange(len(rows)), own)
+    inside = far[at] * n[own] / np.maximum(n[own] - 1, 1)
+    return _silhouette(inside, far, own, n)
+
+
+def _silhouette(inside: np.ndarray, far: np.ndarray, own: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """From the mean distance to the row's own segment and to all; 0 for a row by itself."""
+    others = far.copy()
+    others[np.arange(len(own)), own] = np.inf
+    outside = others.min(axis=1)
+    widest = np.maximum(inside, outside)
+    alone = (n[own] <= 1) | (widest <= 0)
+    with np.errstate(invalid="ignore"):
+        return np.where(alone, 0.0, (outside - inside) / np.where(widest <= 0, 1.0, widest))
+
+
+def _sampled_silhouettes(
+    rows: np.ndarray, hashes: np.ndarray, own: np.ndarray, partners: list[tuple[np.ndarray, np.ndarray]], sizes: np.ndarray
+) -> np.ndarray:
+    """Sums of silhouettes: with all partners, then with each of their groups alone."""
+    out = np.zeros(REPLICATES + 1)
+    sums = np.zeros((REPLICATES, len(rows), len(partners)))
+    counts = np.zeros((REPLICATES, len(rows), len(partners)))
+    for c, (ids, points) in enumerate(partners):
+        if not len(points):
+            continue
+        distance = np.sqrt(_distances(rows, points))
+        # A row is no partner of itself.
+        other = ~((hashes[:, None] == ids[None, :]) & (distance == 0))
+        for g in range(REPLICATES):
+            part = slice(g, None, REPLICATES)
+            sums[g, :, c] = (distance[:, part] * other[:, part]).sum(axis=1)
+            counts[g, :, c] = other[:, part].sum(axis=1)
+    at = np.arange(len(rows))
+
+    def mean(total: np.ndarray, count: np.ndarray) -> float:
+        far = np.where(count > 0, total / np.maximum(count, 1), np.inf)
+        inside = np.where(np.isfinite(far[at, own]), far[at, own], 0.0)
+        return float(_silhouette(inside, far, own, sizes).sum())
+
+    out[0] = mean(sums.sum(axis=0), counts.sum(axis=0))
+    for g in range(REPLICATES):
+        out[g + 1] = mean(sums[g], counts[g])
+    return out
+
+
 def squared_silhouette(rows: DataFrame, features: Sequence[str] = RFM_FEATURES) -> DataFrame:
     """One row, ``silhouette_squared``: the mean silhouette by squared distance, over all rows.
 
@@ -249,18 +519,13 @@ def squared_silhouette(rows: DataFrame, features: Sequence[str] = RFM_FEATURES)
 
 
 def check_fit(
-    fitted: DataFrame, model: KMeansModel, features: Sequence[str] = RFM_FEATURES
+    fitted: DataFrame, model: Segmentation, features: Sequence[str] = RFM_FEATURES
 ) -> DataFrame:
     """One row: ``customers, revenue, segments, misplaced``.
 
     ``misplaced`` counts rows that are nearer to another centre than to their own.
     """
-    centres = [c.tolist() for c in model.clusterCenters()]
-
-    def distance(centre: list[float]) -> Column:
-        return reduce(lambda a, b: a + b, [(F.col(scaled(f)) - x) * (F.col(scaled(f)) - x) for f, x in zip(features, centre)])
-
-    distances = F.array(*[distance(c) for c in centres])
+    distances = F.array(*[_distance(features, c) for c in model.centers.tolist()])
     # As far as doubles can tell.
     nearer = F.array_min(distances) < F.get(distances, F.col("segment")) * (1 - 1e-9)
     return fitted.agg(
@@ -271,48 +536,6 @@ def check_fit(
     )
 
 
-def silhouette(spark: SparkSession, points: np.ndarray, labels: Mapping[int, np.ndarray]) -> DataFrame:
-    """``k, silhouette_score``: mean Euclidean silhouette of each labelling of ``points``.
-
-    ``points`` is a bounded sample.  Every task holds it and scores a share of its rows;
-    no pair of points is ever a row.
-    """
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            own = batch["id"].to_numpy()
-            distance = np.sqrt(((points[own, None, :] - points[None, :, :]) ** 2).sum(axis=2))
-            for k, label in labels.items():
-                values = _silhouette_rows(distance, own, label)
-                if values is not None:
-                    yield pd.DataFrame({"k": k, "total": [values.sum()], "rows": [len(own)]})
-
-    chunk = 128  # rows of the distance matrix held at a time
-    shares = max(1, -(-len(points) // chunk))
-    return (
-        spark.range(0, len(points), 1, shares)
-        .mapInPandas(score, "k int, total double, rows long")
-        .groupBy("k")
-        .agg((F.sum("total") / F.sum("rows")).alias("silhouette_score"))
-    )
-
-
-def _silhouette_rows(distance: np.ndarray, own: np.ndarray, label: np.ndarray) -> np.ndarray | None:
-    """Silhouettes of the points ``own``, given their distances to all; None with one cluster."""
-    clusters, member = np.unique(label, return_inverse=True)
-    if len(clusters) < 2:
-        return None
-    sizes = np.bincount(member)
-    sums = np.stack([distance[:, member == c].sum(axis=1) for c in range(len(clusters))], axis=1)
-    here = (np.arange(len(own)), member[own])
-    others = sums / sizes
-    others[here] = np.inf
-    separation = others.min(axis=1)
-    alone = sizes[member[own]] == 1
-    cohesion = sums[here] / np.maximum(sizes[member[own]] - 1, 1)
-    widest = np.maximum(cohesion, separation)
-    return np.where(alone | (widest == 0), 0.0, (separation - cohesion) / np.where(widest == 0, 1.0, widest))
-
-
 def exact_mean(rows: DataFrame, column: str) -> Column:
     return F.try_divide(exact_sum(rows, column).cast("double"), F.count(column))
 

@@ -269,20 +269,28 @@ ztest AS (
     FROM z_p)"""
 
 
-def power(mdes: str) -> str:
-    """Sample sizes by bisection, as table ``power``."""
+def power(mdes: str, slices: str = "1") -> str:
+    """Sample sizes by bisection, as table ``power``; alpha is divided by the number of ``slices``."""
     shift = "abs(h) * sqrt((low + high) / 4)"
-    reached = f"({phi(f'({shift} - {Z_975})')}) + ({phi(f'(-({shift}) - {Z_975})')})"
+    reached = f"({phi(f'({shift} - z)')}) + ({phi(f'(-({shift}) - z)')})"
     return f"""
+level AS (SELECT 0.05::DOUBLE / {slices} AS alpha),
+search AS (
+    SELECT 0 AS step, 0.0::DOUBLE AS low, 8.0::DOUBLE AS high
+    UNION ALL
+    SELECT step + 1, CASE WHEN cdf < 1 - alpha / 2 THEN (low + high) / 2 ELSE low END,
+           CASE WHEN cdf < 1 - alpha / 2 THEN high ELSE (low + high) / 2 END
+    FROM (SELECT *, {phi("((low + high) / 2)")} AS cdf FROM search, level WHERE step < 60)),
+critical AS (SELECT alpha, high AS z FROM search, level WHERE step = 60),
 plans AS (
     SELECT market, x_c::DOUBLE / n_c AS p0, mde::DOUBLE AS mde, x_c::DOUBLE / n_c + mde::DOUBLE AS p1
     FROM arms, (SELECT unnest({mdes}) AS mde)),
 effects AS (
-    SELECT *, CASE WHEN p1 BETWEEN 0 AND 1 THEN 2 * asin(sqrt(p0)) - 2 * asin(sqrt(p1)) END AS h FROM plans),
+    SELECT *, CASE WHEN p1 BETWEEN 0 AND 1 THEN 2 * asin(sqrt(p0)) - 2 * asin(sqrt(p1)) END AS h FROM plans, critical),
 halving AS (
-    SELECT *, 0 AS step, 0.0::DOUBLE AS low, 2 * ({Z_975} + {Z_80}) ^ 2 / h ^ 2 AS high FROM effects
+    SELECT *, 0 AS step, 0.0::DOUBLE AS low, 2 * (z + {Z_80}) ^ 2 / h ^ 2 AS high FROM effects
     UNION ALL
-    SELECT market, p0, mde, p1, h, step + 1,
+    SELECT market, p0, mde, p1, alpha, z, h, step + 1,
            CASE WHEN enough >= 0.8 THEN low ELSE (low + high) / 2 END,
            CASE WHEN enough >= 0.8 THEN (low + high) / 2 ELSE high END
     FROM (SELECT *, {reached} AS enough FROM halving WHERE step < 60)),
@@ -290,7 +298,7 @@ power AS (
     SELECT market, p0 AS baseline_rate, p1 AS treatment_rate, mde, round_even(h, 4) AS effect_size_h,
            CAST(round_even(high, 0) AS BIGINT) AS n_per_group,
            2 * CAST(round_even(high, 0) AS BIGINT) AS n_total,
-           0.05::DOUBLE AS alpha, 0.8::DOUBLE AS power
+           alpha, 0.8::DOUBLE AS power
     FROM halving WHERE step = 60)"""
 
 
@@ -324,6 +332,19 @@ ORACLE_SQL: dict[str, str] = {
         f"SELECT '{name}' AS table_name, count(*) AS row_count FROM {name}"
         for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
     ),
+    "table_counts_from_footers": " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, count(*) AS row_count FROM {name}"
+        for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+    ),
+    "order_ranges_from_footers": " UNION ALL ".join(
+        f"SELECT '{name}' AS \"column\", count(*) AS rows, CAST(min({name}) AS VARCHAR) AS smallest, "
+        f"CAST(max({name}) AS VARCHAR) AS largest FROM orders"
+        for name in ("o_orderkey", "o_custkey")
+    ),
+    "event_type_stats_from_sketches": f"""{with_tables(EVENTS)}
+SELECT event_type, count(*) AS total_events, TRUE AS sessions_close, TRUE AS users_close
+FROM shop_events GROUP BY event_type""",
+    "monthly_revenue_bucketed": f"{with_tables(ORDERS, ITEMS, REVENUE)} SELECT * FROM revenue",
     "events_preview": f"""{with_tables(EVENTS)}
 SELECT id, session_id, created_at, event_type, user_id, visitor_id, '/' || event_type AS uri,
        traffic_source, browser, value, props
@@ -423,6 +444,7 @@ FROM funnel GROUP BY abandonment_stage""",
     # Retention and revenue
     "cohort_retention": f"{with_tables(ORDERS, COHORTS)} SELECT * FROM cohorts",
     "retention_rates": f"{with_tables(ORDERS, COHORTS, rates(1))} SELECT * FROM rates",
+    "retention_rates_cached": f"{with_tables(ORDERS, COHORTS, rates(1))} SELECT * FROM rates",
     "retention_rates_two_digits": f"{with_tables(ORDERS, COHORTS, rates(2))} SELECT * FROM rates",
     "monthly_revenue": f"{with_tables(ORDERS, ITEMS, REVENUE)} SELECT * FROM revenue",
     "retention_kpis": f"""{with_tables(ORDERS, ITEMS, COHORTS, rates(1), REVENUE)}
@@ -440,6 +462,25 @@ FROM rates""",
     "experiment_summary_all_orders": summary("").replace("WHERE priority = '1-URGENT'", ""),
     "experiment_summary_by_market": summary("market,"),
     "srm_check": f"{EXPERIMENT}, {SRM} SELECT * FROM srm",
+    # With four degrees of freedom the tail is exp(-x/2) (1 + x/2).
+    "srm_check_arms": f"""{with_tables(ORDERS, USERS)},
+dealt AS (
+    SELECT market, id * 37 % 100 AS b FROM shop_users),
+counted AS (
+    SELECT market, count(*) AS total, count(*) FILTER (b < 40) AS a0, count(*) FILTER (b BETWEEN 40 AND 59) AS a1,
+           count(*) FILTER (b BETWEEN 60 AND 79) AS a2, count(*) FILTER (b BETWEEN 80 AND 89) AS a3,
+           count(*) FILTER (b >= 90) AS a4
+    FROM dealt GROUP BY market),
+compared AS (
+    SELECT *, (a0 - total * 0.4e0) ^ 2 / (total * 0.4e0) + (a1 - total * 0.2e0) ^ 2 / (total * 0.2e0)
+           + (a2 - total * 0.2e0) ^ 2 / (total * 0.2e0) + (a3 - total * 0.1e0) ^ 2 / (total * 0.1e0)
+           + (a4 - total * 0.1e0) ^ 2 / (total * 0.1e0) AS x
+    FROM counted)
+SELECT market, 5 AS arms, total AS total_users, round_even(x, 4) AS chi2_stat, 4 AS degrees,
+       round_even(exp(-x / 2) * (1 + x / 2), 6) AS p_value, exp(-x / 2) * (1 + x / 2) < 0.05 AS srm_detected,
+       CASE WHEN exp(-x / 2) * (1 + x / 2) < 0.05 THEN '{SRM_BROKEN}' ELSE '{SRM_PASS}' END AS verdict
+FROM compared""",
+    "power_table_bonferroni": f"{EXPERIMENT}, {power('[0.01, 0.02, 0.05, 0.2]', '(SELECT count(*) FROM arms)')} SELECT * FROM power",
     "proportion_ztest": f"{EXPERIMENT}, {ZTEST} SELECT * FROM ztest",
     "power_table": f"{EXPERIMENT}, {power('[0.01, 0.02, 0.05, 0.2]')} SELECT * FROM power",
     "experiment_decision": f"{EXPERIMENT}, {SRM}, {ZTEST}, {power('[0.2]')} {decision('market,')}",
@@ -527,3 +568,8 @@ found AS (
     FROM (SELECT * FROM revenue ORDER BY month LIMIT 1))
 SELECT "check", violations, violations = 0 AS passed FROM found""",
 }
+
+# Those of the checks that jobs take along.
+ORACLE_SQL["quality_checks_observed"] = ORACLE_SQL["quality_checks"] + """
+WHERE "check" IN ('session is unique', 'session reaches a stage', 'first event opens session 1', 'long gap opens a session',
+                  'short gap stays in session', 'sessions equal boundaries')"""

@@ -19,8 +19,9 @@ from footfall.operators import (
     sessions,
 )
 from footfall.plans import reports
+from footfall.plans.result_cache import cached
 from footfall.session import materialize
-from footfall.sources import star_schema as shop
+from footfall.sources import bucketed, footers, star_schema as shop
 from footfall.sources.tables import normalise, preview
 from footfall.streaming.sessions import run_available
 
@@ -32,9 +33,11 @@ LONG_GAP = timedelta(hours=12)
 HOT_USER_EVENTS = 60
 MARKET = ("market",)
 PRIORITY = "1-URGENT"
+SPLIT_OF_FIVE = {"control": 0.4, "wording": 0.2, "colour": 0.2, "price": 0.1, "layout": 0.1}
 MDES = (0.01, 0.02, 0.05, 0.2)
 DECISION_MDE = 0.2
 SAMPLE_ROWS = 500
+ORDER_BUCKETS = 8
 
 
 # Profiles
@@ -44,6 +47,14 @@ def table_counts(spark: SparkSession, folder: str) -> DataFrame:
     return profiling.table_counts({name: shop.table(spark, folder, name) for name in shop.TABLES})
 
 
+def table_counts_from_footers(spark: SparkSession, folder: str) -> DataFrame:
+    return footers.footer_counts(spark, {name: f"{folder}/{name}.parquet" for name in shop.TABLES})
+
+
+def order_ranges_from_footers(spark: SparkSession, folder: str) -> DataFrame:
+    return footers.footer_ranges(spark, f"{folder}/orders.parquet", ["o_orderkey", "o_custkey"])
+
+
 def events_preview(spark: SparkSession, folder: str) -> DataFrame:
     return preview(shop.events(spark, folder), order_by="id")
 
@@ -69,6 +80,21 @@ def event_type_stats(spark: SparkSession, folder: str) -> DataFrame:
     return profiling.event_type_stats(shop.events(spark, folder))
 
 
+def event_type_stats_from_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    """Estimates over stored daily sketches, against exact counts: within four standard errors?"""
+    events = shop.events(spark, folder)
+    daily = materialize(profiling.daily_sketches(events), "daily-sketches")
+    exact = profiling.event_type_stats(events).withColumnRenamed("total_events", "_events")
+
+    def close(estimate: str, count: str):
+        return F.abs(F.col(estimate) - F.col(count)) <= F.greatest(F.col(count) * (4 * profiling.SKETCH_ERROR), F.lit(1))
+
+    return profiling.merged_stats(daily).join(exact, "event_type").select(
+        "event_type", "total_events", close("sessions_estimate", "sessions_with_this_event").alias("sessions_close"),
+        close("users_estimate", "unique_users").alias("users_close"),
+    )
+
+
 def user_type_share(spark: SparkSession, folder: str) -> DataFrame:
     return profiling.user_type_share(shop.events(spark, folder))
 
@@ -179,6 +205,19 @@ def monthly_revenue(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def monthly_revenue_bucketed(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders and items kept by order: what joins them afterwards moves nothing."""
+    orders, items = (
+        bucketed.read_bucketed(spark, bucketed.write_bucketed(df, "order_id", ORDER_BUCKETS))
+        for df in (shop.orders(spark, folder), shop.order_items(spark, folder))
+    )
+    return retention.monthly_revenue(orders, items, AS_OF, shop.REVENUE_STATUSES)
+
+
+def retention_rates_cached(spark: SparkSession, folder: str) -> DataFrame:
+    return cached(retention_rates(spark, folder))
+
+
 def retention_kpis(spark: SparkSession, folder: str) -> DataFrame:
     return retention.retention_kpis(retention_rates(spark, folder), monthly_revenue(spark, folder))
 
@@ -232,6 +271,14 @@ def srm_check(spark: SparkSession, folder: str) -> DataFrame:
     return experiment.srm_check(_arms(spark, folder), MARKET)
 
 
+def srm_check_arms(spark: SparkSession, folder: str) -> DataFrame:
+    """Five arms by market, of users dealt into a hundred buckets by id."""
+    bucket = F.col("id") * 37 % 100
+    assigned = experiment.assign_arms(shop.users(spark, folder), SPLIT_OF_FIVE, bucket, keys=MARKET)
+    found = experiment.experiment_summary(assigned, shop.orders(spark, folder), MARKET, shop.REVENUE_STATUSES)
+    return experiment.srm_check_arms(found, SPLIT_OF_FIVE, MARKET)
+
+
 def proportion_ztest(spark: SparkSession, folder: str) -> DataFrame:
     return experiment.proportion_ztest(_arms(spark, folder), MARKET)
 
@@ -241,6 +288,12 @@ def power_table(spark: SparkSession, folder: str) -> DataFrame:
     return experiment.power_table(baselines, MDES, MARKET)
 
 
+def power_table_bonferroni(spark: SparkSession, folder: str) -> DataFrame:
+    """Every market is a slice of one experiment, so each is judged at alpha over their number."""
+    baselines = experiment.bonferroni(experiment.measured_baselines(_arms(spark, folder), MARKET))
+    return experiment.power_table(baselines, MDES, MARKET, alpha="alpha")
+
+
 def experiment_decision(spark: SparkSession, folder: str) -> DataFrame:
     return reports.experiment_report(_arms(spark, folder), MARKET, DECISION_MDE).decision
 
@@ -345,15 +398,33 @@ def quality_checks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def quality_checks_observed(spark: SparkSession, folder: str) -> DataFrame:
+    """Checks taken along by the jobs that write sessions and funnels; events are read once."""
+    events = shop.events(spark, folder).select("id", "visitor_id", "session_id", "created_at", "event_type", "traffic_source", "browser", "user_id")
+    visits, of_visits = quality.observed(sessions.sessionize(events, user_key="visitor_id"), quality.visit_rules())
+    visits = materialize(visits, "visits")
+    found, of_sessions = quality.observed(funnel.session_funnel(visits), quality.funnel_rules())
+    found = materialize(found, "funnels")
+    per_user, of_users = quality.observed(
+        sessions.session_summary(visits, "visitor_id"), {"sessions equal boundaries": F.col("sessions") != F.col("boundaries")}
+    )
+    materialize(per_user, "session-summary")
+    unique = quality.check_unique("session is unique", found, "session_id")
+    return quality.observed_report(spark, [of_visits, of_sessions, of_users]).unionByName(unique)
+
+
 QUERIES: tuple[Query, ...] = (
     monthly_revenue,
     table_counts,
+    table_counts_from_footers,
+    order_ranges_from_footers,
     events_preview,
     event_type_counts,
     order_status_counts,
     null_rates,
     order_time_range,
     event_type_stats,
+    event_type_stats_from_sketches,
     user_type_share,
     top_users,
     sessionize,
@@ -373,6 +444,8 @@ QUERIES: tuple[Query, ...] = (
     cohort_retention,
     retention_rates,
     retention_rates_two_digits,
+    retention_rates_cached,
+    monthly_revenue_bucketed,
     retention_kpis,
     rfm_base,
     rfm_scores,
@@ -381,8 +454,10 @@ QUERIES: tuple[Query, ...] = (
     experiment_summary_all_orders,
     experiment_summary_by_market,
     srm_check,
+    srm_check_arms,
     proportion_ztest,
     power_table,
+    power_table_bonferroni,
     experiment_decision,
     experiment_decision_overall,
     scale_parameters,
@@ -400,4 +475,5 @@ QUERIES: tuple[Query, ...] = (
     segment_sample,
     segmentation_report,
     quality_checks,
+    quality_checks_observed,
 )

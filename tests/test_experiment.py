@@ -1,8 +1,11 @@
+import math
 from datetime import date, datetime
+from statistics import NormalDist
 
 import pytest
 from pyspark.sql import functions as F
 
+from footfall.functions import stats
 from footfall.functions.stats import normal_cdf
 from footfall.operators import experiment
 from footfall.plans.reports import experiment_report
@@ -159,3 +162,68 @@ def test_summary(spark):
     }
     rows = [tuple(r) for r in experiment.experiment_summary(groups, orders).collect()]
     assert rows == [("control", 2, 1, 50.0), ("treatment", 2, 0, 0.0)]
+
+
+def chi_square_tail(x, n):
+    """Closed forms: a Poisson sum for even degrees, the error function and a sum for odd ones."""
+    if n % 2 == 0:
+        return math.exp(-x / 2) * sum((x / 2) ** j / math.factorial(j) for j in range(n // 2))
+    total, term = math.erfc(math.sqrt(x / 2)), math.sqrt(2 * x / math.pi) * math.exp(-x / 2)
+    for j in range(1, n, 2):
+        total, term = total + term, term * x / (j + 2)
+    return total
+
+
+def test_chi_square_tail(spark):
+    cases = [(x, n) for n in range(1, 21) for x in (0.001, 0.1, 0.5, 1.0, 2.0, 3.84, 7.0, n * 1.0, n + 2.0, 20.0, 31.4, 60.0, 150.0, 600.0)]
+    rows = spark.createDataFrame([(float(x), n, chi_square_tail(x, n)) for x, n in cases], "x double, n int, wanted double")
+    for r in rows.withColumn("found", stats.chi_square_tail(F.col("x"), F.col("n"))).collect():
+        assert r["found"] == pytest.approx(r["wanted"], rel=1e-9, abs=1e-14), (r["x"], r["n"])
+    # Tabulated 5 percent points.
+    table = [(3.841459, 1), (5.991465, 2), (7.814728, 3), (9.487729, 4), (18.307038, 10), (31.410433, 20)]
+    found = spark.createDataFrame(table, "x double, n int").select(stats.chi_square_tail(F.col("x"), F.col("n")).alias("p")).collect()
+    assert [r["p"] for r in found] == pytest.approx([0.05] * 6, abs=1e-7)
+    odd = spark.createDataFrame([(0.0, 3), (float("inf"), 3), (1.0, 0), (None, 2)], "x double, n int")
+    assert [r[0] for r in odd.select(stats.chi_square_tail(F.col("x"), F.col("n"))).collect()] == [1.0, 0.0, None, None]
+
+
+def test_normal_quantile_of_a_column(spark):
+    given = [1e-6, 1e-4, 0.001, 0.02, 0.025, 0.1, 0.5, 0.77, 0.9, 0.975, 0.995, 0.9999, 0.05 / 7]
+    rows = spark.createDataFrame([(p,) for p in given], "p double").select("p", stats.normal_quantile_of(F.col("p")).alias("z")).collect()
+    for r in rows:
+        assert r["z"] == pytest.approx(NormalDist().inv_cdf(r["p"]), rel=1e-10, abs=1e-12)
+    outside = spark.createDataFrame([(0.0,), (1.0,), (-1.0,), (None,)], "p double")
+    assert {r[0] for r in outside.select(stats.normal_quantile_of(F.col("p"))).collect()} == {None}
+
+
+def test_power_with_a_level_of_each_row(spark):
+    rows = [("a", 0.05, 0.05, 0.8), ("b", 0.05, 0.01, 0.9), ("c", 0.5306, 0.2, 0.5)]
+    frame = spark.createDataFrame(rows, "name string, baseline_rate double, alpha double, power double")
+    found = by_name(experiment.power_table(frame, [0.02], KEYS, alpha="alpha", power="power"))
+    for name, rate, alpha, power in rows:
+        alone = spark.createDataFrame([(name, rate)], "name string, baseline_rate double")
+        wanted = experiment.power_table(alone, [0.02], KEYS, alpha=alpha, power=power).first()
+        assert found[name] == wanted
+    assert found["c"]["n_per_group"] == 1996
+    slices = experiment.bonferroni(frame.drop("alpha"))
+    assert {r["alpha"] for r in slices.collect()} == {0.05 / 3}
+
+
+def test_ratio_of_many_arms(spark):
+    split = {"a": 0.5, "b": 0.3, "c": 0.2}
+    rows = [("even", "a", 500), ("even", "b", 300), ("even", "c", 200), ("off", "a", 560), ("off", "b", 260), ("off", "c", 180),
+            ("lost", "a", 500), ("lost", "b", 500), ("new", "a", 500), ("new", "b", 300), ("new", "c", 200), ("new", "d", 1), ("empty", "a", 0)]
+    found = by_name(experiment.srm_check_arms(spark.createDataFrame(rows, "name string, experiment_group string, total_users long"), split, KEYS))
+    assert (found["even"]["chi2_stat"], found["even"]["p_value"], found["even"]["verdict"]) == (0, 1, "PASS")
+    x = 60**2 / 500 + 40**2 / 300 + 20**2 / 200
+    assert found["off"]["chi2_stat"] == round(x, 4) and found["off"]["p_value"] == round(math.exp(-x / 2), 6) and found["off"]["srm_detected"]
+    assert found["lost"]["srm_detected"] and found["new"]["srm_detected"] and found["new"]["p_value"] == 0
+    assert found["empty"]["p_value"] is None and not found["empty"]["srm_detected"]
+    assert {(r["arms"], r["degrees"]) for r in found.values()} == {(3, 2)}
+    # Two arms are what the check of two arms says.
+    two = experiment.counts_table(spark, [("x", 51724, 0, 48276, 0)], KEYS)
+    long = spark.createDataFrame([("x", "control", 51724), ("x", "treatment", 48276)], "name string, experiment_group string, total_users long")
+    a, b = experiment.srm_check(two, KEYS).first(), experiment.srm_check_arms(long, {"control": 0.5, "treatment": 0.5}, KEYS).first()
+    assert (a["chi2_stat"], a["p_value"], a["verdict"]) == (b["chi2_stat"], b["p_value"], b["verdict"])
+    with pytest.raises(ValueError):
+        experiment.srm_check_arms(long, {"control": 1.0}, KEYS)

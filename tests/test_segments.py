@@ -1,8 +1,12 @@
 import numpy as np
 import pytest
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from footfall.operators import segments
+from footfall.plans.queries import rfm_base
+from footfall.session import materialize
 
 RFM = "user_id long, recency_days long, frequency long, monetary_value double"
 
@@ -45,16 +49,60 @@ def test_clusters(spark, blobs):
     assert set(found.columns) == set(prepared.columns) | {"segment"}
     # Every row belongs to its nearest centre.
     points = found[[segments.scaled(f) for f in segments.RFM_FEATURES]].to_numpy()
-    centres = np.stack(model.clusterCenters())
+    centres = model.centers
     nearest = ((points[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
     assert (nearest == found["segment"]).all()
 
 
+def points_of(rows, features=segments.RFM_FEATURES, id_column="user_id"):
+    return segments._points(rows, features, id_column).cache()
+
+
 def test_more_starts_never_cost_more(blobs):
-    prepared = segments.robust_scale(blobs, segments.scale_parameters(blobs))
-    vectors = segments._vectors(prepared, segments.RFM_FEATURES).select("_features").cache()
-    costs = [segments.best_models(vectors, [4], 1, n)[4].summary.trainingCost for n in (1, 4)]
-    assert costs[1] <= costs[0]
+    points = points_of(segments.robust_scale(blobs, segments.scale_parameters(blobs)))
+    costs = [segments.best_models(points, [4], 1, n)[4].cost for n in (1, 4)]
+    assert costs[1] <= costs[0] * (1 + 1e-9)
+
+
+def test_no_dearer_than_the_library(spark):
+    """Costs of the best of ten starts, on the customers of the test files."""
+    folder = "/root/testdata/sf0.01"
+    base = materialize(rfm_base(spark, folder), "base")
+    prepared = materialize(segments.robust_scale(base, segments.scale_parameters(base)), "prepared")
+    points = points_of(prepared)
+    models = segments.best_models(points, [2, 4, 6], 42, 10)
+    vectors = VectorAssembler(inputCols=["_0", "_1", "_2"], outputCol="features").transform(points).cache()
+    for k, model in models.items():
+        fits = [KMeans(k=k, seed=seed, maxIter=100, tol=1e-6).fit(vectors).summary.trainingCost for seed in range(4)]
+        assert model.cost <= min(fits) * (1 + 1e-9)
+        assert model.k == k and model.cost == pytest.approx(
+            sum(((np.array([r["_0"], r["_1"], r["_2"]]) - model.centers) ** 2).sum(axis=1).min() for r in points.collect())
+        )
+
+
+def test_an_iteration_is_one_job_whatever_the_starts(spark, blobs):
+    points = points_of(segments.robust_scale(blobs, segments.scale_parameters(blobs)))
+    points.count()
+    random = np.random.default_rng(2)
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(models):
+        spark.sparkContext.setJobGroup(f"sums-{models}", "one pass")
+        try:
+            segments._sums(points, [random.normal(size=(4, 3)) for _ in range(models)], 3)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(tracker.getJobIdsForGroup(f"sums-{models}"))
+
+    assert jobs(1) == jobs(60)
+
+
+def test_fewer_rows_than_centres(spark):
+    few = spark.createDataFrame([(i, float(i % 2), 0.0, 1.0) for i in range(6)], "user_id long, recency_days_scaled double, frequency_scaled double, monetary_value_scaled double")
+    fitted, model = segments.fit_segments(few, 4, restarts=2)
+    assert model.cost == 0 and fitted.select("segment").distinct().count() == 2
+    with pytest.raises(ValueError):
+        segments.fit_segments(few.limit(0), 2, restarts=1)
 
 
 def test_sweep(blobs):
@@ -63,8 +111,44 @@ def test_sweep(blobs):
     assert [r["k"] for r in rows] == [2, 3]
     assert rows[1]["inertia"] < rows[0]["inertia"]
     assert rows[1]["silhouette_score"] > 0.9 and rows[1]["silhouette_squared"] > 0.9
-    with pytest.raises(ValueError):
-        segments.k_sweep(prepared, ks=(2,), restarts=1, sample_size=10**6)
+    assert {r["silhouette_error"] for r in rows} == {0.0}
+
+
+def brute_silhouettes(points, label):
+    """Mean silhouettes by squared and by plain distances."""
+    out = []
+    for power in (2, 1):
+        scores = []
+        for i in range(len(points)):
+            far = np.sqrt(((points - points[i]) ** 2).sum(axis=1)) ** power
+            own = (label == label[i]) & (np.arange(len(points)) != i)
+            if not own.any():
+                scores.append(0.0)
+                continue
+            a, b = far[own].mean(), min(far[label == c].mean() for c in set(label) - {label[i]})
+            scores.append((b - a) / max(a, b) if max(a, b) else 0.0)
+        out.append(np.mean(scores))
+    return out
+
+
+def test_silhouettes_of_all_rows(spark):
+    random = np.random.default_rng(5)
+    centers = np.array([[0.0, 0.0], [3.0, 1.0], [9.0, 9.0]])
+    points = np.concatenate([random.normal(size=(n, 2)) + c for n, c in zip((250, 150, 1), centers)])
+    frame = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "user_id long, a_scaled double, b_scaled double").repartition(5)
+    label = ((points[:, None] - centers) ** 2).sum(axis=2).argmin(axis=1)
+    squared, plain = brute_silhouettes(points, label)
+    models = {3: centers, 1: centers[:1]}
+    held = points_of(frame, ["a", "b"])
+    found = segments.silhouettes(held, models, partners=300)
+    assert found[3] == (pytest.approx(squared), pytest.approx(plain), 0.0) and found[1] == (None, None, None)
+    errors = []
+    for seed in range(12):
+        _, score, error = segments.silhouettes(held, {3: centers}, seed=seed, partners=40)[3]
+        assert 0 < error < 0.05
+        errors.append((score - plain) / error)
+    # Standard errors tell how far off the estimates are.
+    assert np.mean(np.abs(errors) <= 2) >= 0.7 and max(map(abs, errors)) < 5
 
 
 def test_results_do_not_depend_on_partitions(blobs):
@@ -103,27 +187,6 @@ def test_squared_silhouette_by_hand(spark):
     assert segments.squared_silhouette(rows.withColumn("segment", F.lit(1)), ["v"]).first()[0] is None
 
 
-def test_silhouette_by_hand(spark):
-    """Points on a line: 0, 1, 2 | 10, 12 | 30."""
-    points = np.array([[0.0], [1.0], [2.0], [10.0], [12.0], [30.0]])
-    label = np.array([5, 5, 5, 2, 2, 9])
-    expected = []
-    for i in range(6):
-        own = [j for j in range(6) if label[j] == label[i] and j != i]
-        if not own:
-            expected.append(0.0)
-            continue
-        a = np.mean([abs(points[i, 0] - points[j, 0]) for j in own])
-        b = min(
-            np.mean([abs(points[i, 0] - points[j, 0]) for j in range(6) if label[j] == c])
-            for c in set(label) - {label[i]}
-        )
-        expected.append((b - a) / max(a, b))
-    scores = {r["k"]: r["silhouette_score"] for r in
-              segments.silhouette(spark, points, {3: label, 1: np.zeros(6, int)}).collect()}
-    assert scores == {3: pytest.approx(np.mean(expected))}
-
-
 def profiles_of(spark, rows):
     return spark.createDataFrame(rows, "segment int, recency double, frequency double, monetary double, count long")
 
