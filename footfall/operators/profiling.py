@@ -45,23 +45,27 @@ def event_type_stats(
 ) -> DataFrame:
     """Events, distinct sessions and distinct users per event type, most events first.
 
-    ``approximate`` trades exact distinct counts for mergeable sketches.  Exact ones are
-    taken of the distinct combinations, which are counted first: only those are multiplied.
+    ``approximate`` trades exact distinct counts for sketches, in one pass.
     """
+    total = F.count(F.lit(1)).alias("total_events")
     if approximate:
-        distinct, combined, total = F.approx_count_distinct, events, F.count(F.lit(1))
-    else:
-        distinct, total = F.count_distinct, F.sum("_events")
-        combined = events.groupBy(event_type, session, user).agg(F.count(F.lit(1)).alias("_events"))
-    return (
-        combined.groupBy(event_type)
-        .agg(
-            total.alias("total_events"),
-            distinct(session).alias("sessions_with_this_event"),
-            distinct(user).alias("unique_users"),
+        found = events.groupBy(event_type).agg(
+            total,
+            F.approx_count_distinct(session).alias("sessions_with_this_event"),
+            F.approx_count_distinct(user).alias("unique_users"),
         )
-        .orderBy(F.desc("total_events"), event_type)
-    )
+        return found.orderBy(F.desc("total_events"), event_type)
+
+    def distinct(column: str, name: str) -> DataFrame:
+        pairs = events.select(F.col(event_type).alias("_type"), F.col(column).alias("_value")).distinct()
+        return pairs.groupBy("_type").agg(F.count("_value").alias(name))
+
+    # Narrow pairs combine where they are read; what is joined has a row per type.
+    found = events.groupBy(event_type).agg(total)
+    for column, name in ((session, "sessions_with_this_event"), (user, "unique_users")):
+        counts = distinct(column, name)
+        found = found.join(counts, found[event_type].eqNullSafe(counts["_type"])).drop("_type")
+    return found.orderBy(F.desc("total_events"), event_type)
 
 
 # Of an estimate of distinct values, relative; about 1.04 / sqrt(2^12) for sketches of 2^12 entries.

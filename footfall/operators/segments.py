@@ -39,6 +39,9 @@ TOLERANCE = 1e-4
 ROUNDS = 3
 CLOSE = 0.02
 SLAB = 2048
+FEW_TASKS = 64
+# The squared movement, relative to that at which a model is done, at which the best are.
+FINE = 1e-6
 # Rows that stand for a segment in the Euclidean silhouette, in so many groups.
 SILHOUETTE_PARTNERS = 256
 REPLICATES = 8
@@ -181,22 +184,25 @@ def _sums(points: DataFrame, models: list[np.ndarray], features: int) -> list[tu
     def add(batches):
         total = np.zeros((int(first[-1]), features + 2))
         for _, rows in _batches(batches, features):
-            wide = np.concatenate([rows, np.ones((len(rows), 1))], axis=1)
+            row = np.arange(len(rows))
             for model, at in zip(models, first):
                 distances = _distances(rows, model)
                 own = distances.argmin(axis=1)
-                np.add.at(total[:, : features + 1], at + own, wide)
-                total[:, features + 1] += np.bincount(at + own, weights=distances[np.arange(len(rows)), own], minlength=len(total))
+                here = slice(int(at), int(at) + len(model))
+                for j, values in enumerate([*rows.T, None, distances[row, own]]):
+                    total[here, j] += np.bincount(own, weights=values, minlength=len(model))
         used = np.flatnonzero(total[:, features])
         yield pa.RecordBatch.from_arrays([pa.array(used), *[pa.array(c) for c in total[used].T]], names=names)
 
     names = ["centre", *[f"s{i}" for i in range(features)], "n", "cost"]
     schema = "centre long, " + ", ".join(f"{n} double" for n in names[1:])
-    # As many rows come back as there are centres.
-    found = points.mapInArrow(add, schema).groupBy("centre").agg(*[F.sum(n).alias(n) for n in names[1:]]).collect()
+    found = points.mapInArrow(add, schema)
+    # As many rows come back as there are centres, or, of few tasks, from each: that saves a shuffle.
+    if points.rdd.getNumPartitions() > FEW_TASKS:
+        found = found.groupBy("centre").agg(*[F.sum(n).alias(n) for n in names[1:]])
     total = np.zeros((int(first[-1]), features + 2))
-    for r in found:
-        total[r["centre"]] = [r[n] for n in names[1:]]
+    for r in found.collect():
+        total[r["centre"]] += [r[n] for n in names[1:]]
     return [(t[:, features], t[:, :features], float(t[:, features + 1].sum())) for t in (total[a:b] for a, b in zip(first, first[1:]))]
 
 
@@ -239,8 +245,8 @@ def best_models(
     whose tasks return a sum per centre, whatever the number of starts.  Every start draws its
     candidates by distance, ROUNDS times, then weighs them, and each k begins from these.  A
     model is done when its centres' squared movement is below ``tolerance`` of the mean
-    variance; those of a k that cost at most CLOSE more than its best then go on until nothing
-    moves.  One that stops at
+    variance; those of a k that cost at most CLOSE more than its best then go on until hardly
+    anything moves.  One that stops at
     ``max_iterations`` is warned about.
     """
     size = len(features)
@@ -261,7 +267,7 @@ def best_models(
     costs, steps = _advance(points, models, limit, max_iterations, size)
     least = {k: min(costs[k, s] for s in range(restarts)) for k in ks}
     final = {(k, s): m for (k, s), m in models.items() if costs[k, s] <= (1 + CLOSE) * least[k]}
-    last, more = _advance(points, final, 0.0, max_iterations, size)
+    last, more = _advance(points, final, limit * FINE, max_iterations, size)
     out = {}
     for k in ks:
         s = min((last[name], name[1]) for name in final if name[0] == k)[1]
@@ -299,7 +305,11 @@ def fit_segments(
     restarts: int = SEGMENT_RESTARTS,
     id_column: str = "user_id",
 ) -> tuple[DataFrame, Segmentation]:
-    """Rows with ``segment`` (0 to k-1) and the model, the best of ``restarts`` K-Means."""
+    """Rows with ``segment`` (0 to k-1) and the model, the best of ``restarts`` K-Means.
+
+    The rows are written first, as they are read to fit and again to be placed.
+    """
+    rows = materialize(rows, "to-segment")
     with _kept(_points(rows, features, id_column), features) as points:
         model = best_models(points, [k], seed, restarts, features)[k]
     return rows.withColumn("segment", model.nearest()), model
@@ -376,7 +386,8 @@ def silhouettes(
             wide = np.concatenate([rows, (rows**2).sum(axis=1)[:, None], np.ones((len(rows), 1))], axis=1)
             for k, at in zip(names, first):
                 own = _distances(rows, models[k]).argmin(axis=1)
-                np.add.at(sums, at + own, wide)
+                for j, values in enumerate(wide.T):
+                    sums[int(at) : int(at) + len(models[k]), j] += np.bincount(own, weights=values, minlength=len(models[k]))
                 for c in np.unique(own):
                     mine = np.flatnonzero(own == c)
                     mine = mine[np.argsort(drawn[mine], kind="stable")[:partners]]

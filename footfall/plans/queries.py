@@ -312,7 +312,7 @@ def scale_parameters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def robust_scale(spark: SparkSession, folder: str) -> DataFrame:
-    base = rfm_base(spark, folder)
+    base = materialize(rfm_base(spark, folder), "base")
     return segments.robust_scale(base, segments.scale_parameters(base))
 
 
@@ -324,15 +324,17 @@ def k_sweep(spark: SparkSession, folder: str) -> DataFrame:
     return segments.k_sweep(robust_scale(spark, folder))
 
 
-def _quadrants(spark: SparkSession, folder: str) -> DataFrame:
+def _quadrants(spark: SparkSession, folder: str, base: DataFrame | None = None) -> DataFrame:
     """Segments by rule: recent or not, high spend or not.  Same in SQL, unlike clusters."""
     recent, spends = F.col("r_score") > 3, F.col("m_score") > 3
-    return rfm_scores(spark, folder).withColumn("segment", recent.cast("int") * 2 + spends.cast("int"))
+    scores = rfm.rfm_scores(rfm_base(spark, folder) if base is None else base)
+    return scores.withColumn("segment", recent.cast("int") * 2 + spends.cast("int"))
 
 
 def silhouette_of_quadrants(spark: SparkSession, folder: str) -> DataFrame:
-    rows = robust_scale(spark, folder)
-    quadrants = _quadrants(spark, folder).select("user_id", "segment")
+    base = materialize(rfm_base(spark, folder), "base")
+    rows = segments.robust_scale(base, segments.scale_parameters(base))
+    quadrants = _quadrants(spark, folder, base).select("user_id", "segment")
     return segments.squared_silhouette(rows.join(quadrants, "user_id"))
 
 
