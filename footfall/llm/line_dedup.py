@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from footfall.llm.common import ascii_lower, let, text_or_empty
+from footfall.llm.common import BROADCAST_ROWS, ascii_lower, let, quoted, text_or_empty
 from footfall.session import materialize
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -125,25 +125,41 @@ def drop_lines(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text
     """``doc_id, n_lines, n_dropped, kept``: texts after their bitmaps are applied.
 
     A NULL or empty text has one empty line.  A text that loses all lines becomes empty.
+
+    Bitmaps are written and counted.  If at most BROADCAST_ROWS documents have one, their ids
+    and hashes are broadcast, and only these documents are shuffled to meet them; the others
+    stay where they are.  Beyond that all documents are.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"), _row_hash(text).alias("row_hash"))
-    marked = rows.alias("r").join(
+    rows = docs.select(
+        F.col(quoted(doc_id)).alias("doc_id"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("text")
+    ).withColumn("row_hash", F.xxhash64("text"))
+    bitmaps = materialize(bitmaps, "bitmaps")
+    few = bitmaps.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"))
+    has = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_hash") == F.col("_hash"))
+    split = few.count() <= BROADCAST_ROWS
+    losing = rows.join(F.broadcast(few), has, "left_semi") if split else rows
+    marked = losing.alias("r").join(
         bitmaps.alias("b"),
         F.col("r.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("r.row_hash") == F.col("b.row_hash")),
         "left",
     )
     lines = lines_of(F.col("text"))
-    result = let(
-        lines,
-        lambda ls: F.when(
-            F.col("words").isNull(), F.struct(F.size(ls).alias("n"), F.lit(0).alias("gone"), F.col("text").alias("kept"))
-        ).otherwise(
-            let(
-                _kept(ls, F.col("words")),
-                lambda k: F.struct(F.size(ls).alias("n"), (F.size(ls) - F.size(k)).alias("gone"), F.array_join(k, "\n").alias("kept")),
-            )
-        ),
+
+    def whole(ls: Column) -> Column:
+        return F.struct(F.size(ls).alias("n"), F.lit(0).alias("gone"), F.col("text").alias("kept"))
+
+    def cut(ls: Column) -> Column:
+        return let(
+            _kept(ls, F.col("words")),
+            lambda k: F.struct(F.size(ls).alias("n"), (F.size(ls) - F.size(k)).alias("gone"), F.array_join(k, "\n").alias("kept")),
+        )
+
+    found = marked.select(
+        F.col("r.doc_id").alias("doc_id"), let(lines, lambda ls: F.when(F.col("words").isNull(), whole(ls)).otherwise(cut(ls))).alias("x")
     )
-    return marked.select(F.col("r.doc_id").alias(doc_id), result.alias("x")).select(
-        doc_id, F.col("x.n").cast("long").alias("n_lines"), F.col("x.gone").cast("long").alias("n_dropped"), F.col("x.kept").alias("kept")
+    if split:
+        same = rows.join(F.broadcast(few), has, "left_anti")
+        found = found.unionByName(same.select("doc_id", let(lines, whole).alias("x")))
+    return found.select(
+        F.col("doc_id").alias(doc_id), F.col("x.n").cast("long").alias("n_lines"), F.col("x.gone").cast("long").alias("n_dropped"), F.col("x.kept").alias("kept")
     )

@@ -21,7 +21,11 @@ ACCESS = r"AKIA[A-Z0-9]++"
 HEX = r"(?<![0-9a-f])[0-9a-f]{16,}+"
 # Besides: long runs of token characters, and blocks of private keys.
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
-KEY = r"-----BEGIN\x20[A-Z\x20]{0,40}+PRIVATE\x20KEY-----[A-Za-z0-9+/=\s]++-----END\x20"
+# These may begin with header lines, such as Proc-Type and DEK-Info, and an empty line.
+KEY = (
+    r"-----BEGIN\x20(?:[A-Z0-9]++\x20)*?PRIVATE\x20KEY-----"
+    r"(?:\s*+[A-Za-z0-9-]++:[^\n]*+\n)*+[A-Za-z0-9+/=\s]++-----END\x20"
+)
 
 # A value with more owners, or more repositories, is an example that was copied.
 MOST_OWNERS = 2
@@ -35,7 +39,7 @@ def value_of(match: Column) -> Column:
 
 
 def entropy(value: Column) -> Column:
-    """Bits per character, from the counts of its first 128 distinct characters."""
+    """Bits per character, from the counts of its distinct characters."""
     size = F.length(value).cast("double")
     letters = F.array_distinct(F.split(value, ""))
 

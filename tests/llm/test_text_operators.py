@@ -228,6 +228,34 @@ def test_personal_data_uses_no_python(spark, small_documents):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_private_keys_with_header_lines(spark):
+    body = "MIIEpAIBAAKCAQEA7v9q\nq8Xk2LmN0pQrStUv==\n"
+    heads = ["", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B2C\n\n", "Comment: made by hand: twice\n"]
+    texts = [f"see\n-----BEGIN {kind}PRIVATE KEY-----\n{head}{body}-----END {kind}PRIVATE KEY----- x" for head in heads for kind in ("", "RSA ", "EC ", "A VERY LONG KIND OF KEY THAT IS NOT USUAL AT ALL ")]
+    texts += ["-----BEGIN PUBLIC KEY-----\nabc\n-----END PUBLIC KEY-----", "-----BEGIN PRIVATE KEY----- never ends: " + "a: b\n" * 20_000]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, t string").repartition(3)
+    kind = secret_scan.KINDS.index("key")
+    found = {r["doc_id"]: [s for s in r["c"] if s["kind"] == kind] for r in frame.select("doc_id", secret_scan.candidates(F.col("t")).alias("c")).collect()}
+    for i, text in enumerate(texts):
+        assert len(found[i]) == (i < 12)
+        for s in found[i]:
+            assert text[s["start"] : s["end"]].startswith("-----BEGIN") and body in text[s["start"] : s["end"]]
+
+
+def test_owners_decide_in_a_corpus(spark):
+    """Values that look alike; only how many owners and repositories hold them differs."""
+    random = Random(3)
+    values = ["".join(random.choice("0123456789abcdefghijklmnopqrstuvwxyz") for _ in range(24)) + "7q" for _ in range(40)]
+    holders = {v: random.choice([1, 2, 3, 5, 9]) for v in values}
+    rows = [(f"token = '{v}' in use", f"o{k}", f"r{k}") for v, n in holders.items() for k in range(n) for _ in range(random.choice([1, 3]))]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, owner string, repo string").repartition(5)
+    for r in secret_scan.scan_secrets(frame, F.col("owner"), F.col("repo")).collect():
+        value = rows[r["doc_id"]][0].split("'")[1]
+        assigned = [s for s in r["found"] if s["kind"] == 0]
+        assert [s["owners"] for s in assigned] == [holders[value]]
+        assert [s["live"] for s in assigned] == [holders[value] <= secret_scan.MOST_OWNERS]
+
+
 def test_secrets_with_many_owners_are_examples(spark):
     example, own = "token = 'a1b2c3d4e5f6g7h8i9j0'", "token = 'z9y8x7w6v5u4t3s2r1q0'"
     rows = [(i, f"see {example}", f"o{i}", f"r{i}") for i in range(6)] + [(9, f"{own} and {own}", "o9", "r9"), (10, None, None, None)]
@@ -290,8 +318,9 @@ def test_one_document_per_component(docs):
     assert {i for i, _ in pairs(kept)} == stays & {i for i, _ in rows}
 
 
-@pytest.mark.parametrize("hot_lines", [None, 2])
-def test_line_dedup(docs, hot_lines):
+@pytest.mark.parametrize("hot_lines, broadcast", [(None, 500_000), (2, 500_000), (None, 0)])
+def test_line_dedup(docs, hot_lines, broadcast, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", broadcast)
     bitmaps = line_dedup.keep_bitmaps(docs, hot_lines=hot_lines)
     found = line_dedup.drop_lines(docs, bitmaps).collect()
     rows = pairs(docs)
