@@ -17,9 +17,11 @@ from footfall.session import materialize
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WIDTH = 10
-# At most so many (window, item) rows are broadcast at once, about 100 bytes each; a larger
-# benchmark is scanned for in several passes.
+# At most so many (window, item) rows are broadcast at once, about 100 bytes each; of a larger
+# benchmark those that occur are found first.
 MAX_WINDOWS = 500_000
+# So many hashes take the memory of a window with its item.
+HASHES_EACH = 12
 # Texts are worked on in pieces of about so many bytes, at some 50 bytes of memory for each.
 CHUNK_BYTES = 1 << 20
 
@@ -124,25 +126,28 @@ class Words:
         return b" ".join([self.data[self.starts[i] : self.ends[i]].tobytes() for i in spots])
 
 
-class WindowSet:
-    """Windows by length: a bit table and the sorted hashes; the words themselves decide."""
+def window_hashes(windows: list[bytes], powers: tuple[Powers, Powers]) -> dict[int, np.ndarray]:
+    """Hashes of windows, by their number of words."""
+    by_width: dict[int, list[bytes]] = {}
+    for window in windows:
+        by_width.setdefault(window.count(b" ") + 1, []).append(window)
+    found = {}
+    for width, same in sorted(by_width.items()):
+        offsets = np.concatenate([[0], np.cumsum([len(w) for w in same])])
+        words = Words(np.frombuffer(b"".join(same), np.uint8), offsets, powers)
+        found[width] = words.windows(words.window_sums(), width)[1]
+    return found
+
+
+class HashSet:
+    """Hashes of windows by their number of words: a bit table, and sorted, 8 bytes each."""
 
     TABLE_BITS = 20
 
-    def __init__(self, rows: Iterable[tuple[str | None, str]]):
-        self.items: dict[bytes, list[str | None]] = {}
-        for item, window in rows:
-            self.items.setdefault(window.encode(), []).append(item)
+    def __init__(self, by_width: dict[int, np.ndarray]):
         self.powers = (Powers(_BYTE_BASE), Powers(_WORD_BASE))
-        by_width: dict[int, list[bytes]] = {}
-        for window in self.items:
-            by_width.setdefault(window.count(b" ") + 1, []).append(window)
         self.hashes = {}
-        for width, windows in sorted(by_width.items()):
-            sizes = np.array([len(w) for w in windows])
-            offsets = np.concatenate([[0], np.cumsum(sizes)])
-            words = Words(np.frombuffer(b"".join(windows), np.uint8), offsets, self.powers)
-            _, values = words.windows(words.window_sums(), width)
+        for width, values in by_width.items():
             table = np.zeros(1 << self.TABLE_BITS, dtype=bool)
             table[self.slot(values)] = True
             self.hashes[width] = table, np.unique(values)
@@ -150,6 +155,30 @@ class WindowSet:
     def slot(self, values: np.ndarray) -> np.ndarray:
         return (values >> np.uint64(64 - self.TABLE_BITS)).astype(np.int64)
 
+    def spots(self, words: Words):
+        """Words per window, and the first words of the windows whose hash is known."""
+        sums = words.window_sums()
+        for width, (table, known) in self.hashes.items():
+            spots, values = words.windows(sums, width)
+            likely = np.flatnonzero(table[self.slot(values)])
+            at = np.minimum(np.searchsorted(known, values[likely]), len(known) - 1)
+            yield width, spots[likely[known[at] == values[likely]]].tolist()
+
+    def phrases(self, data: np.ndarray, offsets: np.ndarray) -> set[bytes]:
+        """The windows of the texts whose hash is known."""
+        words = Words(data, offsets, self.powers)
+        return {words.phrase(first, width) for width, spots in self.spots(words) for first in spots}
+
+
+class WindowSet(HashSet):
+    """Windows with their items; hashes find the places, the words themselves decide."""
+
+    def __init__(self, rows: Iterable[tuple[str | None, str]]):
+        self.items: dict[bytes, list[str | None]] = {}
+        for item, window in rows:
+            self.items.setdefault(window.encode(), []).append(item)
+        super().__init__(window_hashes(list(self.items), (Powers(_BYTE_BASE), Powers(_WORD_BASE))))
+
     def find(self, data: np.ndarray, offsets: np.ndarray) -> list[dict]:
         """For each text its words, the runs of words that are hit, and the items."""
         words = Words(data, offsets, self.powers)
@@ -157,12 +186,8 @@ class WindowSet:
         firsts = np.searchsorted(words.text, np.arange(n_texts + 1))
         hit = np.zeros(len(words.starts) + 1, dtype=np.int64)
         items: dict[int, set] = {}
-        sums = words.window_sums()
-        for width, (table, known) in self.hashes.items():
-            spots, values = words.windows(sums, width)
-            likely = np.flatnonzero(table[self.slot(values)])
-            likely = likely[np.isin(values[likely], known)]
-            for first in spots[likely].tolist():
+        for width, spots in self.spots(words):
+            for first in spots:
                 found = self.items.get(words.phrase(first, width))
                 if found is not None:
                     hit[first] += 1
@@ -209,6 +234,47 @@ def chunks(texts: pa.Array, most: int = CHUNK_BYTES):
         first = after
 
 
+def occurring(docs: DataFrame, windows: DataFrame, text: str, most: int) -> DataFrame:
+    """Those of ``item, window`` whose window is in any text.
+
+    What is broadcast is the hashes of at most ``most`` windows, 8 bytes each; for more the texts
+    are read again.  Nothing is written of them but the windows found: tasks send each once
+    a batch, and a join with the windows decides.
+    """
+    spark = docs.sparkSession
+    hashed = T.StructType([T.StructField("width", T.IntegerType()), T.StructField("value", T.LongType())])
+    phrase = T.StructType([T.StructField("phrase", T.StringType())])
+
+    def hashes(batches):
+        powers = (Powers(_BYTE_BASE), Powers(_WORD_BASE))
+        for batch in batches:
+            found = window_hashes([w.encode() for w in batch.column("window").to_pylist()], powers)
+            for width, values in found.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(values), width, np.int32)), pa.array(values.view(np.int64))], names=hashed.names
+                )
+
+    distinct = materialize(windows.select("window").distinct().mapInArrow(hashes, hashed).distinct(), "window-hashes")
+    passes = max(1, -(-distinct.count() // most))
+    found = None
+    for number in range(passes):
+        rows = distinct.where(F.pmod(F.xxhash64("value"), F.lit(passes)) == number).toArrow()
+        widths, values = (rows.column(c).to_numpy() for c in ("width", "value"))
+        shared = spark.sparkContext.broadcast(HashSet({int(w): values[widths == w].view(np.uint64) for w in np.unique(widths)}))
+
+        def search(batches, shared=shared):
+            for batch in batches:
+                here: set[bytes] = set()
+                for data, offsets in chunks(batch.column("text")):
+                    here |= shared.value.phrases(data, offsets)
+                if here:
+                    yield pa.RecordBatch.from_arrays([pa.array([p.decode() for p in here])], names=phrase.names)
+
+        one = docs.select(F.col(quoted(text)).alias("text")).mapInArrow(search, phrase)
+        found = one if found is None else found.unionByName(one)
+    return windows.join(found.distinct(), F.col("window") == F.col("phrase"), "left_semi")
+
+
 def with_hits(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -225,12 +291,16 @@ def with_hits(
     ``hits`` holds ``n_words``; ``runs``, the stretches of words inside any occurrence of a
     window, as word numbers (``first``, ``after``) and code points (``start``, ``end``); and
     ``items``, the sorted names of the items with occurring windows.  A NULL text has no
-    words.  The benchmark is counted first: one pass broadcasts at most ``max_windows`` of its
-    windows, further ones follow in further passes, with the same result.
+    words.  The benchmark is counted first: windows with their items are broadcast if they are
+    at most ``max_windows``.  Of a larger benchmark the texts are first searched for hashes,
+    which tells the windows that occur at all; these are broadcast, and only if they are still
+    too many they follow in several passes.  The result is the same.
     """
     keep = docs.columns if keep is None else keep
     spark = docs.sparkSession
     windows = materialize(benchmark_windows(benchmark, item, item_text, width), "windows")
+    if windows.count() > max_windows:
+        windows = materialize(occurring(docs, windows, text, max_windows * HASHES_EACH), "occurring")
     passes = max(1, -(-windows.count() // max_windows))
     block = F.pmod(F.xxhash64("window", "item"), F.lit(passes))
     field = T.StructField(hits, HITS)

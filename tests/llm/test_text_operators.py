@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from footfall.llm import common, decontaminate, exact_dedup, line_dedup, pii, secret_scan, simhash, spans
 from footfall.llm.common import let
 from footfall.llm.queries import QUERIES, op2_personal_data, op6_secrets
+from footfall.session import scratch_scope
 from tests.llm import brute
 from tests.llm.conftest import SMALL
 
@@ -70,6 +71,23 @@ def test_decontamination_of_empty_tables(docs, items):
     assert decontaminate.decontaminate(docs.limit(0), items).count() == 0
 
 
+def test_a_large_benchmark_copies_no_text(spark, docs, items):
+    """Three times as many windows as are broadcast: those that occur are found by their hashes."""
+    windows = decontaminate.benchmark_windows(items)
+    most = windows.count() // 3
+    with scratch_scope(spark) as written:
+        found = decontaminate.with_hits(docs, items, hits="found", keep=["doc_id"], max_windows=most)
+        rows = [tuple(r) for r in found.collect()]
+        assert not any("text" in spark.read.parquet(p).columns for p in written)
+        occurring = next(spark.read.parquet(p).collect() for p in written if "occurring" in p)
+    assert rows == [tuple(r) for r in decontaminate.with_hits(docs, items, hits="found", keep=["doc_id"]).collect()]
+    texts = [" " + " ".join(brute.words(t)) + " " for _, t in pairs(docs)]
+    there = {(r["item"], r["window"]) for r in windows.collect() if any(f" {r['window']} " in t for t in texts)}
+    assert {(r["item"], r["window"]) for r in occurring} == there
+    several = decontaminate.occurring(docs, windows, "text", 100).collect()
+    assert {(r["item"], r["window"]) for r in several} == there
+
+
 def test_strict_personal_data(docs):
     found = docs.select("text", spans.of_kinds(pii.STRICT, F.coalesce("text", F.lit(""))).alias("s")).collect()
     for row in found:
