@@ -208,6 +208,22 @@ QUERIES = [
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+# CRC-32 of a string of ASCII characters, bit by bit.
+_CRC32 = (
+    "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))), "
+    "lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), "
+    "lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), CAST(4294967295 AS BIGINT))"
+)
+
+_USER, _ASSISTANT = "'user'", "'assistant'"
+
+
+def _moved(state: str, cost: int | str, edit: str, role: str | None = None, text: str = "''") -> str:
+    """SQL of a state after an edit: cost, letters, and lines; NULL if the state is."""
+    line = f" || chr(10) || {role} || ':' || {text}" if role else ""
+    return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 't': {state}.t || '{edit}', 'l': {state}.l{line}}} END"
+
+
 ORACLE_SQL = {
     "op1_decontamination": rf"""
 WITH item_words AS (
@@ -302,5 +318,94 @@ posterior AS (SELECT host, bad + s * prior AS a, n - bad + s * (1 - prior) AS b
 SELECT page_id, host, path, rule,
   coalesce(ruled.verdict, CASE WHEN a / (a + b) - 1.645 * sqrt(a * b / ((a + b) ^ 2 * (a + b + 1))) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN ruled USING (page_id) LEFT JOIN posterior USING (host)
+""",
+    "op11_conversation_repair": rf"""
+WITH RECURSIVE shown AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_CRC32.format("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind
+  FROM conversations),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM shown WHERE kind <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, copy) AS pos,
+    trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
+  FROM damaged),
+marked AS (
+  SELECT *, left(role, 1) AS initial, bare = '' AS blank,
+    bare <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS duplicate,
+    right(bare, 1) NOT IN ('.', '!', '?') AS cut,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) || left(role, 1) AS pair
+  FROM placed),
+ruled AS (
+  SELECT *, blank OR duplicate AS doomed, CASE WHEN cut AND NOT blank AND NOT duplicate THEN 5 ELSE 0 END AS extra FROM marked),
+solved AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS pos, {{'c': 0, 't': '', 'l': ''}} AS s0, CAST(NULL AS STRUCT(c INTEGER, t VARCHAR, l VARCHAR)) AS s1,
+    CAST(NULL AS STRUCT(c INTEGER, t VARCHAR, l VARCHAR)) AS s2, CAST(NULL AS STRUCT(c INTEGER, t VARCHAR, l VARCHAR)) AS s3
+  FROM (SELECT DISTINCT conv_id FROM placed)
+  UNION ALL
+  SELECT conv_id, pos,
+    list_min([{_moved("e0", 2, "D")}]),
+    list_min([{_moved("e1", 2, "D")}, CASE WHEN NOT doomed AND initial = 's' THEN {_moved("e0", "extra", "K", "role", "text")} END]),
+    list_min([{_moved("e2", 2, "D")}, {", ".join(f"CASE WHEN NOT doomed AND initial = 'u' THEN {_moved(e, 'extra', 'K', 'role', 'text')} END, CASE WHEN NOT doomed THEN {_moved(e, '1 + extra', 'R', _USER, 'text')} END" for e in ("e0", "e1", "e3"))}]),
+    list_min([{_moved("e3", 2, "D")}, CASE WHEN NOT doomed AND initial = 'a' THEN {_moved("e2", "extra", "K", "role", "text")} END,
+      CASE WHEN NOT doomed THEN {_moved("e2", "1 + extra", "R", _ASSISTANT, "text")} END])
+  FROM (
+    SELECT *, list_min([s3, {_moved("e2", 5, "I", _ASSISTANT, "''")}]) AS e3
+    FROM (
+      SELECT r.conv_id, r.pos, role, text, initial, doomed, extra, s3, s0 AS e0, s1 AS e1,
+        list_min([s2, {", ".join(_moved(f"s{i}", 5, "I", _USER, "''") for i in (0, 1, 3))}]) AS e2
+      FROM solved s JOIN ruled r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.pos = s.pos + 1))),
+ended AS (
+  SELECT conv_id, list_min([s0, s3, {_moved("e2", 5, "I", _ASSISTANT, "''")}]) AS best
+  FROM (
+    SELECT conv_id, s0, s3, list_min([s2, {", ".join(_moved(f"s{i}", 5, "I", _USER, "''") for i in (0, 1, 3))}]) AS e2
+    FROM solved QUALIFY pos = max(pos) OVER (PARTITION BY conv_id))),
+faults AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (extra = 5) AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM ruled GROUP BY conv_id)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(best.c, 0) AS BIGINT) AS cost,
+  coalesce(best.t, '') AS audit, sha256(coalesce(substr(best.l, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i
+LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM i.conv_id
+""",
+    "op12_prefix_trie": rf"""
+WITH t AS (
+  SELECT conv_id AS c, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS token,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos
+  FROM conversations),
+ids AS (SELECT c, {_CRC32.format("CAST(c AS VARCHAR)")} % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+heads AS (SELECT i.c, t.pos, token, words FROM ids i JOIN t ON t.c = i.c - i.c % 20 AND t.pos < i.h),
+sizes AS (SELECT c, h, (SELECT count(*) FROM heads WHERE heads.c = ids.c) AS n FROM ids),
+seq AS (
+  SELECT * FROM heads UNION ALL
+  SELECT t.c, t.pos - h + n, token, words FROM t JOIN sizes USING (c) WHERE t.pos >= h),
+lists AS (
+  SELECT c, coalesce(list(token ORDER BY pos) FILTER (pos IS NOT NULL), []) AS s, coalesce(list(words ORDER BY pos) FILTER (pos IS NOT NULL), []) AS w
+  FROM ids LEFT JOIN seq USING (c) GROUP BY c),
+members AS (
+  SELECT c, d, array_to_string(list_slice(s, 1, d), '') AS key, coalesce(w[d], 0) AS words, d = len(s) AS ends
+  FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM lists)),
+nodes AS (
+  SELECT d, key, min(c) AS conv_id, count(*) AS n, any_value(words) AS words,
+    coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '') AS ends
+  FROM members GROUP BY d, key),
+children AS (SELECT left(key, CAST(64 * (d - 1) AS BIGINT)) AS key, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+spread AS (
+  SELECT left(key, CAST(64 * up AS BIGINT)) AS key, up AS d, sum((n - 1) * words) AS saved, count(*) FILTER (leaf) AS leaves
+  FROM (
+    SELECT n.key, n.n, n.words, c.key IS NULL AS leaf, unnest(range(0, n.d + 1)) AS up
+    FROM nodes n LEFT JOIN children c ON c.key = n.key AND c.d = n.d)
+  GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(c.n_children, 0) AS n_children,
+  s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n JOIN spread s ON s.key = n.key AND s.d = n.d LEFT JOIN children c ON c.key = n.key AND c.d = n.d
+LEFT JOIN nodes p ON p.d = n.d - 1 AND p.key = left(n.key, CAST(64 * greatest(n.d - 1, 0) AS BIGINT))
 """,
 }
