@@ -573,3 +573,4 @@ SELECT "check", violations, violations = 0 AS passed FROM found""",
 ORACLE_SQL["quality_checks_observed"] = ORACLE_SQL["quality_checks"] + """
 WHERE "check" IN ('session is unique', 'session reaches a stage', 'first event opens session 1', 'long gap opens a session',
                   'short gap stays in session', 'sessions equal boundaries')"""
+ORACLE_SQL["sessionize_streaming_in_slices"] = ORACLE_SQL["sessionize_streaming"]

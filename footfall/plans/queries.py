@@ -31,6 +31,7 @@ AS_OF = date(2001, 8, 1)
 SIGNUP_CUTOFF = date(1995, 6, 1)
 LONG_GAP = timedelta(hours=12)
 HOT_USER_EVENTS = 60
+STREAM_SLICES = timedelta(days=2)
 MARKET = ("market",)
 PRIORITY = "1-URGENT"
 SPLIT_OF_FIVE = {"control": 0.4, "wording": 0.2, "colour": 0.2, "price": 0.1, "layout": 0.1}
@@ -130,19 +131,28 @@ def session_summary(spark: SparkSession, folder: str) -> DataFrame:
     return sessions.session_summary(_visits(spark, folder), "visitor_id")
 
 
-def sessionize_streaming(spark: SparkSession, folder: str) -> DataFrame:
+def _streamed(spark: SparkSession, folder: str, **options) -> DataFrame:
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
 
     def arriving(own: SparkSession) -> DataFrame:
         stream = own.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
         return normalise(stream).withColumn("ts", F.col("ts").cast("timestamp"))
 
-    run = run_available(spark, arriving, "stream-sessions", ts="ts", gap=LONG_GAP)
+    run = run_available(spark, arriving, "stream-sessions", ts="ts", gap=LONG_GAP, **options)
     if run.late_rows:
         raise RuntimeError(f"{run.late_rows} rows came too late for their session")
     return run.sessions
 
 
+def sessionize_streaming(spark: SparkSession, folder: str) -> DataFrame:
+    return _streamed(spark, folder)
+
+
+def sessionize_streaming_in_slices(spark: SparkSession, folder: str) -> DataFrame:
+    """State by user and two days; sessions that cross a border are stitched."""
+    return _streamed(spark, folder, slices=STREAM_SLICES)
+
+
 def resolve_identity(spark: SparkSession, folder: str) -> DataFrame:
     return identity.resolve_identity(shop.events(spark, folder))
 
@@ -434,6 +444,7 @@ QUERIES: tuple[Query, ...] = (
     sessionize_hot_users,
     session_summary,
     sessionize_streaming,
+    sessionize_streaming_in_slices,
     resolve_identity,
     mixed_sessions,
     session_identity_audit,

@@ -152,6 +152,44 @@ def test_streamed_sessions_equal_batch(spark, skewed, tmp_path):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, batch.collect()))
 
 
+@pytest.mark.parametrize("minutes", [61, 180, 60 * 24 * 7])
+def test_slices_do_not_show(spark, skewed, minutes):
+    """Parts of sessions end at borders; stitched they are the sessions."""
+    timed = skewed.where(F.col("created_at").isNotNull())
+    slices = timedelta(minutes=minutes)
+    parts = sessionize_stream(timed, slices=slices)
+    whole = sessionize_stream(timed)
+    assert sorted(map(tuple, streamed.stitched(parts, slices).collect())) == sorted(map(tuple, whole.collect()))
+    if minutes < 200:
+        assert parts.count() > whole.count()
+        # The busy user, who has most events, is spread over many keys of the state.
+        busy = parts.where("user_id = 0").groupBy("_slice").agg(F.sum("events").alias("n")).collect()
+        assert len(busy) > 20 and max(r["n"] for r in busy) < timed.where("user_id = 0").count() / 5
+
+
+def test_parts_at_borders(spark):
+    # Gaps of exactly 30 minutes and a little more, across the border at 4 hours and in a slice.
+    moments = [10, 40, 200, 225, 255, 285, 315, 316, 347, 430, 479, 480, 500, 719, 749, 779]
+    events = spark.createDataFrame([(i, u, at(m)) for i, m in enumerate(moments) for u in (1, 2)], SCHEMA)
+    slices = timedelta(hours=4)
+    found = streamed.stitched(sessionize_stream(events, slices=slices), slices).collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, sessionize_stream(events).collect()))
+    with pytest.raises(ValueError):
+        streamed.stitched(sessionize_stream(events, slices=slices), timedelta(hours=1))
+    empty = sessionize_stream(events.limit(0), slices=slices)
+    assert streamed.stitched(empty, slices).count() == 0
+
+
+def test_streamed_slices_equal_batch(spark, skewed, tmp_path):
+    timed = skewed.where(F.col("created_at").isNotNull())
+    arriving = arrive(spark, timed, str(tmp_path / "arrivals"))
+    run = run_available(spark, arriving, "test-slices", lateness=timedelta(days=2), state_partitions=3, slices=timedelta(hours=3))
+    assert run.late_rows == 0
+    assert sorted(map(tuple, run.sessions.collect())) == sorted(map(tuple, sessionize_stream(timed).collect()))
+    with pytest.raises(ValueError):
+        run_available(spark, arriving, "test-open-slices", close=False, slices=timedelta(hours=3))
+
+
 def test_late_rows_are_counted(spark, tmp_path):
     # Lateness is judged by the watermark of the batch before the last.
     rows = [[(1, 1, at(0)), (2, 1, at(3000))], [(3, 1, at(3001))], [(4, 2, at(1)), (5, 1, at(3002))]]
