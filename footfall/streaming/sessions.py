@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from footfall.fixed_values import SESSION_GAP
 from footfall.functions.dates import in_micros
@@ -14,7 +15,9 @@ from footfall.session import materialize, new_scratch_path
 
 # Later than any event; passing it closes every session.
 CLOSING_TIME = datetime(9999, 1, 1)
-KEPT_PROGRESS = 10_000
+# Progress is read every few seconds; Spark keeps that of so many batches for it.
+KEPT_PROGRESS = 1_000
+POLL_SECONDS = 5
 
 
 def _interval(span: timedelta) -> str:
@@ -106,6 +109,26 @@ class StreamedSessions:
     late_rows: int
 
 
+def _late_rows(query: StreamingQuery) -> int:
+    """Waits for the query to end and adds up the late rows of all its batches on the way.
+
+    Progress that is gone before it was read would go uncounted, which is an error: more than
+    KEPT_PROGRESS batches in POLL_SECONDS.
+    """
+    late, last, ended = 0, None, False
+    while not ended:
+        ended = query.awaitTermination(POLL_SECONDS)
+        progress = query.recentProgress
+        marks = [(p["batchId"], p["timestamp"]) for p in progress]
+        known = marks.index(last) + 1 if last in marks else 0
+        # Spark keeps one less than it is told.
+        if not known and len(marks) >= KEPT_PROGRESS - 1:
+            raise RuntimeError(f"late rows cannot be counted over {KEPT_PROGRESS - 1} batches or more in {POLL_SECONDS} seconds")
+        late += sum(s["numRowsDroppedByWatermark"] for p in progress[known:] for s in p["stateOperators"])
+        last = marks[-1] if marks else None
+    return late
+
+
 def run_available(
     spark: SparkSession,
     read_events: Callable[[SparkSession], DataFrame],
@@ -162,12 +185,7 @@ def run_available(
             .trigger(availableNow=True)
             .start()
         )
-        query.awaitTermination()
-        progress = query.recentProgress
-        # Late rows of batches whose progress is gone would go uncounted; Spark keeps one less than it is told.
-        if len(progress) >= KEPT_PROGRESS - 1:
-            raise RuntimeError(f"late rows cannot be counted over {KEPT_PROGRESS - 1} batches or more")
-        return sum(s["numRowsDroppedByWatermark"] for p in progress for s in p["stateOperators"])
+        return _late_rows(query)
 
     late = process()
     if close:

@@ -206,8 +206,26 @@ def test_late_rows_are_counted(spark, tmp_path):
     assert run.sessions.agg(F.sum("events")).first()[0] == 4
 
 
-def test_late_rows_of_more_batches_than_progress_fail(spark, tmp_path, monkeypatch):
+def test_late_rows_of_more_batches_than_progress_is_kept(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streamed, "KEPT_PROGRESS", 5)
+    monkeypatch.setattr(streamed, "POLL_SECONDS", 0.02)
+    folder = str(tmp_path / "long")
+    # The two late rows come early, and their progress is gone at the end.
+    for i, minute in enumerate([0, 3000, 3001, 1, 2, 3002, 3003, 3004, 3005, 3006, 3007, 3008]):
+        spark.createDataFrame([(i, 1, at(minute))], SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    schema = spark.createDataFrame([], SCHEMA).schema
+
+    def arriving(own):
+        return own.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+    run = run_available(spark, arriving, "long", lateness=timedelta(minutes=5))
+    assert run.late_rows == 2
+    assert run.sessions.agg(F.sum("events")).first()[0] == 10
+
+
+def test_late_rows_of_unread_progress_fail(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(streamed, "KEPT_PROGRESS", 4)
+    monkeypatch.setattr(streamed, "POLL_SECONDS", 600)
     folder = str(tmp_path / "many")
     for i in range(6):
         spark.createDataFrame([(i, 1, at(i))], SCHEMA).coalesce(1).write.mode("append").parquet(folder)
