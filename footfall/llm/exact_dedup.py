@@ -14,6 +14,8 @@ from footfall.llm.common import quoted, rows_that_stay, text_or_empty
 from footfall.session import materialize
 
 SALTS = 32
+# A class is hot if it has more than this fraction of all rows, so at most as many are hot.
+HOT_CLASSES = 10_000
 
 
 def sha256(text: Column) -> Column:
@@ -67,20 +69,29 @@ def exact_duplicates(
     text: str = "text",
     digest: Callable[[Column], Column] = sha256,
     salts: int = SALTS,
+    hot_classes: int = HOT_CLASSES,
 ) -> DataFrame:
     """``doc_id, digest, keep_id, group_size, kept`` for every row, dropped ones too.
 
     ``kept`` is true where the row's id is the largest of its class.  Rows that repeat an id
     with its text count towards ``group_size`` and are marked alike.  NULL ids rank below all
     others; a class of NULL ids only keeps them.
+
+    Rows of classes with more than one ``hot_classes``-th of all rows meet their class where
+    they are read, as at most ``hot_classes`` classes are broadcast; no text has its rows
+    gathered in one task.  All others are shuffled by digest.
     """
     classes = copy_classes(docs, doc_id, text, digest, salts)
     shared = classes.where(F.col("content").isNotNull())
     single = classes.where(F.col("content").isNull()).drop("content")
     content = text_or_empty(text)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), digest(content).alias("digest"))
-    # Plain shuffles of narrow rows on both sides: a frequent digest is split at run time.
-    found = rows.join(single, "digest").select("doc_id", "digest", "keep_id", "group_size")
+    rows = materialize(docs.select(F.col(doc_id).alias("doc_id"), digest(content).alias("digest")), "digests")
+    n_rows = single.agg(F.sum("group_size")).first()[0] or 0
+    is_hot = F.col("group_size") * hot_classes > n_rows
+    hot = single.where(is_hot)
+    cold_rows = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti")
+    found = rows.join(F.broadcast(hot), "digest").unionByName(cold_rows.join(single.where(~is_hot), "digest"))
+    found = found.select("doc_id", "digest", "keep_id", "group_size")
     if shared.take(1):
         whole = docs.select(F.col(doc_id).alias("doc_id"), digest(content).alias("digest"), content.alias("content"))
         found = found.unionByName(

@@ -362,9 +362,9 @@ def weak(text):
     return F.unhex(F.md5((F.length(text) % 5).cast("string")))
 
 
-@pytest.mark.parametrize("digest", [exact_dedup.sha256, weak])
-def test_exact_duplicates(docs, digest):
-    found = exact_dedup.exact_duplicates(docs, digest=digest, salts=3).collect()
+@pytest.mark.parametrize("digest, hot_classes", [(exact_dedup.sha256, 10_000), (exact_dedup.sha256, 12), (exact_dedup.sha256, 1), (weak, 12)])
+def test_exact_duplicates(docs, digest, hot_classes):
+    found = exact_dedup.exact_duplicates(docs, digest=digest, salts=3, hot_classes=hot_classes).collect()
     groups = defaultdict(list)
     rows = [(i, t or "") for i, t in pairs(docs)]
     for i, text in rows:
@@ -373,6 +373,22 @@ def test_exact_duplicates(docs, digest):
     assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in found) == wanted
 
 
+def test_rows_of_a_hot_class_meet_it_where_they_are_read(spark):
+    rows = [(i, "same") for i in range(300)] + [(i, f"text {i}") for i in range(300, 700)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = exact_dedup.exact_duplicates(frame(spark, rows), hot_classes=10)
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        classes = found.groupBy("keep_id", "group_size", "kept").count().where("group_size > 1").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert Counter(map(tuple, classes)) == Counter({(299, 300, True, 1): 1, (299, 300, False, 299): 1})
+    joins = [line.split("Join")[0].split()[-1] + ("Anti" if "LeftAnti" in line else "") for line in plan.splitlines() if "Join [" in line]
+    # Hot rows meet their class; the rest leaves the hot ones out, and is shuffled.
+    assert joins == ["BroadcastHash", "SortMerge", "BroadcastHashAnti"]
+
+
 def test_one_document_per_class(docs):
     kept = exact_dedup.one_per_class(docs)
     rows = [(i, t or "") for i, t in pairs(docs)]
