@@ -39,7 +39,14 @@ TOLERANCE = 1e-4
 ROUNDS = 3
 CLOSE = 0.02
 SLAB = 2048
+NARROW_SLAB = 256
 FEW_TASKS = 64
+# Tasks of an iteration for each core: rows are dealt evenly, as every iteration waits for the
+# last task.
+TASKS_A_CORE = 2
+# How far a squared distance by a matrix product may be off, relative to the squares it is made
+# of; this is many times what rounding can do.
+ROUNDING = 1e-13
 # The squared movement, relative to that at which a model is done, at which the best are.
 FINE = 1e-6
 # Rows that stand for a segment in the Euclidean silhouette, in so many groups.
@@ -129,12 +136,28 @@ def _distances(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
 def _batches(batches: Iterator[pa.RecordBatch], features: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Hashes and points of Arrow batches, in pieces of at most SLAB rows."""
     for batch in batches:
+        if "_block" in batch.schema.names:
+            for hashes, block in zip(batch.column("_h"), batch.column("_block")):
+                yield np.frombuffer(hashes.as_buffer(), np.uint64), np.frombuffer(block.as_buffer(), np.float64).reshape(-1, features)
+            continue
         for first in range(0, batch.num_rows, SLAB):
             part = batch.slice(first, SLAB)
             columns = [part.column(f"_{i}").to_numpy(zero_copy_only=False) for i in range(features)]
             yield part.column("_h").to_numpy(zero_copy_only=False).view(np.uint64), np.stack(columns, axis=1)
 
 
+def _packed(points: DataFrame, features: int) -> DataFrame:
+    """``_h, _block, _missing``: SLAB points a row, as bytes, which go to the tasks' Python as
+    they are, and whether a feature is missing in these."""
+
+    def pack(batches):
+        for hashes, rows in _batches(batches, features):
+            columns = [pa.array([hashes.tobytes()]), pa.array([rows.tobytes()]), pa.array([bool(np.isnan(rows).any())])]
+            yield pa.RecordBatch.from_arrays(columns, names=["_h", "_block", "_missing"])
+
+    return points.mapInArrow(pack, "_h binary, _block binary, _missing boolean")
+
+
 def _uniform(hashes: np.ndarray, start: int, turn: int) -> np.ndarray:
     """Numbers in (0, 1) drawn from the rows' hashes, anew for every start and turn."""
     mixed = hashes ^ np.uint64(((start * 1_000_003 + turn) * 0x9E3779B97F4A7C15) % 2**64)
@@ -157,7 +180,9 @@ def _draw(points: DataFrame, chosen: list[np.ndarray], turn: int, most: int, fea
                 far = _distances(rows, centers).min(axis=1) if len(centers) else np.ones(len(rows))
                 with np.errstate(divide="ignore"):
                     keys = -np.log(_uniform(hashes, start, turn)) / far
-                for i in np.argsort(keys, kind="stable")[:most]:
+                # Most rows are behind those found so far.
+                near = np.flatnonzero(keys <= best[start][-1][0]) if len(best[start]) == most else np.arange(len(rows))
+                for i in near[np.argsort(keys[near], kind="stable")[:most]]:
                     if np.isfinite(keys[i]):
                         best[start].append((float(keys[i]), *rows[i].tolist()))
                 best[start] = sorted(best[start])[:most]
@@ -176,22 +201,51 @@ def _draw(points: DataFrame, chosen: list[np.ndarray], turn: int, most: int, fea
     return picked
 
 
+def _placed(rows: np.ndarray, models: list[np.ndarray]) -> Iterator[tuple[np.ndarray, float]]:
+    """Per model the sums of the rows nearest to each centre with their number, and the cost.
+
+    One matrix product gives the distances to the centres of all models, less a term that is
+    the same for all.  Where it cannot tell which centre is nearest, ``_distances`` does, so a
+    row is placed as by these; the cost is made of differences, too.
+    """
+    across = np.concatenate([rows.T, np.ones((1, len(rows)))])
+    squares = (rows**2).sum(axis=1)
+    every = np.concatenate(models)
+    lengths = (every**2).sum(axis=1)
+    with np.errstate(invalid="ignore", over="ignore"):
+        # |x - c|² less |x|²
+        far = np.concatenate([-2 * every, lengths[:, None]], axis=1) @ across
+        at = 0
+        for model in models:
+            here = slice(at, at := at + len(model))
+            reach = ROUNDING * (squares + 2 * lengths[here].max())
+            own = (far[here] <= far[here].min(axis=0) + reach).astype(np.float64)
+            # The centre of each row, and how many may be it.
+            *centre, number = np.concatenate([model.T, np.ones((1, len(model)))]) @ own
+            centre = np.array(centre)
+            unsure = np.flatnonzero(number != 1)
+            if len(unsure):
+                nearest = _distances(rows[unsure], model).argmin(axis=1)
+                own[:, unsure] = 0
+                own[nearest, unsure] = 1
+                centre[:, unsure] = model[nearest].T
+            apart = across[:-1] - centre
+            yield (across @ own.T).T, float(np.vdot(apart, apart))
+
+
 def _sums(points: DataFrame, models: list[np.ndarray], features: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
     """Per model the rows nearest to each centre, their sums, and the cost: one job for all."""
     sizes = [len(m) for m in models]
     first = np.concatenate([[0], np.cumsum(sizes)])
 
     def add(batches):
+        # A model's cost stands at its first centre.
         total = np.zeros((int(first[-1]), features + 2))
         for _, rows in _batches(batches, features):
-            row = np.arange(len(rows))
-            for model, at in zip(models, first):
-                distances = _distances(rows, model)
-                own = distances.argmin(axis=1)
-                here = slice(int(at), int(at) + len(model))
-                for j, values in enumerate([*rows.T, None, distances[row, own]]):
-                    total[here, j] += np.bincount(own, weights=values, minlength=len(model))
-        used = np.flatnonzero(total[:, features])
+            for at, (sums, cost) in zip(first, _placed(rows, models)):
+                total[int(at) : int(at) + len(sums), :-1] += sums
+                total[int(at), -1] += cost
+        used = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used), *[pa.array(c) for c in total[used].T]], names=names)
 
     names = ["centre", *[f"s{i}" for i in range(features)], "n", "cost"]
@@ -317,15 +371,18 @@ def fit_segments(
 
 @contextmanager
 def _kept(rows: DataFrame, features: Sequence[str]) -> Iterator[DataFrame]:
-    """Iterations read the points dozens of times: a narrow copy of them is written, and its
-    blocks are kept while fitting.  A lost executor costs a re-read.
+    """Iterations read the points dozens of times: a narrow copy of them is written, dealt
+    evenly to TASKS_A_CORE tasks of each core at least, and its blocks are kept while fitting.
+    A lost executor costs a re-read.
 
     A missing feature is an error, as there is no distance to it.
     """
-    kept = materialize(rows, "points").persist()
+    narrow = materialize(rows, "points")
+    tasks = TASKS_A_CORE * rows.sparkSession.sparkContext.defaultParallelism
+    kept = _packed(narrow.repartition(max(tasks, narrow.rdd.getNumPartitions())), len(features)).persist()
     try:
-        missing = reduce(lambda a, b: a | b, [F.col(f"_{i}").isNull() | F.isnan(f"_{i}") for i in range(len(features))])
-        if kept.where(missing).take(1):
+        # Over all rows, so that one job keeps every block, spread over the executors.
+        if kept.agg(F.max("_missing")).first()[0]:
             raise ValueError(f"rows with a missing feature cannot be clustered: {', '.join(features)}")
         yield kept
     finally:
@@ -364,8 +421,8 @@ def silhouettes(
     points: DataFrame, models: Mapping[int, np.ndarray], seed: int = SEGMENT_SEED, partners: int = SILHOUETTE_PARTNERS
 ) -> dict[int, tuple[float | None, float | None, float | None]]:
     """Per model the mean silhouette of all rows: by squared distances, by Euclidean ones, and
-    the standard error of the latter.  ``points`` are as ``_points`` makes them; a row belongs
-    to its nearest centre.
+    the standard error of the latter.  ``points`` are as ``_points`` or ``_packed`` makes them;
+    a row belongs to its nearest centre.
 
     Squared distances follow from a segment's size, sum and sum of squares.  For Euclidean ones
     every segment is represented by ``partners`` of its rows, those with the smallest draws, in
@@ -390,6 +447,8 @@ def silhouettes(
                     sums[int(at) : int(at) + len(models[k]), j] += np.bincount(own, weights=values, minlength=len(models[k]))
                 for c in np.unique(own):
                     mine = np.flatnonzero(own == c)
+                    if len(best.get(at + c, [])) == partners:
+                        mine = mine[drawn[mine] <= best[at + c][-1][0]]
                     mine = mine[np.argsort(drawn[mine], kind="stable")[:partners]]
                     found = best.get(at + c, []) + [(float(drawn[i]), int(hashes[i].view(np.int64)), rows[i].tolist()) for i in mine]
                     best[at + c] = sorted(found)[:partners]
@@ -460,6 +519,16 @@ def _silhouette(inside: np.ndarray, far: np.ndarray, own: np.ndarray, n: np.ndar
         return np.where(alone, 0.0, (outside - inside) / np.where(widest <= 0, 1.0, widest))
 
 
+def _far(rows: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Distances, rows by points."""
+    out, part = np.zeros((len(rows), len(points))), np.empty((len(rows), len(points)))
+    for x, c in zip(rows.T, points.T):
+        np.subtract(x[:, None], c[None, :], out=part)
+        np.multiply(part, part, out=part)
+        np.add(out, part, out=out)
+    return np.sqrt(out, out=out)
+
+
 def _sampled_silhouettes(
     rows: np.ndarray, hashes: np.ndarray, own: np.ndarray, partners: list[tuple[np.ndarray, np.ndarray]], sizes: np.ndarray
 ) -> np.ndarray:
@@ -470,13 +539,16 @@ def _sampled_silhouettes(
     for c, (ids, points) in enumerate(partners):
         if not len(points):
             continue
-        distance = np.sqrt(_distances(rows, points))
-        # A row is no partner of itself.
-        other = ~((hashes[:, None] == ids[None, :]) & (distance == 0))
-        for g in range(REPLICATES):
-            part = slice(g, None, REPLICATES)
-            sums[g, :, c] = (distance[:, part] * other[:, part]).sum(axis=1)
-            counts[g, :, c] = other[:, part].sum(axis=1)
+        groups = np.equal.outer(np.arange(len(points)) % REPLICATES, np.arange(REPLICATES)).astype(np.float64)
+        counts[:, :, c] = groups.sum(axis=0)[:, None]
+        # Few rows at a time, so that their distances stay in the processor's cache.
+        for first in range(0, len(rows), NARROW_SLAB):
+            some = slice(first, first + NARROW_SLAB)
+            sums[:, some, c] = (_far(rows[some], points) @ groups).T
+        # A row is no partner of itself: it is at distance 0, and not counted.
+        for i in np.flatnonzero(np.isin(hashes, ids)):
+            itself = (ids == hashes[i]) & (points == rows[i]).all(axis=1)
+            counts[:, i, c] -= groups[itself].sum(axis=0)
     at = np.arange(len(rows))
 
     def mean(total: np.ndarray, count: np.ndarray) -> float:

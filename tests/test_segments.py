@@ -97,6 +97,34 @@ def test_an_iteration_is_one_job_whatever_the_starts(spark, blobs):
     assert jobs(1) == jobs(60)
 
 
+def test_rows_are_dealt_evenly_to_all_cores(spark):
+    """Though they come from one task, as every iteration waits for its longest task."""
+    rows = spark.range(30_000).select(
+        F.lit(None).cast("long").alias("user_id"), *[F.rand(i).alias(segments.scaled(f)) for i, f in enumerate(segments.RFM_FEATURES)]
+    )
+    with segments._kept(segments._points(rows.coalesce(1), segments.RFM_FEATURES, "user_id"), segments.RFM_FEATURES) as kept:
+        blocks = kept.select(F.spark_partition_id().alias("task"), F.length("_block").alias("bytes")).groupBy("task").agg(F.sum("bytes").alias("n")).collect()
+        tasks = segments.TASKS_A_CORE * spark.sparkContext.defaultParallelism
+        assert len(blocks) >= tasks
+        assert sum(r["n"] for r in blocks) == 30_000 * 3 * 8
+        assert max(r["n"] for r in blocks) <= 1.2 * 30_000 * 3 * 8 / tasks
+
+
+def test_rows_are_placed_as_by_differences():
+    """Also where they are equally near to several centres, or far from the origin."""
+    random = np.random.default_rng(7)
+    grid = random.integers(0, 4, (500, 3)).astype(float)
+    far = random.normal(size=(500, 3)) + [1e9, -1e9, 1e7]
+    for rows in (grid, far, np.concatenate([grid, far])):
+        models = [rows[random.integers(0, len(rows), k)] for k in (1, 2, 5, 7, 40)]
+        for model, (sums, cost) in zip(models, segments._placed(rows, models)):
+            distances = segments._distances(rows, model)
+            own = distances.argmin(axis=1)
+            assert (sums[:, 3] == np.bincount(own, minlength=len(model))).all()
+            assert np.allclose(sums[:, :3], [rows[own == c].sum(axis=0) for c in range(len(model))], rtol=1e-12, atol=1e-6)
+            assert cost == pytest.approx(distances.min(axis=1).sum(), rel=1e-12)
+
+
 def test_fewer_rows_than_centres(spark):
     few = spark.createDataFrame([(i, float(i % 2), 0.0, 1.0) for i in range(6)], "user_id long, recency_days_scaled double, frequency_scaled double, monetary_value_scaled double")
     fitted, model = segments.fit_segments(few, 4, restarts=2)
