@@ -41,9 +41,10 @@ CLOSE = 0.02
 SLAB = 2048
 NARROW_SLAB = 256
 FEW_TASKS = 64
-# Tasks of an iteration for each core: rows are dealt evenly, as every iteration waits for the
-# last task.
+# Tasks of an iteration for each core, if they have so many rows: these are dealt evenly, as
+# every iteration waits for the last task.
 TASKS_A_CORE = 2
+ROWS_A_TASK = 8 * SLAB
 # How far a squared distance by a matrix product may be off, relative to the squares it is made
 # of; this is many times what rounding can do.
 ROUNDING = 1e-13
@@ -372,14 +373,15 @@ def fit_segments(
 @contextmanager
 def _kept(rows: DataFrame, features: Sequence[str]) -> Iterator[DataFrame]:
     """Iterations read the points dozens of times: a narrow copy of them is written, dealt
-    evenly to TASKS_A_CORE tasks of each core at least, and its blocks are kept while fitting.
-    A lost executor costs a re-read.
+    evenly to TASKS_A_CORE tasks of each core or more, but of ROWS_A_TASK rows at least, and its
+    blocks are kept while fitting.  A lost executor costs a re-read.
 
     A missing feature is an error, as there is no distance to it.
     """
     narrow = materialize(rows, "points")
     tasks = TASKS_A_CORE * rows.sparkSession.sparkContext.defaultParallelism
-    kept = _packed(narrow.repartition(max(tasks, narrow.rdd.getNumPartitions())), len(features)).persist()
+    tasks = min(max(tasks, narrow.rdd.getNumPartitions()), max(math.ceil(narrow.count() / ROWS_A_TASK), 1))
+    kept = _packed(narrow.repartition(tasks), len(features)).persist()
     try:
         # Over all rows, so that one job keeps every block, spread over the executors.
         if kept.agg(F.max("_missing")).first()[0]:
