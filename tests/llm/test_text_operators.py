@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from footfall.llm import common, decontaminate, exact_dedup, line_dedup, pii, secret_scan, simhash, spans
 from footfall.llm.common import let
 from footfall.llm.queries import QUERIES, op2_personal_data, op6_secrets
-from footfall.session import scratch_scope
+from footfall.session import materialize, scratch_scope
 from tests.llm import brute
 from tests.llm.conftest import SMALL
 
@@ -183,6 +183,48 @@ def test_personal_data_in_disguise(spark):
     assert right >= 0.95 * (right + wrong), (right, given, wrong)
 
 
+def test_personal_data_is_learned_from_every_match(spark):
+    """And judged by it: 1,400 documents have twice the examples of 700, whatever their number."""
+    random = Random(3)
+
+    def rows(n):
+        return [
+            (i, f"mail x{i}.{random.choice('abc')}@example{i % 7}.com or call +1 ({random.randint(100, 999)}) 555-{i:04d}, item {i * 7919 + 123456789012}")
+            for i in range(n)
+        ]
+
+    def counted(n):
+        proposed = materialize(pii.propose(spark.createDataFrame(rows(n), "doc_id long, text string")), "proposed")
+        matches, labelled = proposed.select(
+            F.sum(F.size("matches")), F.sum(F.size(F.filter("candidates", lambda c: c["label"].isNotNull())))
+        ).first()
+        given = pii._disguised_candidates(proposed).agg(F.count(F.lit(1)), F.sum("label"), F.count_distinct("doc_id")).first()
+        found = pii.examples(proposed).agg(F.sum("n"), F.count_if("held")).first()
+        assert matches >= 2 * n and given[2] == n and found[0] == labelled + given[0] and found[1] > 0
+        # Most disguises are found whole.
+        assert 0.5 * pii.DRAWS * matches <= given[1] <= pii.DRAWS * matches
+        return found[0]
+
+    assert counted(1400) == pytest.approx(2 * counted(700), rel=0.05)
+
+
+def test_thresholds_keep_the_precision():
+    random = Random(8)
+    for _ in range(200):
+        steps = {random.randint(-20, 20): (n := random.randint(1, 30), random.randint(n // 2, n)) for _ in range(random.randint(0, 20))}
+        threshold = pii._threshold(steps, 0.9) * pii.STEPS
+        shares = {}
+        for low in (s for s in steps if s >= 0):
+            above = [steps[s] for s in steps if s >= low]
+            shares[low] = sum(t for _, t in above) / sum(n for n, _ in above)
+        good = [s for s, share in shares.items() if share >= 0.9]
+        if not good:
+            assert threshold == float("inf")
+            continue
+        below = max((s + 1 for s in steps if s < min(good)), default=0)
+        assert max(below, 0) <= threshold <= min(good)
+
+
 def test_adjacent_numbers_are_told_apart(spark):
     random = Random(2)
     corpus = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
