@@ -202,12 +202,12 @@ def _draw(points: DataFrame, chosen: list[np.ndarray], turn: int, most: int, fea
     return picked
 
 
-def _placed(rows: np.ndarray, models: list[np.ndarray]) -> Iterator[tuple[np.ndarray, float]]:
-    """Per model the sums of the rows nearest to each centre with their number, and the cost.
+def _placed(rows: np.ndarray, models: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per model the number of the centre nearest to each row, and the squared distance to it.
 
     One matrix product gives the distances to the centres of all models, less a term that is
-    the same for all.  Where it cannot tell which centre is nearest, ``_distances`` does, so a
-    row is placed as by these; the cost is made of differences, too.
+    the same for all.  Where it cannot tell which centre is nearest, ``_distances`` does, so both
+    results are as by these.
     """
     across = np.concatenate([rows.T, np.ones((1, len(rows)))])
     squares = (rows**2).sum(axis=1)
@@ -220,18 +220,17 @@ def _placed(rows: np.ndarray, models: list[np.ndarray]) -> Iterator[tuple[np.nda
         for model in models:
             here = slice(at, at := at + len(model))
             reach = ROUNDING * (squares + 2 * lengths[here].max())
-            own = (far[here] <= far[here].min(axis=0) + reach).astype(np.float64)
-            # The centre of each row, and how many may be it.
-            *centre, number = np.concatenate([model.T, np.ones((1, len(model)))]) @ own
-            centre = np.array(centre)
+            near = (far[here] <= far[here].min(axis=0) + reach).astype(np.float64)
+            # How many may be it, and if it is one, which.
+            number, which = np.stack([np.ones(len(model)), np.arange(len(model))]) @ near
+            own = which.astype(np.intp)
             unsure = np.flatnonzero(number != 1)
             if len(unsure):
-                nearest = _distances(rows[unsure], model).argmin(axis=1)
-                own[:, unsure] = 0
-                own[nearest, unsure] = 1
-                centre[:, unsure] = model[nearest].T
-            apart = across[:-1] - centre
-            yield (across @ own.T).T, float(np.vdot(apart, apart))
+                own[unsure] = _distances(rows[unsure], model).argmin(axis=1)
+            distance = np.zeros(len(rows))
+            for x, c in zip(across, model.T):
+                distance += (x - c[own]) ** 2
+            yield own, distance
 
 
 def _sums(points: DataFrame, models: list[np.ndarray], features: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
@@ -240,13 +239,13 @@ def _sums(points: DataFrame, models: list[np.ndarray], features: int) -> list[tu
     first = np.concatenate([[0], np.cumsum(sizes)])
 
     def add(batches):
-        # A model's cost stands at its first centre.
         total = np.zeros((int(first[-1]), features + 2))
         for _, rows in _batches(batches, features):
-            for at, (sums, cost) in zip(first, _placed(rows, models)):
-                total[int(at) : int(at) + len(sums), :-1] += sums
-                total[int(at), -1] += cost
-        used = np.flatnonzero(total.any(axis=1))
+            for model, at, (own, distances) in zip(models, first, _placed(rows, models)):
+                here = slice(int(at), int(at) + len(model))
+                for j, values in enumerate([*rows.T, None, distances]):
+                    total[here, j] += np.bincount(own, weights=values, minlength=len(model))
+        used = np.flatnonzero(total[:, features])
         yield pa.RecordBatch.from_arrays([pa.array(used), *[pa.array(c) for c in total[used].T]], names=names)
 
     names = ["centre", *[f"s{i}" for i in range(features)], "n", "cost"]
@@ -372,16 +371,19 @@ def fit_segments(
 
 @contextmanager
 def _kept(rows: DataFrame, features: Sequence[str]) -> Iterator[DataFrame]:
-    """Iterations read the points dozens of times: a narrow copy of them is written, dealt
-    evenly to TASKS_A_CORE tasks of each core or more, but of ROWS_A_TASK rows at least, and its
-    blocks are kept while fitting.  A lost executor costs a re-read.
+    """Iterations read the points dozens of times: a narrow copy of them is written, and its
+    blocks are kept while fitting.  If it has more than ROWS_A_TASK rows a task, they are dealt
+    evenly to TASKS_A_CORE tasks of each core or more, of so many rows at least.  A lost executor
+    costs a re-read.
 
     A missing feature is an error, as there is no distance to it.
     """
     narrow = materialize(rows, "points")
     tasks = TASKS_A_CORE * rows.sparkSession.sparkContext.defaultParallelism
-    tasks = min(max(tasks, narrow.rdd.getNumPartitions()), max(math.ceil(narrow.count() / ROWS_A_TASK), 1))
-    kept = _packed(narrow.repartition(tasks), len(features)).persist()
+    rows_now, tasks_now = narrow.count(), narrow.rdd.getNumPartitions()
+    if rows_now > ROWS_A_TASK * tasks_now:
+        narrow = narrow.repartition(min(max(tasks, tasks_now), math.ceil(rows_now / ROWS_A_TASK)))
+    kept = _packed(narrow, len(features)).persist()
     try:
         # Over all rows, so that one job keeps every block, spread over the executors.
         if kept.agg(F.max("_missing")).first()[0]:
