@@ -11,6 +11,7 @@ DataFrame functions and Spark's own trees only.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -53,6 +54,7 @@ LEADS = ["", "", "", "write to ", "mail: ", "call ", "from ", "host ", "card ",
 
 # Of every strict match.
 DRAWS = 16
+MATCHES_A_TASK = 500
 TREES, DEPTH = 14, 4
 FOLDS = 4
 # Of accepted candidates, before the best of those that overlap is chosen, which raises it.
@@ -400,9 +402,14 @@ def _disguised_candidates(proposed: DataFrame) -> DataFrame:
     ways: 1 for the value itself, 0 for what only overlaps it.  Numbers that are no personal
     data are added in the place of each, as corpora may have none to learn from."""
     order = F.xxhash64("doc_id", "m.start", "m.kind", "m.text")
-    matches = proposed.select("doc_id", F.explode("matches").alias("m")).select(
-        "doc_id", "m.kind", "m.text", "m.before", "m.after", order.alias("order")
+    matches = materialize(
+        proposed.select("doc_id", F.explode("matches").alias("m")).select(
+            "doc_id", "m.kind", "m.text", "m.before", "m.after", order.alias("order")
+        ),
+        "matches",
     )
+    # Rows of few bytes, but much work: tasks by their number.
+    matches = matches.repartition(max(math.ceil(matches.count() / MATCHES_A_TASK), 1))
     # The lowest two bits of a draw are the way, so that all ways occur alike.
     draw = F.shiftleft(F.xxhash64("order", "nth"), 2).bitwiseOR((F.col("nth") % 4).cast("long"))
     # Whatever words stand before it, a value is one: cues of all kinds come before all of them.
