@@ -7,12 +7,27 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
+
+# A batch takes several times its bytes: Spark's vectors grow by doubling, and rows that go
+# out again are in memory twice.  Rows are dealt by number only, so texts need a limit.
+BATCH_BYTES = 4 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def limit_batches(spark: SparkSession) -> None:
+    """Batches of the session hold about BATCH_BYTES at most, or one row, unless it has a limit of its own.
+
+    Spark reads the limit when a result is computed, so it stays set.
+    """
+    if spark.conf.get(_LIMIT, None) is None:
+        spark.conf.set(_LIMIT, str(BATCH_BYTES))
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
-    """``df.mapInArrow``, for columns of any name: Spark takes a dot for a field of a struct."""
+    """``df.mapInArrow``, for columns of any name: Spark takes a dot for a field of a struct.  Batches are small."""
     names = df.columns
+    limit_batches(df.sparkSession)
 
     def renamed(batches):
         return run(batch.rename_columns(names) for batch in batches)

@@ -36,6 +36,10 @@ for _i, _members in enumerate(CLASSES):
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[list(b" \t\n\x0b\x0c\r")] = True
 N_FEATURES = len(CLASSES) + 1 + 10
+# Texts are encoded in pieces of about so many bytes, at some 100 bytes of memory for each.
+ENCODE_BYTES = 1 << 17
+# A word is compared with so many before it.
+LOOK_BACK = 3
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -43,8 +47,39 @@ def encode_passages(data: np.ndarray, offsets: np.ndarray, words_each: int = PAS
     """A row of features for every passage, and the number of passages of every text.
 
     A passage is ``words_each`` words of a text, its last one what remains; a text without
-    words is one passage of zeros.
+    words is one passage of zeros.  Texts longer than a piece are cut between passages.
     """
+    features, bags = [np.zeros((0, N_FEATURES), np.float32)], [np.zeros(0, np.int64)]
+    first = 0
+    while first < len(offsets) - 1:
+        after = max(first + 1, int(np.searchsorted(offsets, offsets[first] + ENCODE_BYTES, side="right")) - 1)
+        piece, own = data[offsets[first] : offsets[after]], offsets[first : after + 1] - offsets[first]
+        found, each = _encode(piece, own, words_each) if len(piece) <= ENCODE_BYTES else _encode_long(piece, words_each)
+        features.append(found)
+        bags.append(each)
+        first = after
+    return np.concatenate(features), np.concatenate(bags)
+
+
+def _encode_long(data: np.ndarray, words_each: int) -> tuple[np.ndarray, np.ndarray]:
+    """``encode_passages`` of one text, some passages at a time; a passage is never cut."""
+    space = _SPACE[data]
+    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+    if not len(starts):
+        return np.zeros((1, N_FEATURES), np.float32), np.ones(1, np.int64)
+    bounds = np.concatenate([starts[::words_each], [len(data)]])
+    features, first = [], 0
+    while first < len(bounds) - 1:
+        after = max(first + 1, int(np.searchsorted(bounds, bounds[first] + ENCODE_BYTES, side="right")) - 1)
+        # The first words of a piece are compared with those of the passages before it.
+        lead = min(first, -(-LOOK_BACK // words_each))
+        piece = data[bounds[first - lead] : bounds[after]]
+        features.append(_encode(piece, np.array([0, len(piece)]), words_each)[0][lead:])
+        first = after
+    return np.concatenate(features), np.array([len(bounds) - 1])
+
+
+def _encode(data: np.ndarray, offsets: np.ndarray, words_each: int) -> tuple[np.ndarray, np.ndarray]:
     n_texts = len(offsets) - 1
     inside = ~_SPACE[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
@@ -91,7 +126,7 @@ def encode_passages(data: np.ndarray, offsets: np.ndarray, words_each: int = PAS
 
     mean = share(lengths)
     columns = [mean / 10, np.sqrt(np.maximum(share(lengths**2) - mean**2, 0)) / 10, share(lengths == 1), share(lengths <= 3), share(lengths >= 14)]
-    for back in (1, 2, 3):
+    for back in range(1, LOOK_BACK + 1):
         same = np.zeros(len(hashes))
         same[back:] = (hashes[back:] == hashes[:-back]) & (text[back:] == text[:-back])
         columns.append(share(same))

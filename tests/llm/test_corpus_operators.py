@@ -1,18 +1,20 @@
 """Sharding, the archive, packing, the quality model and the pipeline."""
 
 import json
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from footfall.arrow import BATCH_BYTES
 from footfall.llm import config_lp, packing, quality, sharding, simhash, warc
-from footfall.llm.common import with_group_ranks
+from footfall.llm.common import with_arrow_columns, with_group_ranks
 from footfall.llm.queries import VOCABULARY as VOCABULARY_NAME, op7_sharding, op9_packing, op10_quality, vocabulary_file
 from footfall.session import new_scratch_path
 from tests.llm import brute
@@ -273,6 +275,35 @@ def test_passages_do_not_depend_on_what_is_encoded_together():
     assert np.array_equal(together, np.concatenate([f for f, _ in apart]))
 
 
+def test_passages_of_many_and_of_long_texts_take_little_memory():
+    words = ["a", "b", "cc", "dd", "Ä!", "\n", "  ", "x1", "longer-than-most-words-are"]
+    random = np.random.default_rng(0)
+    long = "  " + " ".join(random.choice(words, 400_000))
+    texts = ["", long, " " * 300_000, "y" * 300_000, *[long[i : i + 5000] for i in range(0, 1_000_000, 5000)], "z", ""]
+    data = [t.encode() for t in texts]
+    offsets = np.cumsum([0, *map(len, data)])
+    flat = np.frombuffer(b"".join(data), np.uint8)
+    for words_each in (2, quality.PASSAGE_WORDS):
+        tracemalloc.start()
+        features, bags = quality.encode_passages(flat, offsets, words_each)
+        peak = tracemalloc.get_traced_memory()[1] - 3 * features.nbytes
+        tracemalloc.stop()
+        assert peak < 60 << 20  # what one text of 300,000 letters takes, and not what 3 MB take
+        together, of_all = quality._encode(flat, offsets, words_each)
+        assert np.array_equal(features, together) and np.array_equal(bags, of_all)
+
+
+def test_batches_of_long_rows_are_small(spark):
+    texts = spark.range(0, 3000, 1, 1).select("id", F.repeat(F.lit("0123456789"), 1000).alias("a.b"))
+
+    def compute(batch):
+        return [pa.array([batch.nbytes] * batch.num_rows)]
+
+    column = T.StructField("bytes", T.LongType())
+    rows = with_arrow_columns(texts, [column], compute, ["id", "a.b"]).select("id", "bytes").collect()
+    assert [r["id"] for r in rows] == list(range(3000)) and max(r["bytes"] for r in rows) < BATCH_BYTES + 50_000
+
+
 def test_gradient_is_the_slope_of_the_loss():
     random = np.random.default_rng(0)
     bags, labels = np.array([2, 1, 3]), np.array([1.0, 0.0, 1.0])
